@@ -1,0 +1,128 @@
+"""Labeller audit: version drift, two-labeller agreement, cross-tabs, suspected
+errors, external labeller with resumable state, triage and review sheets."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import keyword_hint, parse_reply, section_or_text
+
+
+def version_drift(a: DataFrame, b: DataFrame, key: Sequence[str], col_a: str, col_b: str) -> DataFrame:
+    """Inner join two label versions on the full order key; count per (a, b) cell
+    with a ``differs`` flag (0/1)."""
+    j = a.select(*key, col_a).join(b.select(*key, col_b), list(key))
+    return j.groupBy(col_a, col_b).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "differs", (F.col(col_a) != F.col(col_b)).cast("int")
+    )
+
+
+def decided(df: DataFrame, cols: Sequence[str], classes: Sequence[str] = ("Positive", "Negative")) -> DataFrame:
+    """Rows where every labeller gave one of ``classes`` (NULL is not decided)."""
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.coalesce(F.col(c).isin(list(classes)), F.lit(False))
+    return df.where(cond)
+
+
+def agreement(df: DataFrame, a: str, b: str, classes: Sequence[str] = ("Positive", "Negative")) -> DataFrame:
+    """n_total, n_comparable, n_agree, agree_rate (NULL when nothing comparable)."""
+    both = F.coalesce(F.col(a).isin(list(classes)) & F.col(b).isin(list(classes)), F.lit(False))
+    return df.agg(
+        F.count(F.lit(1)).alias("n_total"),
+        F.count_if(both).alias("n_comparable"),
+        F.count_if(both & (F.col(a) == F.col(b))).alias("n_agree"),
+    ).withColumn("agree_rate", F.try_divide(F.col("n_agree").cast("double"), F.col("n_comparable")))
+
+
+def suspected_errors(df: DataFrame, a: str, b: str, a_val: str = "Negative", b_val: str = "Positive") -> DataFrame:
+    """Share of ``a == a_val`` rows where ``b == b_val`` (among decided rows)."""
+    d = decided(df, [a, b])
+    return d.agg(
+        F.count_if((F.col(a) == a_val) & (F.col(b) == b_val)).alias("n_suspected"),
+        F.count_if(F.col(a) == a_val).alias("n_margin"),
+    ).withColumn("share", F.try_divide(F.col("n_suspected").cast("double"), F.col("n_margin")))
+
+
+def disagreement_list(df: DataFrame, a: str, b: str, a_val: str = "Negative", b_val: str = "Positive") -> DataFrame:
+    return decided(df, [a, b]).where((F.col(a) == a_val) & (F.col(b) == b_val))
+
+
+def triage_sheet(df: DataFrame, text_col: str, acute: str, stable: str, labels: tuple[str, str, str], max_len: int = 500) -> DataFrame:
+    """Excerpt (section or text, ≤ max_len chars), keyword hint on the excerpt,
+    and blank columns for the reviewer. The report body is dropped."""
+    exc = section_or_text(F.col(text_col), max_len)
+    return (
+        df.withColumn("excerpt", exc)
+        .withColumn("auto_hint", keyword_hint(F.col("excerpt"), acute, stable, labels))
+        .withColumns({"true_label": F.lit(""), "finding_type": F.lit(""), "reviewer_notes": F.lit("")})
+        .drop(text_col)
+    )
+
+
+def reply_labels(replies: DataFrame, reply_col: str = "reply", json_path: str | None = None) -> DataFrame:
+    """Reply table → label: optional JSON path extraction, then the reply parser."""
+    r = F.col(reply_col)
+    if json_path is not None:
+        r = F.get_json_object(r, json_path)
+    return replies.withColumn("ext_label", parse_reply(r))
+
+
+def external_label(
+    df: DataFrame,
+    key: str,
+    text_col: str,
+    fn: Callable[[pd.Series], pd.Series],
+    done: DataFrame | None = None,
+) -> DataFrame:
+    """Run a user labeller over every not-yet-labelled row, Arrow-batched.
+
+    ``fn`` maps a pandas Series of texts to a Series of raw replies. Rows already in
+    ``done`` (key, ext_label) are skipped by a left anti join; a failure inside a
+    batch is retried row by row and recorded in ``error`` with label 'ERR', so one
+    bad row never fails the job. Output: key, reply, ext_label, error.
+    """
+    todo = df.select(key, text_col)
+    if done is not None:
+        todo = todo.join(done.select(key), key, "left_anti")
+
+    def run(it):
+        for pdf in it:
+            texts = pdf[text_col].fillna("")
+            try:
+                replies = pd.Series(fn(texts), index=pdf.index).astype(object)
+                errs = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            except Exception:  # fall back to one call per row, recording failures
+                out, errs_l = [], []
+                for t in texts:
+                    try:
+                        out.append(fn(pd.Series([t])).iloc[0])
+                        errs_l.append(None)
+                    except Exception as e:  # noqa: BLE001
+                        out.append(None)
+                        errs_l.append(f"{type(e).__name__}:{e}")
+                replies = pd.Series(out, index=pdf.index, dtype=object)
+                errs = pd.Series(errs_l, index=pdf.index, dtype=object)
+            yield pd.DataFrame({key: pdf[key], "reply": replies, "error": errs})
+
+    schema = f"{key} {dict(df.dtypes)[key]}, reply string, error string"
+    res = todo.mapInPandas(run, schema)
+    lab = F.when(F.col("error").isNotNull(), F.lit("ERR")).otherwise(parse_reply(F.col("reply")))
+    return res.withColumn("ext_label", lab).select(key, "reply", "ext_label", "error")
+
+
+def resume(state_path: str, new_rows: DataFrame, key: str) -> DataFrame:
+    """Append rows whose key is not yet in the parquet state at ``state_path`` and
+    return the full state (S6/S7). The write is one atomic job per call."""
+    spark = new_rows.sparkSession
+    try:
+        prior = spark.read.parquet(state_path)
+        add = new_rows.join(prior.select(key), key, "left_anti")
+    except Exception:  # first run: no state yet
+        add = new_rows
+    add.write.mode("append").parquet(state_path)
+    return spark.read.parquet(state_path)
