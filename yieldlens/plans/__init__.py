@@ -1,4 +1,4 @@
 """Named queries over the test tables; importing this package registers them."""
 
-from . import q_labels  # noqa: F401
+from . import q_cohort, q_labels  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
