@@ -60,13 +60,13 @@ def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) ->
     """One ROC point per distinct threshold: (by, threshold, tpr, fpr)."""
     c = score_curve(df, label, score, by)
     g = _grp(by)
-    tot = c.groupBy(*g).agg(F.max("cum_tp").alias("_P"), F.max("cum_fp").alias("_N"))
+    tot = c.groupBy(*g).agg(F.max("cum_tp").alias("_ptot"), F.max("cum_fp").alias("_ntot"))
     j = join_groups(c, tot, g)
     return j.select(
         *g,
         F.col(score).alias("threshold"),
-        F.try_divide(F.col("cum_tp").cast("double"), F.col("_P")).alias("tpr"),
-        F.try_divide(F.col("cum_fp").cast("double"), F.col("_N")).alias("fpr"),
+        F.try_divide(F.col("cum_tp").cast("double"), F.col("_ptot")).alias("tpr"),
+        F.try_divide(F.col("cum_fp").cast("double"), F.col("_ntot")).alias("fpr"),
     )
 
 
@@ -221,18 +221,18 @@ def operating_point(df: DataFrame, label: str, score: str, target: float = 0.95,
         "_c",
         (F.coalesce(F.sum("_n").over(w_above), F.lit(0)) + F.col("_n_ge_own")).alias("_n_ge"),
         (F.coalesce(F.sum("_pos").over(w_above), F.lit(0)) + F.col("_pos_ge_own")).alias("_pos_ge"),
-        F.sum("_n").over(w_all).alias("_N"),
-        F.sum("_pos").over(w_all).alias("_P"),
+        F.sum("_n").over(w_all).alias("_ntot"),
+        F.sum("_pos").over(w_all).alias("_ptot"),
     )
-    sens = F.try_divide(F.col("_pos_ge").cast("double"), F.col("_P"))
+    sens = F.try_divide(F.col("_pos_ge").cast("double"), F.col("_ptot"))
     k = k.withColumn("sensitivity", sens).where(F.col("sensitivity").isNull() | (F.col("sensitivity") >= target))
-    best = k.groupBy(*g).agg(F.max_by(F.struct("_c", "sensitivity", "_n_ge", "_pos_ge", "_N", "_P"), F.col("_c")).alias("b"))
+    best = k.groupBy(*g).agg(F.max_by(F.struct("_c", "sensitivity", "_n_ge", "_pos_ge", "_ntot", "_ptot"), F.col("_c")).alias("b"))
     return best.select(
         *g,
         F.col("b._c").alias("threshold"),
         F.col("b.sensitivity").alias("sensitivity"),
-        ((F.col("b._N") - F.col("b._n_ge")) / F.col("b._N")).alias("flag_rate"),
-        F.try_divide((F.col("b._P") - F.col("b._pos_ge")).cast("double"), F.col("b._P")).alias("missed_positive_rate"),
+        ((F.col("b._ntot") - F.col("b._n_ge")) / F.col("b._ntot")).alias("flag_rate"),
+        F.try_divide((F.col("b._ptot") - F.col("b._pos_ge")).cast("double"), F.col("b._ptot")).alias("missed_positive_rate"),
     )
 
 

@@ -10,6 +10,12 @@ with two bounded steps instead:
 2. Inside each (range partition, key) slice a local window gives partial running
    values; the per-slice totals (at most #keys + #partitions rows) are turned
    into offsets with a tiny window and joined back on (partition, key).
+
+The range bounds are sampled when the exchange runs, and the totals branch and
+the row branch would each run (and sample) their own exchange, so the slice ids
+could disagree. The locally numbered slices are therefore written once as a
+reliable checkpoint (the shared ``spark.checkpoint.dir``) and both branches read
+that copy; it also cuts the lineage, so a lost executor never re-samples.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+from ..session import cut_lineage, shuffle_partitions
 
 
 def _as_cols(xs: Sequence[str | Column]) -> list[Column]:
@@ -47,7 +53,7 @@ def running_sums(
         .withColumn("_pid", F.spark_partition_id())
     )
     w = Window.partitionBy("_pid", "_g").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumns({f"_l_{k}": F.sum(f"_v_{k}").over(w) for k in sums})
+    local = cut_lineage(ranged.withColumns({f"_l_{k}": F.sum(f"_v_{k}").over(w) for k in sums}))
     totals = local.groupBy("_pid", "_g").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
     wo = Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
