@@ -11,6 +11,10 @@ with two bounded steps instead:
    values; the per-slice totals (at most #keys + #partitions rows) are turned
    into offsets with a tiny window and joined back on (partition, key).
 
+When every group is proven small (largest group ≤ ``max_group_rows``, measured
+by one partial aggregation) the plain window is used instead: a bounded group
+fits one task and the extra range exchange would only cost time.
+
 The range bounds are sampled when the exchange runs, and the totals branch and
 the row branch would each run (and sample) their own exchange, so the slice ids
 could disagree. The locally numbered slices are therefore written once as a
@@ -28,6 +32,18 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, shuffle_partitions
 
 
+# Groups up to this many rows are numbered by one plain window task.
+MAX_GROUP_ROWS = 2_000_000
+
+
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Row count of the biggest ``by`` group (a partial aggregate, skew-safe)."""
+    if not by:
+        return df.count()
+    r = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows_in_group")).agg(F.max("_rows_in_group")).first()
+    return int(r[0] or 0)
+
+
 def _as_cols(xs: Sequence[str | Column]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
@@ -38,12 +54,19 @@ def running_sums(
     order: Sequence[str | Column],
     sums: Mapping[str, Column],
     partitions: int | None = None,
+    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add inclusive running sums ``sum(expr) over (partition by by order by order rows
     unbounded preceding)`` for each ``name -> expr``. ``order`` must be a total order
-    inside each ``by`` group (add a unique tie-break), as for any row frame."""
+    inside each ``by`` group (add a unique tie-break), as for any row frame.
+    ``max_group_rows=0`` always takes the skew-safe path."""
     n = partitions or shuffle_partitions(df.sparkSession)
     order_cols = _as_cols(order)
+    if max_group_rows > 0 and largest_group(df, by) <= max_group_rows:
+        wp = Window.partitionBy(*[F.col(b) for b in by]).orderBy(*order_cols).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        return df.withColumns({k: F.sum(v).over(wp) for k, v in sums.items()})
     vals = {f"_v_{k}": v for k, v in sums.items()}
     group = F.struct(*[F.col(b) for b in by]) if by else F.lit(0)
     ranged = (
@@ -71,9 +94,10 @@ def sequence_number(
     order: Sequence[str | Column],
     out: str = "rn",
     partitions: int | None = None,
+    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Exact ``row_number() over (partition by by order by order)``, skew-safe."""
-    return running_sums(df, by, order, {out: F.lit(1).cast("long")}, partitions)
+    return running_sums(df, by, order, {out: F.lit(1).cast("long")}, partitions, max_group_rows)
 
 
 def first_n(
@@ -83,6 +107,7 @@ def first_n(
     n: int | str | Column,
     out: str = "rn",
     salts: int = 64,
+    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Rows whose row number inside ``by`` (by ``order``) is <= n, with the number.
 
@@ -101,5 +126,5 @@ def first_n(
         .where(F.col("_r") <= F.col("_n"))
         .drop("_r", "_salt")
     )
-    ranked = sequence_number(pre, by, order, out)
+    ranked = sequence_number(pre, by, order, out, max_group_rows=max_group_rows)
     return ranked.where(F.col(out) <= F.col("_n")).drop("_n")
