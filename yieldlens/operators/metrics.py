@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import running_sums, sequence_number
+from .ordering import MAX_GROUP_ROWS, largest_group, running_sums, sequence_number
 from .sizing import broadcast_if_small
 
 
@@ -283,18 +283,30 @@ def fleiss_kappa(long: DataFrame, item: str, rater: str, label: str, by: Sequenc
     )
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame,
+    col: str,
+    qs: Sequence[float],
+    by: Sequence[str] = (),
+    names: Sequence[str] | None = None,
+    max_group_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
     """Exact linear-interpolated quantiles per group (same as SQL
     ``quantile_cont``/``percentile``), NULLs ignored.
 
-    Instead of holding a whole group's values in one aggregation buffer, values are
+    Groups up to ``max_group_rows`` rows use Spark's exact ``percentile``
+    aggregate. Bigger groups are not held in one aggregation buffer: values are
     numbered with the skew-safe ``sequence_number``; only the ≤ 2 rows per
     quantile at ranks floor/ceil(q·(n−1)) are kept and interpolated.
     """
     g = _grp(by)
     names = list(names or [f"q{int(round(q * 1000)):04d}" for q in qs])
     v = df.where(F.col(col).isNotNull()).select(*g, F.col(col).cast("double").alias("_v"))
-    ranked = sequence_number(v, g, [F.col("_v")], "_r")
+    if largest_group(v, g) <= max_group_rows:
+        # every group is small: one exact percentile aggregate per group
+        pc = F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs]))
+        return v.groupBy(*g).agg(pc.alias("_qs")).select(*g, *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)])
+    ranked = sequence_number(v, g, [F.col("_v")], "_r", max_group_rows=0)
     n = v.groupBy(*g).agg(F.count(F.lit(1)).alias("_cnt"))
     qarr = F.array(*[F.struct(F.lit(nm).alias("_name"), F.lit(float(q)).alias("_q")) for nm, q in zip(names, qs)])
     pos = n.select(*g, "_cnt", F.explode(qarr).alias("_t")).select(*g, "_cnt", "_t._name", "_t._q")
