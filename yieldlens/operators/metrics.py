@@ -186,6 +186,7 @@ def best_threshold(nb: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             F.max_by("threshold", F.struct(F.col("net_benefit"), -F.col("threshold"))).alias("best_threshold"),
             F.max("net_benefit").alias("best_net_benefit"),
         )
+        .where(F.col("best_threshold").isNotNull())
     )
 
 
@@ -227,6 +228,7 @@ def operating_point(df: DataFrame, label: str, score: str, target: float = 0.95,
     sens = F.try_divide(F.col("_pos_ge").cast("double"), F.col("_ptot"))
     k = k.withColumn("sensitivity", sens).where(F.col("sensitivity").isNull() | (F.col("sensitivity") >= target))
     best = k.groupBy(*g).agg(F.max_by(F.struct("_c", "sensitivity", "_n_ge", "_pos_ge", "_ntot", "_ptot"), F.col("_c")).alias("b"))
+    best = best.where(F.col("b").isNotNull())  # a global aggregate over no rows is one NULL row
     return best.select(
         *g,
         F.col("b._c").alias("threshold"),
