@@ -76,3 +76,19 @@ def test_distribution_percent(spark):
     assert got["Negative"] == (3383, 72.94) and got["Positive"] == (1004, 21.65)
     assert got["Unclear"] == (169, 3.64) and got["Post-surgical/Unchanged"] == (82, 1.77)
     assert [r.label for r in class_distribution(df).collect()][0] == "Negative"
+
+
+def test_exam_filter_paths_agree(spark):
+    from yieldlens.operators.labeling import label_exam_notes
+
+    notes = spark.createDataFrame([(i, 1, 10 if i % 4 else None, t) for i, t in enumerate(REPORTS)], "note_id int, subject_id int, hadm_id int, text string")
+    details = spark.createDataFrame(
+        [(i, "CT HEAD W/O CONTRAST") for i in range(len(REPORTS))] + [(1, "CT HEAD W/ CONTRAST"), (2, "MR HEAD")],
+        "note_id int, field_value string",
+    )
+    exams = ["CT HEAD W/O CONTRAST", "CT HEAD W/ CONTRAST"]
+    a = label_exam_notes(notes, details, exams, RULES_A, require_admission=True)
+    b = label_exam_notes(notes, details, exams, RULES_A, require_admission=True, max_selected=0)
+    assert "text" not in a.columns
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert a.where("note_id = 1").count() == 2  # two matching detail rows: fan-out kept

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import RuleSet, label_column, normalize_ws, subtype_column
+from .cohort import exam_notes
+from .sizing import is_small
 
 
 def label_text(
@@ -55,3 +57,26 @@ def crosstab_long(df: DataFrame, a: str, b: str) -> DataFrame:
 def crosstab_wide(df: DataFrame, a: str, b: str, levels: list[str]) -> DataFrame:
     """Row label ``a`` × fixed column levels of ``b``; zero-filled counts."""
     return df.groupBy(a).pivot(b, levels).agg(F.count(F.lit(1))).fillna(0, subset=levels)
+
+
+def label_exam_notes(
+    notes: DataFrame,
+    details: DataFrame,
+    exams: list[str] | tuple[str, ...],
+    rules: RuleSet,
+    require_admission: bool = False,
+    subtype_out: str | None = None,
+    max_selected: int = 5_000_000,
+) -> DataFrame:
+    """notes ⋈ exam details → labels, without moving report text through a shuffle.
+
+    When the selected note ids are few (≤ ``max_selected``, checked) they are
+    broadcast into a map-side semi join, so only matching notes are labelled;
+    otherwise every note is labelled map-side first. Either way the text is dropped
+    before the (fan-out preserving) join with the details.
+    """
+    sel = details.where(F.col("field_value").isin(list(exams))).select("note_id").distinct()
+    if is_small(sel, max_selected):
+        notes = notes.join(F.broadcast(sel), "note_id", "left_semi")
+    labelled = label_text(notes, rules, subtype_out=subtype_out)
+    return exam_notes(labelled, details, exams, require_admission)

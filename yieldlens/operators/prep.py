@@ -106,6 +106,8 @@ def impute(df: DataFrame, train: DataFrame, numeric: Sequence[str], categorical:
 def standardize(df: DataFrame, train: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(x − mean) / std with the population std of ``train``; a zero-variance column
     is only centred. Fit on already-imputed training rows."""
+    if not cols:
+        return df
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"_mu_{c}"), F.stddev_pop(c).alias(f"_sd_{c}")]

@@ -127,3 +127,47 @@ def noise_weights(df: DataFrame, a: str, b: str, disagree_weight: float = 0.5, g
     if gold:
         agree = agree | F.col(gold).isNotNull()
     return df.withColumn("train_label", lab).withColumn("weight", F.when(agree, 1.0).otherwise(disagree_weight))
+
+
+def direction_table(df: DataFrame, features: Sequence[str], label: str, expected: DataFrame | None = None) -> DataFrame:
+    """Per feature: mean and median by class and the sign of (positive − negative)
+    means; with ``expected`` (feature, expected_sign) a ``agrees`` flag is added."""
+    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in features])
+    long = df.select(F.col(label).alias("_y"), F.explode(arr).alias("s")).select("_y", "s.feature", "s.v")
+    means = long.groupBy("feature").agg(
+        F.avg(F.when(F.col("_y") == 0, F.col("v"))).alias("mean_neg"), F.avg(F.when(F.col("_y") == 1, F.col("v"))).alias("mean_pos")
+    )
+    med = exact_quantiles(long, "v", [0.5], ["feature", "_y"], names=["median"])
+    meds = med.groupBy("feature").agg(
+        F.first(F.when(F.col("_y") == 0, F.col("median")), ignorenulls=True).alias("median_neg"),
+        F.first(F.when(F.col("_y") == 1, F.col("median")), ignorenulls=True).alias("median_pos"),
+    )
+    out = means.join(meds, "feature", "left").withColumn("direction", F.signum(F.col("mean_pos") - F.col("mean_neg")).cast("int"))
+    if expected is not None:
+        out = out.join(expected, "feature", "left").withColumn("agrees", (F.col("direction") == F.col("expected_sign")).cast("int"))
+    return out
+
+
+def flag_rates_by(df: DataFrame, label: str, score: str, threshold: Column, by: Sequence[str], target: float = 0.95) -> DataFrame:
+    """At one (global) threshold: per group n, flag rate (score < threshold),
+    missed-positive rate and whether the group violates the sensitivity target."""
+    fl = F.col(score) < threshold
+    pos = F.col(label) == 1
+    g = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(fl.cast("double")).alias("flag_rate"),
+        F.try_divide(F.count_if(fl & pos).cast("double"), F.count_if(pos)).alias("missed_positive_rate"),
+    )
+    return g.withColumn("violates", F.coalesce((F.col("missed_positive_rate") > 1 - target).cast("int"), F.lit(0)))
+
+
+def rates_rollup(df: DataFrame, truth: Column, pred: Column, levels: Sequence[str]) -> DataFrame:
+    """Confusion counts and sens/spec overall and per rollup level of ``levels``
+    (``level`` = grouping id: 0 finest … all bits set = overall)."""
+    t, p = F.coalesce(truth, F.lit(False)), F.coalesce(pred, F.lit(False))
+    r = df.rollup(*levels).agg(
+        F.grouping_id().alias("level"),
+        F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"),
+        F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"),
+    )
+    return rates(r)

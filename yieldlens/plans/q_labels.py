@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import STANDIN_NARROW, STANDIN_REDUCED, STANDIN_WIDE
-from ..operators.cohort import exam_notes
-from ..operators.labeling import class_distribution, label_text
+from ..operators.labeling import class_distribution, label_exam_notes, label_text
 from ..sources import standins as S
 from .registry import query
 from .sqltext import sql_label, sql_subtype
@@ -59,8 +58,8 @@ FROM lab GROUP BY label ORDER BY n DESC, label
 def label_distribution(spark, sf):
     """The published final query: notes ⋈ exam details (exam IN list, admission not
     NULL) → rule labels → class counts and percent of total, by count desc."""
-    notes = exam_notes(S.notes(spark, sf), S.note_details(spark, sf), EXAMS, require_admission=True)
-    return class_distribution(label_text(notes, STANDIN_WIDE, subtype_out=None))
+    lab = label_exam_notes(S.notes(spark, sf), S.note_details(spark, sf), EXAMS, STANDIN_WIDE, require_admission=True)
+    return class_distribution(lab)
 
 
 @query(

@@ -16,7 +16,7 @@ from .q_cohort import _ORDERS_SQL
 from .q_metrics import D, SD, rnd
 from .q_model_frame import _FRAME_SQL, _oof, _oof_sql, frame
 from .registry import query
-from .sqltext import sql_label
+from .sqltext import sql_label, sql_subtype
 
 
 @query(
@@ -287,3 +287,77 @@ def impute_vs_drop(spark, sf):
     nr = null_rates(frame(spark, sf))
     th = F.explode(F.array(*[F.lit(x) for x in (0.1, 0.3, 0.5, 0.7, 0.9)])).alias("threshold")
     return nr.select("*", th).groupBy("threshold").agg(F.count_if(F.col("null_rate") <= F.col("threshold")).alias("n_columns_kept"))
+
+
+@query(
+    "direction_check",
+    "SELECT * FROM (" + " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, round(avg(CASE WHEN y = 0 THEN {c} END), {D}) AS mean_neg,
+          round(avg(CASE WHEN y = 1 THEN {c} END), {D}) AS mean_pos,
+          round(quantile_cont({c}, 0.5) FILTER (WHERE y = 0), {D}) AS median_neg,
+          round(quantile_cont({c}, 0.5) FILTER (WHERE y = 1), {D}) AS median_pos,
+          CAST(sign(avg(CASE WHEN y = 1 THEN {c} END) - avg(CASE WHEN y = 0 THEN {c} END)) AS INTEGER) AS direction
+        FROM {_FRAME_SQL}""" for c in ["view_min", "view_max", "purchase_max", "click_max", "signup_min", "hour"]
+    ) + ")",
+)
+def direction_check(spark, sf):
+    """Mean / median of each feature by class and the direction of the difference."""
+    f = frame(spark, sf)
+    return rnd(R.direction_table(f, ["view_min", "view_max", "purchase_max", "click_max", "signup_min", "hour"], "y"))
+
+
+@query(
+    "stratum_flag_rates",
+    f"""WITH sd AS {SD}, thr AS (SELECT max(c.t) AS t FROM (SELECT DISTINCT round_even(p, 3) AS t FROM sd) c
+      WHERE (SELECT count(*) FROM sd WHERE p >= c.t AND y = 1) >= 0.95 * (SELECT sum(y) FROM sd))
+    SELECT stratum, count(*) AS n, round(avg(CAST(p < thr.t AS DOUBLE)), {D}) AS flag_rate,
+      round(count(*) FILTER (WHERE p < thr.t AND y = 1) / nullif(count(*) FILTER (WHERE y = 1), 0), {D}) AS missed_positive_rate,
+      coalesce(CAST(count(*) FILTER (WHERE p < thr.t AND y = 1) / nullif(count(*) FILTER (WHERE y = 1), 0) > 0.05 AS INTEGER), 0) AS violates
+    FROM sd, thr GROUP BY stratum""",
+)
+def stratum_flag_rates(spark, sf):
+    """The pooled operating threshold applied inside each stratum: flag rate,
+    missed-positive rate and violations of the sensitivity target."""
+    d = S.scored_docs(spark, sf)
+    thr = M.operating_point(d, "y", "p", 0.95).select(F.col("threshold").alias("_thr"))
+    j = M.join_groups(d, thr, [])
+    return rnd(R.flag_rates_by(j, "y", "p", F.col("_thr"), ["stratum"], 0.95))
+
+
+@query(
+    "subtype_rates",
+    f"""SELECT subtype, lang, level, tp, fp, fn, tn,
+      round(tp / nullif(tp + fn, 0), {D}) AS sensitivity, round(tn / nullif(tn + fp, 0), {D}) AS specificity,
+      round(tp / nullif(tp + fp, 0), {D}) AS ppv, round(tn / nullif(tn + fn, 0), {D}) AS npv FROM (
+      SELECT subtype, lang, CAST(grouping(subtype, lang) AS INTEGER) AS level, count(*) FILTER (WHERE t AND p) AS tp, count(*) FILTER (WHERE NOT t AND p) AS fp,
+        count(*) FILTER (WHERE t AND NOT p) AS fn, count(*) FILTER (WHERE NOT t AND NOT p) AS tn
+      FROM (SELECT coalesce(({sql_subtype('d.text', STANDIN_WIDE)}), '(none)') AS subtype,
+              d.lang, l.quality = 1 AS t, ({sql_label('d.text', STANDIN_WIDE)}) = 'Positive' AS p
+            FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+      GROUP BY ROLLUP (subtype, lang))""",
+)
+def subtype_rates(spark, sf):
+    """Rule labeller vs gold per subtype, overall and by language group (rollup)."""
+    lab = LB.label_text(S.notes(spark, sf), STANDIN_WIDE).withColumn("subtype", F.coalesce("subtype", F.lit("(none)")))
+    j = lab.join(S.gold(spark, sf), "note_id").join(S.notes(spark, sf).select("note_id", F.col("hadm_id").alias("lang")), "note_id")
+    return rnd(R.rates_rollup(j, F.col("gold_label") == "Positive", F.col("label") == "Positive", ["subtype", "lang"]))
+
+
+# Published yields of head imaging in intensive care, as cited by
+# the study's literature review (source, positive rate).
+PUBLISHED_YIELDS = [("Chokshi", 0.228), ("Khan", 0.121), ("Purmer", 0.51)]
+
+
+@query(
+    "yield_vs_published",
+    f"""WITH lit(source, published_rate) AS (VALUES ('Chokshi', 0.228::DOUBLE), ('Khan', 0.121::DOUBLE), ('Purmer', 0.51::DOUBLE)),
+    ours AS (SELECT count(*) AS n, avg(CAST(y AS DOUBLE)) AS our_rate FROM {_ORDERS_SQL})
+    SELECT source, published_rate, n, round(our_rate, {D}) AS our_rate, round(our_rate - published_rate, {D}) AS difference
+    FROM lit, ours""",
+)
+def yield_vs_published(spark, sf):
+    """Cohort positive rate next to published yields (fixed literature table)."""
+    lit = F.broadcast(spark.createDataFrame(PUBLISHED_YIELDS, "source string, published_rate double"))
+    ours = S.index_orders(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("y").cast("double")).alias("our_rate"))
+    j = M.join_groups(lit, ours, [])
+    return rnd(j.withColumn("difference", F.col("our_rate") - F.col("published_rate")))
