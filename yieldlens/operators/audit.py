@@ -52,6 +52,16 @@ def disagreement_list(df: DataFrame, a: str, b: str, a_val: str = "Negative", b_
     return decided(df, [a, b]).where((F.col(a) == a_val) & (F.col(b) == b_val))
 
 
+def attach_text(rows: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """Join report text onto selected rows. A proven-small selection is broadcast
+    into a map-side join over the report table; otherwise a regular join."""
+    from .sizing import is_small
+
+    if is_small(rows.select(key)):
+        return texts.join(F.broadcast(rows), key)
+    return rows.join(texts, key)
+
+
 def triage_sheet(
     df: DataFrame,
     text_col: str,

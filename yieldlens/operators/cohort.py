@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordering import sequence_number
 from .sizing import broadcast_if_small
 
@@ -119,7 +120,8 @@ def attrition_flow(
     for _, cond in steps:
         alive = alive & F.coalesce(cond, F.lit(False))
         passed = passed + alive.cast("int")
-    t = df.select(*distinct_keys, passed.alias("_k"))
+    # narrow (keys, steps passed) table, written once and read by every count below
+    t = cut_lineage(df.select(*distinct_keys, passed.alias("_k")))
     names = ["all"] + [n for n, _ in steps]
     spark = df.sparkSession
     grid = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "step int, step_name string")

@@ -12,7 +12,7 @@ from ..functions.text import REPORT_PROMPT, STANDIN_REDUCED, STANDIN_WIDE, parse
 from ..operators import audit as A
 from ..operators import labeling as LB
 from ..operators import metrics as M
-from ..session import table
+from ..session import cut_lineage, table
 from ..sources import standins as S
 from .q_metrics import D, rnd
 from .registry import q, query
@@ -33,11 +33,19 @@ def stub_labeller(texts: pd.Series) -> pd.Series:
 
 
 def audit_base(spark, sf):
-    """(note_id, subject_id, regex_label, llm_label, text) for every report."""
+    """(note_id, subject_id, regex_label, llm_label) for every report. The label
+    table (no text) is written once: external labels are costly to recompute (a
+    remote service in real use), and every audit step reads them several times."""
     n = S.notes(spark, sf)
-    rx = LB.label_text(n, STANDIN_REDUCED, out="regex_label", subtype_out=None, keep_text=True)
+    rx = LB.label_text(n, STANDIN_REDUCED, out="regex_label", subtype_out=None)
     ext = A.external_label(n, "note_id", "text", stub_labeller).select("note_id", F.col("ext_label").alias("llm_label"))
-    return rx.join(ext, "note_id").select("note_id", "subject_id", "regex_label", "llm_label", "text")
+    return cut_lineage(rx.select("note_id", "subject_id", "regex_label").join(ext, "note_id"))
+
+
+def with_text(spark, sf, rows):
+    """Attach report text to selected rows (broadcast side when the selection is
+    proven small, so the report table is not shuffled)."""
+    return A.attach_text(rows, S.notes(spark, sf).select("note_id", "text"), "note_id")
 
 
 _STUB_SQL = "CASE WHEN contains(lower(coalesce(text, '')), 'there') THEN 'Positive' ELSE 'Negative' END"
@@ -109,7 +117,7 @@ _DIS_SQL = f"(SELECT * FROM {_AUDIT_SQL} WHERE regex_label = 'Negative' AND llm_
 @query("disagreement_list", f"SELECT note_id, subject_id, regex_label, llm_label FROM {_DIS_SQL}")
 def disagreement_list(spark, sf):
     """The suspected false negatives, for review."""
-    return A.disagreement_list(audit_base(spark, sf), "regex_label", "llm_label").drop("text")
+    return A.disagreement_list(audit_base(spark, sf), "regex_label", "llm_label")
 
 
 def _excerpt_sql(text: str, n: int, anchor: str) -> str:
@@ -134,7 +142,7 @@ _TRIAGE_SQL = f"""(SELECT note_id, subject_id, regex_label, llm_label, excerpt,
 def _triage(spark, sf):
     from ..functions.text import TRIAGE_LABELS
 
-    dis = A.disagreement_list(audit_base(spark, sf), "regex_label", "llm_label")
+    dis = with_text(spark, sf, A.disagreement_list(audit_base(spark, sf), "regex_label", "llm_label"))
     return A.triage_sheet(dis, "text", ACUTE, STABLE, TRIAGE_LABELS, 500, ANCHOR)
 
 
@@ -263,7 +271,7 @@ def gold_sample_shortage(spark, sf):
 def blind_sheet(spark, sf):
     """Blinded sheet of the gold sample: review id, excerpt, blanks; no ids/labels."""
     s, _ = _gold(spark, sf)
-    return A.blind_sheet(s, "text", 600, ANCHOR)
+    return A.blind_sheet(with_text(spark, sf, s), "text", 600, ANCHOR)
 
 
 def _batch2(spark, sf):
@@ -335,7 +343,7 @@ def weighted_rates(spark, sf):
     key = A.blind_key(s, "note_id", "regex_label", "llm_label")
     j = key.join(S.gold(spark, sf).select("note_id", "gold_label"), "note_id")
     j = j.withColumn("t", (F.col("gold_label") == "Positive").cast("int")).withColumn("pp", (F.col("regex_label") == "Positive").cast("int"))
-    pop = audit_base(spark, sf).drop("text")
+    pop = audit_base(spark, sf)
     return rnd(A.weighted_rates(j, ["regex_label", "llm_label"], pop, "t", "pp"), 6)
 
 

@@ -9,6 +9,7 @@ from ..operators import cohort as C
 from ..operators import lookback as L
 from ..operators import prep as PR
 from ..operators import splits as SP
+from ..session import cut_lineage
 from ..sources import standins as S
 from .q_cohort import _ORDERS_SQL
 from .q_lookback import _M, H24
@@ -168,9 +169,10 @@ def _oof_sql(feature: str) -> str:
 
 
 def _oof(spark, sf, feature: str):
+    """Stacked out-of-fold scores, written once: every metric reads them again."""
     o = S.index_orders(spark, sf).withColumn("hour", F.hour("t0"))
     assigned = SP.assign_folds(o, SP.grouped_kfold(o, "subject_id", "y", K, _OOF_REPS), "subject_id")
-    return CM.oof_target_mean(assigned, feature, "y")
+    return cut_lineage(CM.oof_target_mean(assigned, feature, "y"))
 
 
 @query(
