@@ -210,12 +210,14 @@ def oof_predictions(
     folds: DataFrame,
     max_workers: int = 8,
     extra: Sequence[str] = (),
+    train_transform: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Out-of-fold probability for every row and repetition.
 
     ``folds`` is (rep, group, fold). For each (rep, fold) the preparation and the
     model are fitted on the other folds and applied to this fold. Output:
     (rep, fold, key, label, p, *extra) — exactly one score per (rep, row).
+    ``train_transform`` (e.g. class rebalancing) applies to training folds only.
     """
     assigned = df.join(folds, spec.group).withColumn("label_d", F.col(spec.label).cast("double"))
     # carried columns survive preparation (which replaces categorical inputs)
@@ -225,7 +227,10 @@ def oof_predictions(
     def run(cell):
         rep, fold = cell
         part = assigned.where(F.col("rep") == rep)
-        train = part.where(F.col("fold") != fold).cache()
+        train = part.where(F.col("fold") != fold)
+        if train_transform is not None:
+            train = train_transform(train)
+        train = train.cache()
         test = part.where(F.col("fold") == fold)
         tr, te, _ = prepare(train, test, spec)
         tr = tr.cache()
@@ -281,6 +286,18 @@ def permutation_importance(
     return out.crossJoin(F.broadcast(base)).withColumn("importance", F.col("base_auroc") - F.col("permuted_auroc"))
 
 
+def downsample_majority(train: DataFrame, label: str, key: str, seed: int = 11) -> DataFrame:
+    """Balance classes by keeping, in every class, the first n_minority rows in
+    md5(seed ':' key) order (exact per-class quota, deterministic)."""
+    from .ordering import first_n
+    from .splits import seeded_hash
+
+    counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    m = counts.agg(F.min("_nc").alias("_quota"))
+    t = train.crossJoin(F.broadcast(m)).withColumn("_h", seeded_hash(seed, key))  # one-row minimum
+    return first_n(t, [label], [F.col("_h"), F.col(key)], "_quota", out="_r").drop("_h", "_r", "_quota")
+
+
 def calibrate(oof: DataFrame, label: str, score: str = "p", method: str = "platt") -> DataFrame:
     """Recalibrate out-of-fold scores: 'platt' (logistic on the score) or 'isotonic'."""
     v = VectorAssembler(inputCols=[score], outputCol="_s").transform(oof.withColumn("_y", F.col(label).cast("double")))

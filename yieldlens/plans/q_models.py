@@ -147,3 +147,17 @@ def within_unit_increment(spark, sf):
         )
     j = res["C_clinical"].join(res["B_context"], "unit")
     return rnd(j.withColumn("increment", F.col("auroc_C_clinical") - F.col("auroc_B_context")), 6)
+
+
+@query("resampling_compare")
+def resampling_compare(spark, sf):
+    """Class imbalance handled by balanced weights vs by down-sampling the majority
+    class in each training fold (logistic model): fold AUROC / AUPRC means."""
+    f = _frame(spark, sf)
+    folds = SP.grouped_kfold(f, SPEC.group, SPEC.label, K, 1)
+    parts = []
+    for name, tt in [("weights", None), ("downsample", lambda t: ML.downsample_majority(t, "y", "order_id"))]:
+        oof = ML.oof_predictions(f, SPEC, "logistic", folds, train_transform=tt)
+        parts.append(M.ranking_metrics(oof, "y", "p", ["rep", "fold"]).withColumn("variant", F.lit(name)))
+    m = parts[0].unionByName(parts[1])
+    return rnd(m.groupBy("variant").agg(F.avg("auroc").alias("auroc_mean"), F.avg("average_precision").alias("auprc_mean")), 6)
