@@ -32,9 +32,10 @@ def test_global_running_sum(spark):
     assert got.exceptAll(want).count() == 0
 
 
-def test_first_n_with_per_row_quota(spark):
+@pytest.mark.parametrize("limit", [100, 10**9], ids=["sliced", "plain"])
+def test_first_n_with_per_row_quota(spark, limit):
     df = _skewed(spark).withColumn("q", F.when(F.col("k") == 0, 7).otherwise(2))
-    got = first_n(df, ["k"], ["t", "id"], "q", max_group_rows=0).select("id")
+    got = first_n(df, ["k"], ["t", "id"], "q", max_group_rows=limit).select("id")
     w = Window.partitionBy("k").orderBy("t", "id")
     want = df.withColumn("r", F.row_number().over(w)).where("r <= q").select("id")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

@@ -106,18 +106,23 @@ def first_n(
     order: Sequence[str | Column],
     n: int | str | Column,
     out: str = "rn",
-    salts: int = 64,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Rows whose row number inside ``by`` (by ``order``) is <= n, with the number.
 
-    ``n`` may be a per-row column (a quota joined in). Stage one keeps the first n
-    of each (group, salt) slice, so a hot group is cut down by many tasks; the exact
-    numbering then runs on at most ``salts * n`` rows per group.
+    ``n`` may be a per-row column (a quota joined in). Bounded groups use one plain
+    window. Otherwise each group is split into ``ceil(largest / max_group_rows)``
+    hash slices; stage one keeps the first n of every slice (bounded tasks) and the
+    exact numbering then runs on at most ``slices · n`` rows per group.
     """
     order_cols = _as_cols(order)
     ncol = F.lit(n) if isinstance(n, int) else (F.col(n) if isinstance(n, str) else n)
-    salt = F.pmod(F.xxhash64(*order_cols), F.lit(salts))
+    largest = largest_group(df, by)
+    if max_group_rows > 0 and largest <= max_group_rows:
+        w = Window.partitionBy(*[F.col(b) for b in by]).orderBy(*order_cols)
+        return df.withColumn("_n", ncol).withColumn(out, F.row_number().over(w)).where(F.col(out) <= F.col("_n")).drop("_n")
+    slices = max(2, -(-largest // max(1, max_group_rows)))
+    salt = F.pmod(F.xxhash64(*order_cols), F.lit(slices))
     w = Window.partitionBy(*[F.col(b) for b in by], F.col("_salt")).orderBy(*order_cols)
     pre = (
         df.withColumn("_salt", salt)
@@ -126,5 +131,5 @@ def first_n(
         .where(F.col("_r") <= F.col("_n"))
         .drop("_r", "_salt")
     )
-    ranked = sequence_number(pre, by, order, out, max_group_rows=max_group_rows)
+    ranked = sequence_number(pre, by, order, out, max_group_rows=0)
     return ranked.where(F.col(out) <= F.col("_n")).drop("_n")

@@ -93,3 +93,28 @@ def label_version_disagreement(spark, sf):
     a = label_text(S.notes(spark, sf), STANDIN_WIDE, out="label_a", subtype_out=None)
     b = label_text(S.notes(spark, sf), STANDIN_NARROW, out="label_b", subtype_out=None)
     return version_drift(a, b, key, "label_a", "label_b")
+
+
+@query(
+    "label_with_sequence",
+    f"""SELECT n.source AS subject_id, n.lang AS hadm_id, n.doc_id AS note_id, n.n_chars AS chart_order, d.lang AS exam,
+      CASE WHEN regexp_matches(n.text, '(?i)that[:\\s]*([\\s\\S]+)')
+        THEN regexp_replace(regexp_extract(n.text, '(?i)that[:\\s]*([\\s\\S]+)', 1), '^\\s+|\\s+$', '', 'g') END AS impression,
+      {sql_label('n.text', STANDIN_NARROW)} AS label, {sql_subtype('n.text', STANDIN_NARROW)} AS subtype,
+      row_number() OVER (PARTITION BY n.source, n.lang ORDER BY n.n_chars, n.doc_id) AS seq
+    FROM documents n JOIN documents d ON n.doc_id = d.doc_id WHERE d.lang IN ('en', 'fr', 'de')""",
+)
+def label_with_sequence(spark, sf):
+    """The published row-level query: exam-filtered reports with the section
+    excerpt, narrow-rule label and subtype and the sequence number per (patient,
+    admission), ordered by patient, admission, sequence."""
+    from ..functions.text import section
+    from ..operators.cohort import exam_notes, scan_sequence
+
+    n = S.notes(spark, sf).withColumn("impression", section(F.col("text"), "that"))
+    lab = label_text(n, STANDIN_NARROW)  # text dropped after labelling
+    j = exam_notes(lab, S.note_details(spark, sf), EXAMS)
+    seq = scan_sequence(j, ["subject_id", "hadm_id"], ["chart_order", "note_id"], "seq")
+    return seq.select("subject_id", "hadm_id", "note_id", "chart_order", "exam", "impression", "label", "subtype", "seq").orderBy(
+        "subject_id", "hadm_id", "seq"
+    )

@@ -132,7 +132,7 @@ def _nb_sql(grid: list[float], g: str) -> str:
     join = f"AND d.{g} = s.{g}" if g else ""
     return f"""WITH sd AS {SD}, t(threshold) AS (VALUES {vals}),
     s AS (SELECT {g + ', ' if g else ''}count(*) AS n, sum(y) AS n_pos FROM sd {"GROUP BY " + g if g else ""})
-    SELECT {gsel}t.threshold,
+    SELECT {gsel}round(t.threshold, {D}) AS threshold,
       CAST((SELECT count(*) FROM sd d WHERE d.p >= t.threshold AND d.y = 1 {join}) AS BIGINT) AS tp,
       CAST((SELECT count(*) FROM sd d WHERE d.p >= t.threshold AND d.y = 0 {join}) AS BIGINT) AS fp,
       CAST(s.n AS BIGINT) AS n,

@@ -192,7 +192,7 @@ pts AS (SELECT rep, unit, p, sum(y) AS tp, count(*) - sum(y) AS fp FROM preds GR
 c AS (SELECT *, sum(tp) OVER (PARTITION BY rep, unit ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS ct,
                 sum(fp) OVER (PARTITION BY rep, unit ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS cf FROM pts),
 m AS (SELECT rep, unit, max(ct) + max(cf) AS n, max(ct) AS npos,
-        round(sum(fp * (ct - tp / 2.0)) / nullif(max(ct) * max(cf), 0), {D}) AS auroc FROM c GROUP BY rep, unit),
+        sum(fp * (ct - tp / 2.0)) / nullif(max(ct) * max(cf), 0) AS auroc FROM c GROUP BY rep, unit),
 g AS (SELECT * FROM m WHERE unit = '(pooled)' OR (n >= 40 AND npos > 0 AND npos < n)),
 sz AS (SELECT unit, CAST(count(*) / count(DISTINCT rep) AS BIGINT) AS n_rows, avg(CAST(y AS DOUBLE)) AS positive_rate
        FROM preds GROUP BY unit

@@ -46,10 +46,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     it is unset (local tests) a private scratch folder is created.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir()
+    if not d and current:
+        return current
     if not d:
         d = tempfile.mkdtemp(prefix="yl-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # core settings may be read-only at runtime
+            pass
+    if current is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
