@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import MAX_GROUP_ROWS, largest_group, running_sums, sequence_number
+from . import ordering
+from .ordering import largest_group, running_sums, sequence_number
 from .sizing import broadcast_if_small
 
 
@@ -291,7 +292,7 @@ def exact_quantiles(
     qs: Sequence[float],
     by: Sequence[str] = (),
     names: Sequence[str] | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group (same as SQL
     ``quantile_cont``/``percentile``), NULLs ignored.
@@ -304,7 +305,8 @@ def exact_quantiles(
     g = _grp(by)
     names = list(names or [f"q{int(round(q * 1000)):04d}" for q in qs])
     v = df.where(F.col(col).isNotNull()).select(*g, F.col(col).cast("double").alias("_v"))
-    if largest_group(v, g) <= max_group_rows:
+    limit = ordering.MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
+    if largest_group(v, g) <= limit:
         # every group is small: one exact percentile aggregate per group
         pc = F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs]))
         return v.groupBy(*g).agg(pc.alias("_qs")).select(*g, *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)])

@@ -36,6 +36,11 @@ from ..session import cut_lineage, shuffle_partitions
 MAX_GROUP_ROWS = 2_000_000
 
 
+def _limit(max_group_rows: int | None) -> int:
+    """Per-call override, else the module setting (read at call time)."""
+    return MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
+
+
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     """Row count of the biggest ``by`` group (a partial aggregate, skew-safe)."""
     if not by:
@@ -54,7 +59,7 @@ def running_sums(
     order: Sequence[str | Column],
     sums: Mapping[str, Column],
     partitions: int | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums ``sum(expr) over (partition by by order by order rows
     unbounded preceding)`` for each ``name -> expr``. ``order`` must be a total order
@@ -62,6 +67,7 @@ def running_sums(
     ``max_group_rows=0`` always takes the skew-safe path."""
     n = partitions or shuffle_partitions(df.sparkSession)
     order_cols = _as_cols(order)
+    max_group_rows = _limit(max_group_rows)
     if max_group_rows > 0 and largest_group(df, by) <= max_group_rows:
         wp = Window.partitionBy(*[F.col(b) for b in by]).orderBy(*order_cols).rowsBetween(
             Window.unboundedPreceding, Window.currentRow
@@ -94,7 +100,7 @@ def sequence_number(
     order: Sequence[str | Column],
     out: str = "rn",
     partitions: int | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Exact ``row_number() over (partition by by order by order)``, skew-safe."""
     return running_sums(df, by, order, {out: F.lit(1).cast("long")}, partitions, max_group_rows)
@@ -106,7 +112,7 @@ def first_n(
     order: Sequence[str | Column],
     n: int | str | Column,
     out: str = "rn",
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Rows whose row number inside ``by`` (by ``order``) is <= n, with the number.
 
@@ -117,6 +123,7 @@ def first_n(
     """
     order_cols = _as_cols(order)
     ncol = F.lit(n) if isinstance(n, int) else (F.col(n) if isinstance(n, str) else n)
+    max_group_rows = _limit(max_group_rows)
     largest = largest_group(df, by)
     if max_group_rows > 0 and largest <= max_group_rows:
         w = Window.partitionBy(*[F.col(b) for b in by]).orderBy(*order_cols)
