@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def epoch_micros(c: str | Column) -> Column:
-    """Microseconds since epoch of a wall-clock (NTZ) timestamp, read as UTC."""
+    """Microseconds from 1970-01-01 00:00 to a wall-clock (NTZ) timestamp; no time
+    zone is involved, so results do not depend on the session time zone."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.unix_micros(F.to_utc_timestamp(col.cast("timestamp"), "UTC"))
+    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), col.cast("timestamp_ntz"))
 
 
 def hours_and_shift(

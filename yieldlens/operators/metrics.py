@@ -265,7 +265,8 @@ def fleiss_kappa(long: DataFrame, item: str, rater: str, label: str, by: Sequenc
     good = ok.where(F.col("_m") == F.col("_mall")).select(*g, item, "_mall")
     skipped = ok.where(F.col("_m") != F.col("_mall")).groupBy(*g).agg(F.count(F.lit(1)).alias("n_items_skipped"))
     nij = d.join(good, [*g, item]).groupBy(*g, item, label, "_mall").agg(F.count(F.lit(1)).alias("_nij"))
-    pi = nij.groupBy(*g, item, "_mall").agg(((F.sum(F.col("_nij") ** 2) - F.first("_mall")) / (F.first("_mall") * (F.first("_mall") - 1))).alias("_Pi"))
+    m = F.first("_mall")
+    pi = nij.groupBy(*g, item, "_mall").agg(F.try_divide(F.sum(F.col("_nij") ** 2) - m, m * (m - 1)).alias("_Pi"))
     pbar = pi.groupBy(*g).agg(F.avg("_Pi").alias("p_bar"), F.count(F.lit(1)).alias("n_items"), F.first("_mall").alias("raters"))
     pj = nij.groupBy(*g, label).agg(F.sum("_nij").alias("_cj"))
     tot = pj.groupBy(*g).agg(F.sum(F.col("_cj")).alias("_all"), F.collect_list("_cj").alias("_cs"))
