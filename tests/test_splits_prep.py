@@ -62,3 +62,13 @@ def test_balanced_weights(spark):
     tr = spark.createDataFrame([(0,), (0,), (0,), (1,)], "y int")
     w = {r.y: r.weight for r in PR.balanced_weights(tr, tr, "y").distinct().collect()}
     assert w[0] == pytest.approx(4 / 6) and w[1] == pytest.approx(2.0)
+
+
+def test_distinct_counts_exact_and_sketch(spark):
+    from yieldlens.operators.report import distinct_counts
+
+    df = spark.range(5000).selectExpr("id", "id % 997 AS k", "CASE WHEN id % 10 = 0 THEN NULL ELSE id % 13 END AS j")
+    exact = distinct_counts(df, ["k", "j"]).first()
+    assert (exact.n_rows, exact.n_k, exact.n_j) == (5000, 997, 13)
+    approx = distinct_counts(df, ["k"], approx=True).first()
+    assert abs(approx.n_k - 997) <= 0.1 * 997

@@ -254,9 +254,10 @@ def cohen_kappa(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFr
     return j.select(*g, "n", "n_agree", po.alias("p_observed"), pe_.alias("p_expected"), F.try_divide(po - pe_, 1 - pe_).alias("kappa"))
 
 
-def fleiss_kappa(long: DataFrame, item: str, rater: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+def fleiss_kappa(long: DataFrame, item: str, rater: str, label: str, by: Sequence[str] = (), gate: float | None = None) -> DataFrame:
     """Fleiss' κ from long (item, rater, label) rows; items must share one rater
-    count m (items with another count are excluded and reported as n_items_skipped)."""
+    count m (items with another count are excluded and reported as n_items_skipped).
+    With ``gate`` a ``passes_gate`` flag (κ >= gate) is added (acceptance rule)."""
     g = _grp(by)
     d = long.where(F.col(label).isNotNull())
     per_item = d.groupBy(*g, item).agg(F.count(F.lit(1)).alias("_m"))
@@ -276,7 +277,7 @@ def fleiss_kappa(long: DataFrame, item: str, rater: str, label: str, by: Sequenc
         j = j.join(skipped, g, "left")
     else:  # a global aggregate over possibly no rows still gives one row
         j = join_groups(j, skipped.agg(F.sum("n_items_skipped").alias("n_items_skipped")), g)
-    return j.select(
+    res = j.select(
         *g,
         "n_items",
         "raters",
@@ -285,6 +286,9 @@ def fleiss_kappa(long: DataFrame, item: str, rater: str, label: str, by: Sequenc
         "p_e",
         F.try_divide(F.col("p_bar") - F.col("p_e"), 1 - F.col("p_e")).alias("kappa"),
     )
+    if gate is None:
+        return res
+    return res.withColumn("passes_gate", F.coalesce((F.col("kappa") >= gate).cast("int"), F.lit(0)))
 
 
 def exact_quantiles(

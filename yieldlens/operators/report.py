@@ -18,9 +18,12 @@ def class_counts(df: DataFrame, col: str) -> DataFrame:
     return df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), col)
 
 
-def distinct_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def distinct_counts(df: DataFrame, keys: Sequence[str], approx: bool = False) -> DataFrame:
     """n_rows and exact distinct counts per key column. Each distinct count is its
-    own two-phase aggregate (group by the key, then count), so no row expansion."""
+    own two-phase aggregate (group by the key, then count), so no row expansion.
+    ``approx`` uses one pass of HyperLogLog sketches instead."""
+    if approx:
+        return df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.approx_count_distinct(k).alias(f"n_{k}") for k in keys])
     out = df.agg(F.count(F.lit(1)).alias("n_rows"))
     for k in keys:
         d = df.where(F.col(k).isNotNull()).groupBy(k).agg(F.lit(1).alias("_x")).agg(F.count(F.lit(1)).alias(f"n_{k}"))
@@ -171,3 +174,14 @@ def rates_rollup(df: DataFrame, truth: Column, pred: Column, levels: Sequence[st
         F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"),
     )
     return rates(r)
+
+
+def likely_errors(df: DataFrame, key: str, label: str, score: str) -> DataFrame:
+    """Rows whose given label disagrees with the confident class, ranked by margin
+    (how far the other class's probability exceeds its threshold), largest first."""
+    p1, p0 = F.col(score), 1 - F.col(score)
+    t = df.agg(F.avg(F.when(F.col(label) == 1, p1)).alias("_t1"), F.avg(F.when(F.col(label) == 0, p0)).alias("_t0"))
+    j = join_groups(df, t, [])
+    margin = F.when(F.col(label) == 1, p0 - F.col("_t0")).otherwise(p1 - F.col("_t1"))
+    flagged = F.when(F.col(label) == 1, p0 >= F.col("_t0")).otherwise(p1 >= F.col("_t1"))
+    return j.where(flagged).select(key, F.col(label).alias("given"), margin.alias("margin")).orderBy(F.desc("margin"), key)

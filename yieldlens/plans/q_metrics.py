@@ -243,11 +243,13 @@ def _raters3(spark, sf):
     pe AS (SELECT sum((cj / (SELECT sum(cj) FROM pj)) ^ 2) AS p_e FROM pj)
     SELECT (SELECT count(*) FROM pi) AS n_items, (SELECT CAST(max(m) AS BIGINT) FROM m) AS raters,
       CAST(0 AS BIGINT) AS n_items_skipped, round((SELECT avg(p) FROM pi), {D}) AS p_bar, round(p_e, {D}) AS p_e,
-      round(((SELECT avg(p) FROM pi) - p_e) / (1 - p_e), {D}) AS kappa FROM pe""",
+      round(((SELECT avg(p) FROM pi) - p_e) / (1 - p_e), {D}) AS kappa,
+      coalesce(CAST(((SELECT avg(p) FROM pi) - p_e) / (1 - p_e) >= 0.8 AS INTEGER), 0) AS passes_gate FROM pe""",
 )
 def fleiss_kappa(spark, sf):
-    """Fleiss' κ over three raters (two label columns and the rule labeller)."""
-    return rnd(M.fleiss_kappa(_raters3(spark, sf), "item", "rater", "label"))
+    """Fleiss' κ over three raters (two label columns and the rule labeller), with
+    the acceptance gate κ ≥ 0.80."""
+    return rnd(M.fleiss_kappa(_raters3(spark, sf), "item", "rater", "label", gate=0.8))
 
 
 @query(

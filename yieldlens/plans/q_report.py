@@ -361,3 +361,15 @@ def yield_vs_published(spark, sf):
     ours = S.index_orders(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("y").cast("double")).alias("our_rate"))
     j = M.join_groups(lit, ours, [])
     return rnd(j.withColumn("difference", F.col("our_rate") - F.col("published_rate")))
+
+
+@query(
+    "likely_errors",
+    f"""WITH sd AS {SD}, t AS (SELECT avg(CASE WHEN y = 1 THEN p END) AS t1, avg(CASE WHEN y = 0 THEN 1 - p END) AS t0 FROM sd)
+    SELECT key, y AS given, round(CASE WHEN y = 1 THEN (1 - p) - t0 ELSE p - t1 END, {D}) AS margin FROM sd, t
+    WHERE CASE WHEN y = 1 THEN 1 - p >= t0 ELSE p >= t1 END ORDER BY margin DESC, key""",
+)
+def likely_errors(spark, sf):
+    """Labelled reports whose score confidently contradicts the label, by margin."""
+    return rnd(R.likely_errors(S.scored_docs(spark, sf), "key", "y", "p"))
+
