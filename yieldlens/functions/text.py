@@ -1,11 +1,12 @@
 """Report-text column expressions: rule-cascade labelling and section helpers.
 
-Everything here returns a ``Column`` built from Spark's own regex functions, so
+Everything here returns a ``Column`` built from Spark's own string and regex functions, so
 labelling stays inside whole-stage codegen (no Python per row).
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -41,14 +42,52 @@ def windowed(anchors: str, window: int, body: str) -> str:
     return f"(?i)({anchors})[\\s\\S]{{0,{window}}}({body})"
 
 
-def rule_matches(text: Column, rules: RuleSet, body: str) -> Column:
-    """Windowed match with an exact linear-time prefilter: the body must occur at all
-    before the (costlier) anchored window is tried. ``And`` short-circuits."""
-    return text.rlike(f"(?i)({body})") & text.rlike(windowed(rules.anchors, rules.window, body))
+_PLAIN = re.compile(r"^[A-Za-z0-9 \-]+$")
+
+
+def literal_terms(body: str) -> list[str] | None:
+    """The alternatives of ``body`` when all are plain text (no regex syntax)."""
+    parts = body.split("|")
+    return parts if all(_PLAIN.match(p) for p in parts) else None
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def ascii_fold(text: Column) -> Column:
+    """Fold A–Z to a–z and nothing else: one character for one, so positions and
+    lengths are unchanged (unlike a full Unicode ``lower``). The patterns' ``(?i)``
+    is ASCII-only, so matching lower-case patterns on the folded text is the same
+    test, run by the regex engine without case folding."""
+    return F.translate(text, _UPPER, _UPPER.lower())
+
+
+def occurs(folded: Column, body: str) -> Column:
+    """Necessary condition for ``body`` to occur anywhere in the folded text. Plain
+    alternatives are byte searches (``instr``), other bodies a regex."""
+    terms = literal_terms(body)
+    if terms is None:
+        return folded.rlike(f"({body.lower()})")
+    cond = None
+    for t in terms:
+        c = F.instr(folded, t.lower()) > 0
+        cond = c if cond is None else cond | c
+    return cond
+
+
+def rule_matches(folded: Column, rules: RuleSet, body: str) -> Column:
+    """Windowed match on the folded text behind exact prefilters: some anchor and
+    some body term must occur at all before the (costlier) anchored window is
+    tried; ``And`` short-circuits, so most rows never reach the windowed pattern."""
+    # (?s:.) is the same "any character" as [\s\S], tested with one predicate
+    pattern = f"({rules.anchors.lower()})(?s:.){{0,{rules.window}}}({body.lower()})"
+    return occurs(folded, rules.anchors) & occurs(folded, body) & folded.rlike(pattern)
 
 
 def label_column(text: Column, rules: RuleSet) -> Column:
-    """Ordered CASE cascade of ``rules``. NULL text falls through to the default."""
+    """Ordered CASE cascade of ``rules``. NULL text falls through to the default.
+    ``text`` should be ASCII-folded once (``ascii_fold``) by the caller."""
+    _check(rules)
     expr = None
     for c in rules.classes:
         cond = rule_matches(text, rules, c.include)
@@ -59,6 +98,8 @@ def label_column(text: Column, rules: RuleSet) -> Column:
 
 
 def subtype_column(text: Column, rules: RuleSet) -> Column:
+    """Independent first-match subtype cascade on the ASCII-folded text."""
+    _check(rules)
     expr = None
     for name, body in rules.subtypes:
         cond = rule_matches(text, rules, body)
@@ -66,6 +107,13 @@ def subtype_column(text: Column, rules: RuleSet) -> Column:
     return expr if expr is not None else F.lit(None).cast("string")
 
 
+def _check(rules: RuleSet) -> None:
+    # lower-casing a pattern must not change its meaning (no escapes like \S)
+    bodies = [rules.anchors] + [b for c in rules.classes for b in (c.include, c.exclude) if b] + [b for _, b in rules.subtypes]
+    if any("\\" in b for b in bodies):
+        raise ValueError(f"rule set {rules.name}: escapes are not supported in anchors or terms")
+
+
 def normalize_ws(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", " ")
 

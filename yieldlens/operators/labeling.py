@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import RuleSet, label_column, normalize_ws, subtype_column
+from ..functions.text import RuleSet, ascii_fold, label_column, normalize_ws, subtype_column
 from .cohort import exam_notes
 from .sizing import is_small
 
@@ -29,13 +29,16 @@ def label_text(
     text = F.col(text_col)
     if normalize_whitespace:
         text = normalize_ws(text)
-    cols = {out: label_column(text, rules)}
+    # fold once per row; every pattern of the cascade reads the folded copy
+    folded = df.withColumn("_folded", ascii_fold(text))
+    f = F.col("_folded")
+    cols = {out: label_column(f, rules)}
     if subtype_out:
-        st = subtype_column(text, rules)
+        st = subtype_column(f, rules)
         if subtype_only_for is not None:
             st = F.when(cols[out] == subtype_only_for, st)
         cols[subtype_out] = st
-    res = df.withColumns(cols)
+    res = folded.withColumns(cols).drop("_folded")
     return res if keep_text else res.drop(text_col)
 
 
