@@ -39,3 +39,4 @@ def test_every_sql_query_builds(spark):
     assert set(o) <= set(q)
     for name in ["label_wide", "scan_sequence", "auroc_by_unit", "gold_sample", "within_unit_auroc"]:
         assert q[name](spark, SMOKE).count() >= 0
+
