@@ -71,6 +71,20 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", forbidden: Sequ
         w.parquet(path)
 
 
+def write_reports_csv(df: DataFrame, path: str) -> None:
+    """Header CSV that round-trips free text: every field quoted, quotes doubled,
+    leading/trailing whitespace kept (the writer would trim it by default)."""
+    (
+        df.write.mode("overwrite")
+        .option("header", True)
+        .option("quoteAll", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
+
+
 def to_parquet(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
