@@ -14,7 +14,9 @@ from ..operators import splits as SP
 from ..sources import standins as S
 from ..session import cut_lineage
 from .q_metrics import rnd
-from .q_model_frame import FEATURES, K, SEED, frame
+from pyspark.ml.functions import vector_to_array
+
+from .q_model_frame import _FRAME_SQL, _SPLIT_SQL, FEATURES, K, SEED, frame
 from .registry import query
 
 SPEC = ML.FrameSpec(
@@ -161,3 +163,41 @@ def resampling_compare(spark, sf):
         parts.append(M.ranking_metrics(oof, "y", "p", ["rep", "fold"]).withColumn("variant", F.lit(name)))
     m = parts[0].unionByName(parts[1])
     return rnd(m.groupBy("variant").agg(F.avg("auroc").alias("auroc_mean"), F.avg("average_precision").alias("auprc_mean")), 6)
+
+
+_NUM = [*FEATURES, "hour"]
+_ASSEMBLED_SQL = (
+    f"""WITH f AS {_FRAME_SQL}, s AS {_SPLIT_SQL},
+    tr AS (SELECT f.* FROM f JOIN s USING (subject_id) WHERE s.is_test = 0),
+    m AS (SELECT """ + ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in _NUM) + """ FROM tr),
+    i AS (SELECT f.order_id, f.subject_id, f.unit, """
+    + ", ".join(f"coalesce(CAST(f.{c} AS DOUBLE), m.{c}) AS {c}" for c in _NUM) + ", "
+    + ", ".join(f"CAST(f.{c} IS NULL AS INTEGER) AS {c}_missing" for c in FEATURES)
+    + """ FROM f, m),
+    st AS (SELECT """ + ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in _NUM)
+    + """ FROM i JOIN s USING (subject_id) WHERE s.is_test = 0),
+    lv AS (SELECT DISTINCT unit FROM tr WHERE unit IS NOT NULL)
+    """
+    + " UNION ALL ".join(
+        f"SELECT order_id, '{c}' AS feature, round(({c} - mu_{c}) / CASE WHEN sd_{c} = 0 OR sd_{c} IS NULL THEN 1.0 ELSE sd_{c} END, 6) AS value FROM i, st"
+        for c in _NUM
+    )
+    + " UNION ALL "
+    + " UNION ALL ".join(f"SELECT order_id, '{c}_missing' AS feature, CAST({c}_missing AS DOUBLE) AS value FROM i" for c in FEATURES)
+    + " UNION ALL SELECT i.order_id, 'unit_' || lv.unit AS feature, CAST(coalesce(i.unit = lv.unit, false) AS DOUBLE) AS value FROM i, lv"
+)
+
+
+@query("assembled_features", _ASSEMBLED_SQL)
+def assembled_features(spark, sf):
+    """The model input vector of every order (preparation fitted on the training
+    patients: imputed and standardised numerics, missing flags, one-hot unit),
+    exploded to (order_id, feature, value) with the assembler's feature names."""
+    f = frame(spark, sf).withColumn("label_d", F.col("y").cast("double"))
+    split = SP.group_split(f, "subject_id", 0.2, SEED)
+    train = f.join(split.where("is_test = 0"), "subject_id")
+    _, all_rows, names = ML.prepare(train, f, SPEC)
+    arr = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"), vector_to_array("features").alias("value"))
+    long = all_rows.select("order_id", F.explode(arr).alias("z")).select("order_id", F.col("z.feature").alias("feature"),
+                                                                        F.col("z.value").alias("value"))
+    return long.withColumn("value", F.round("value", 6))
