@@ -78,3 +78,21 @@ def test_agreement_counts(spark):
     df = spark.createDataFrame([("Positive", "Positive"), ("Negative", "Positive"), ("Unclear", "Negative"), (None, "Negative")], "a string, b string")
     r = A.agreement(df, "a", "b").first()
     assert (r.n_total, r.n_comparable, r.n_agree) == (4, 2, 1)
+
+
+def test_input_guard_and_export_gate(spark, tmp_path):
+    from yieldlens.operators.quality import MissingInputError, assert_aggregate_only
+    from yieldlens.sources.io import require_input, write_result
+
+    with pytest.raises(MissingInputError):
+        require_input(spark, str(tmp_path / "absent.parquet"), ["note_id"], "gold labels")
+    agg = spark.createDataFrame([("Positive", 12), ("Negative", 3)], "label string, n long")
+    with pytest.raises(AssertionError):
+        assert_aggregate_only(agg, ["note_id", "text"], min_cell=5)  # a cell below 5
+    rows = spark.createDataFrame([("1", "x")], "note_id string, text string")
+    with pytest.raises(AssertionError):
+        write_result(rows, str(tmp_path / "out"), forbidden=["note_id", "text"])
+    write_result(agg.where("n >= 5"), str(tmp_path / "ok"), forbidden=["note_id", "text"])
+    assert spark.read.parquet(str(tmp_path / "ok")).count() == 1
+    with pytest.raises(Exception):
+        require_input(spark, str(tmp_path / "ok"), ["note_id"], "export")  # lacks the column
