@@ -16,7 +16,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -306,7 +305,3 @@ def calibrate(oof: DataFrame, label: str, score: str = "p", method: str = "platt
         return m.transform(v).withColumn("p_cal", vector_to_array("probability")[1]).drop("_s", "_y", "rawPrediction", "probability", "prediction")
     m = IsotonicRegression(featuresCol="_s", labelCol="_y", predictionCol="p_cal").fit(v)
     return m.transform(v).drop("_s", "_y")
-
-
-def pipeline_of(*stages) -> Pipeline:
-    return Pipeline(stages=list(stages))

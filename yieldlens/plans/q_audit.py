@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.text import REPORT_PROMPT, STANDIN_REDUCED, STANDIN_WIDE, parse_reply, prompt, section, section_or_text
+from ..functions.text import REPORT_PROMPT, STANDIN_REDUCED, STANDIN_WIDE, prompt, section, section_or_text
 from ..operators import audit as A
 from ..operators import labeling as LB
 from ..operators import metrics as M
