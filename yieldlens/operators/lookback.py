@@ -37,17 +37,30 @@ def lookback_pairs(
     bucketed: bool = True,
     items: Sequence[str] | None = None,
     item_col: str = "itemid",
+    prune_by_time: bool = True,
 ) -> DataFrame:
     """Inner (order, event) pairs with ``t0 - w <= ts < t0`` on the same stay.
 
     ``start_col`` replaces the fixed window start by a per-order start time
     (e.g. admission start); then ``bucket_seconds`` must cover the longest
-    window. ``items`` prefilters events (pushed to the scan).
+    window. ``items`` prefilters events (pushed to the scan). With
+    ``prune_by_time`` the earliest window start and the latest order time (one
+    small aggregate) bound the event scan, so parquet row groups outside the
+    cohort's time span are skipped; no event outside those bounds can match.
     """
     ev = events.where(F.col(item_col).isin(list(items))) if items else events
     w = F.expr(f"INTERVAL {int(window_seconds)} SECONDS")
     lo = F.col(start_col) if start_col else F.col(t0) - w
     o = orders.withColumn("_lo", lo)
+    if prune_by_time:
+        # bounds travel as Spark-rendered strings and are cast back by the same
+        # session, so no Python time-zone conversion can shift them
+        first, last = o.agg(F.min("_lo").cast("string"), F.max(t0).cast("string")).first()
+        tt = dict(ev.dtypes)[ts]
+        if first is None:  # no orders: no pairs
+            ev = ev.limit(0)
+        else:
+            ev = ev.where((F.col(ts) >= F.lit(first).cast(tt)) & (F.col(ts) < F.lit(last).cast(tt)))
     cond_time = (F.col(ts) >= F.col("_lo")) & (F.col(ts) < F.col(t0))
     ev_cols = [c for c in ev.columns if c != stay]
     if not bucketed:
