@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import ordering
 from .ordering import largest_group, running_sums, sequence_number
 from .sizing import broadcast_if_small
+from .sizing import with_scalars
 
 
 def _grp(by: Sequence[str]) -> list[str]:
@@ -26,7 +27,7 @@ def join_groups(df: DataFrame, per_group: DataFrame, g: Sequence[str], how: str
     i.e. exactly one row, so it is broadcast to every row."""
     if g:
         return df.join(per_group, list(g), how)
-    return df.crossJoin(F.broadcast(per_group))
+    return with_scalars(df, per_group)
 
 
 def score_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:

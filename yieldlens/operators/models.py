@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import prep as PR
 from .metrics import ranking_metrics
+from .sizing import with_scalars
 
 
 @dataclass
@@ -300,7 +301,7 @@ def permutation_importance(
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    return out.crossJoin(F.broadcast(base)).withColumn("importance", F.col("base_auroc") - F.col("permuted_auroc"))
+    return with_scalars(out, base).withColumn("importance", F.col("base_auroc") - F.col("permuted_auroc"))
 
 
 def downsample_majority(train: DataFrame, label: str, key: str, seed: int = 11) -> DataFrame:
@@ -311,7 +312,7 @@ def downsample_majority(train: DataFrame, label: str, key: str, seed: int = 11)
 
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     m = counts.agg(F.min("_nc").alias("_quota"))
-    t = train.crossJoin(F.broadcast(m)).withColumn("_h", seeded_hash(seed, key))  # one-row minimum
+    t = with_scalars(train, m).withColumn("_h", seeded_hash(seed, key))  # one-row minimum
     return first_n(t, [label], [F.col("_h"), F.col(key)], "_quota", out="_r").drop("_h", "_r", "_quota")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .metrics import exact_quantiles
+from .sizing import with_scalars
 
 
 def feature_roles(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[list[str], list[str]]:
@@ -83,7 +84,7 @@ def _wide(params: DataFrame, by: Sequence[str], value: str, prefix: str, cols: S
 
 def _attach(df: DataFrame, params: DataFrame, by: Sequence[str]) -> DataFrame:
     # a fit without groups is exactly one row of parameters
-    return df.join(params, list(by)) if by else df.crossJoin(F.broadcast(params))
+    return df.join(params, list(by)) if by else with_scalars(df, params)
 
 
 def impute(df: DataFrame, train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -134,7 +135,7 @@ def balanced_weights(df: DataFrame, train: DataFrame, label: str, out: str = "we
     """Class weight n / (n_classes · n_class) from ``train``, attached to ``df``."""
     cls = train.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_nc"))
     tot = train.groupBy(*by).agg(F.count(F.lit(1)).alias("_nt"), F.countDistinct(label).alias("_k"))
-    w = (cls.join(tot, list(by)) if by else cls.crossJoin(F.broadcast(tot))).select(
+    w = (cls.join(tot, list(by)) if by else with_scalars(cls, tot)).select(
         *by, label, (F.col("_nt") / (F.col("_k") * F.col("_nc"))).alias(out)
     )
     return df.join(F.broadcast(w) if not by else w, [*by, label], "left")

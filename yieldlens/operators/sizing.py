@@ -21,3 +21,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataF
     table. Use it for lists (codes, quotas, lookups) whose size is input-driven.
     """
     return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row table (a global aggregate: totals, a
+    threshold, a count) to every row of ``df``. The right side holds exactly one
+    row by construction, so it is broadcast and no row pairs are formed."""
+    return df.crossJoin(F.broadcast(one_row))

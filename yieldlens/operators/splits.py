@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import sequence_number
+from .sizing import with_scalars
 
 
 def seeded_hash(seed: int | str | Column, key: str) -> Column:
@@ -25,7 +26,7 @@ def group_split(df: DataFrame, group: str, test_frac: float = 0.2, seed: int = 4
     g = df.where(F.col(group).isNotNull()).select(group).distinct().withColumn("_h", seeded_hash(seed, group))
     ranked = sequence_number(g, [], ["_h", group], "_r")
     cnt = g.agg(F.count(F.lit(1)).alias("_G"))
-    j = ranked.crossJoin(F.broadcast(cnt))  # one-row global count
+    j = with_scalars(ranked, cnt)  # one-row global count
     return j.select(group, (F.col("_r") <= F.ceil(F.col("_G") * F.lit(test_frac))).cast("int").alias("is_test"))
 
 
