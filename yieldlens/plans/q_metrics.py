@@ -265,3 +265,13 @@ def rater_rates(spark, sf):
     lab = LB.label_text(S.notes(spark, sf), STANDIN_WIDE, subtype_out=None)
     j = lab.join(S.gold(spark, sf), "note_id")
     return rnd(M.rates(M.confusion(j, F.col("gold_label") == "Positive", F.col("label") == "Positive")))
+
+
+@query(
+    "reliability_by_unit",
+    f"""SELECT stratum, CAST(least(greatest(ceil(p * 10) - 1, 0), 9) AS INTEGER) AS bin, count(*) AS n,
+      round(avg(p), {D}) AS mean_p, round(avg(CAST(y AS DOUBLE)), {D}) AS frac_pos FROM {SD} GROUP BY 1, 2""",
+)
+def reliability_by_unit(spark, sf):
+    """Reliability table per stratum (calibration checked unit by unit, not only pooled)."""
+    return rnd(M.reliability_bins(S.scored_docs(spark, sf), "y", "p", by=["stratum"]))
