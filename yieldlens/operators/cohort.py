@@ -126,18 +126,20 @@ def attrition_flow(
     spark = df.sparkSession
     grid = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "step int, step_name string")
 
-    def survivors(counts: DataFrame, col: str) -> DataFrame:
-        # n surviving step i = count of units whose reach >= i
-        return (
-            grid.join(counts, F.col("_reach") >= F.col("step"), "left")
-            .groupBy("step")
-            .agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias(col))
-        )
-
-    rows = t.groupBy(F.col("_k").alias("_reach")).agg(F.count(F.lit(1)).alias("_n"))
-    out = grid.join(survivors(rows, "n_rows"), "step")
+    # units reaching exactly k steps, per counted unit (rows and each key), stacked
+    parts = [t.groupBy(F.col("_k").alias("_reach")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_what", F.lit("n_rows"))]
     for k in distinct_keys:
         per = t.where(F.col(k).isNotNull()).groupBy(k).agg(F.max("_k").alias("_reach"))
-        reach = per.groupBy("_reach").agg(F.count(F.lit(1)).alias("_n"))
-        out = out.join(survivors(reach, f"n_{k}"), "step")
-    return out
+        parts.append(per.groupBy("_reach").agg(F.count(F.lit(1)).alias("_n")).withColumn("_what", F.lit(f"n_{k}")))
+    reach = parts[0]
+    for p in parts[1:]:
+        reach = reach.unionByName(p)
+    # survivors of step i = units whose reach >= i (tiny tables: ≤ steps+1 rows each)
+    what = ["n_rows"] + [f"n_{k}" for k in distinct_keys]
+    counted = (
+        grid.join(F.broadcast(reach), F.col("_reach") >= F.col("step"), "left")
+        .groupBy("step", "step_name")
+        .pivot("_what", what)
+        .agg(F.sum("_n"))
+    )
+    return counted.select("step", "step_name", *[F.coalesce(F.col(w), F.lit(0)).cast("long").alias(w) for w in what])
