@@ -72,3 +72,18 @@ def test_distinct_counts_exact_and_sketch(spark):
     assert (exact.n_rows, exact.n_k, exact.n_j) == (5000, 997, 13)
     approx = distinct_counts(df, ["k"], approx=True).first()
     assert abs(approx.n_k - 997) <= 0.1 * 997
+
+
+def test_attrition_flow_matches_brute_force(spark):
+    from yieldlens.operators.cohort import attrition_flow
+
+    rows = [(i, i % 7, i % 3 if i % 10 else None, i % 4 != 0, i % 5 != 1) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, patient long, adm long, a boolean, b boolean")
+    steps = [("a", F.col("a")), ("b", F.col("b"))]
+    got = {r.step: r for r in attrition_flow(df, steps, ["patient", "adm"]).collect()}
+    kept = [rows, [r for r in rows if r[3]], [r for r in rows if r[3] and r[4]]]
+    for i, rs in enumerate(kept):
+        assert got[i].n_rows == len(rs)
+        assert got[i].n_patient == len({r[1] for r in rs})
+        assert got[i].n_adm == len({r[2] for r in rs if r[2] is not None})
+    assert [got[i].step_name for i in range(3)] == ["all", "a", "b"]
