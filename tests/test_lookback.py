@@ -49,3 +49,16 @@ def test_last_and_delta(spark):
     assert [(r.order_id, r.last_value) for r in last] == [(1, 4.0)]
     d = baseline_delta(pairs, ["order_id"], "ts", "value", "event_id").collect()[0]
     assert (d.baseline, d.last_value, d.delta) == (1.0, 4.0, 3.0)
+
+
+def test_repeat_flag_nulls_and_ties(spark):
+    from yieldlens.operators.cohort import repeat_flag
+
+    rows = [
+        (1, 10, 100, T0), (2, 10, 100, T0 + H), (3, 10, 100, T0),  # tie at T0 broken by id: 1 first
+        (4, 10, 100, None),  # no time → never a repeat
+        (5, 11, None, T0), (6, 11, None, T0 + H),  # no admission key → never a repeat
+    ]
+    df = spark.createDataFrame(rows, "id long, subject long, adm long, t timestamp_ntz")
+    got = {r.id: r.is_repeat for r in repeat_flag(df, ["subject", "adm"], "t", "id").collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0}
