@@ -96,3 +96,15 @@ def test_input_guard_and_export_gate(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "ok")).count() == 1
     with pytest.raises(Exception):
         require_input(spark, str(tmp_path / "ok"), ["note_id"], "export")  # lacks the column
+
+
+def test_version_drift_and_keep_first(spark):
+    from yieldlens.operators.cohort import keep_first
+
+    a = spark.createDataFrame([(1, "s", "Negative"), (2, "s", "Positive"), (3, "t", "Negative")], "note_id long, subj string, label_a string")
+    b = spark.createDataFrame([(1, "s", "Positive"), (2, "s", "Positive"), (4, "t", "Negative")], "note_id long, subj string, label_b string")
+    cells = {(r.label_a, r.label_b): (r.n, r.differs) for r in A.version_drift(a, b, ["note_id", "subj"], "label_a", "label_b").collect()}
+    assert cells == {("Negative", "Positive"): (1, 1), ("Positive", "Positive"): (1, 0)}  # note 3/4 unmatched
+    dup = spark.createDataFrame([("k", 3, "c"), ("k", 1, "a"), ("k", 2, "b"), ("j", 5, "z")], "key string, ord int, v string")
+    got = {r.key: (r.ord, r.v) for r in keep_first(dup, ["key"], ["ord"]).collect()}
+    assert got == {"k": (1, "a"), "j": (5, "z")}
