@@ -124,6 +124,7 @@ def connected_components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60
     in joins and partial aggregates only. Stops when a round changes nothing.
     """
     e = written(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), tag)
+    before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.selectExpr("v AS u", "u AS v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
@@ -131,11 +132,11 @@ def connected_components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low2, "u")
         small = joined.selectExpr("v AS u", "m AS v").unionByName(low2.selectExpr("u", "m AS v")).where("u <> v").distinct()
-        small = written(small, tag)
-        sums = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (e, small)]
-        e = small
-        if sums[0] == sums[1]:
+        e = written(small, tag)
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError("components did not settle")
     return e.selectExpr("u AS node", "v AS comp").unionByName(e.selectExpr("v AS node", "v AS comp").distinct())

@@ -5,10 +5,11 @@ signature of 128 sixteen-bit values; 32 bands of four values make buckets; each
 proposes star-shaped edges (member, hub) only. Proposed edges are dropped when the
 signature estimate is far below the threshold (``SLACK`` standard deviations) and are
 otherwise confirmed on the full shingle sets. A star can miss a link between two members
-whose hub is like neither, so two more steps follow: a second star around each bucket's
-best-linked member, and, for buckets that still span several components, a comparison
-of the signatures of members in different components, in blocks of bounded size, which
-emits only pairs that can reach the threshold. No cap drops a bucket or a member.
+whose hub is like neither, so buckets that still span several components are gone through
+once more: their members are compared by signature in blocks of at most about ``BLOCK``,
+pairs of different components that can reach the threshold stay in one row per block
+pair, and the members' texts are brought to them to confirm. A pair is tested in the first
+band that it shares. No cap drops a bucket or a member.
 
 Equal shingle sets are collapsed before any bucket is formed, so groups of copies of any
 size cost one row. Texts meet their partners by shuffle joins, which AQE splits when a
@@ -78,15 +79,15 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             got = s[at]
             filled[k] = ok & ((got >> width) == np.arange(BINS, dtype=np.uint64))
             vals[k] = got
-    out, done = vals.copy(), filled.copy()
-    live = filled.any(axis=1)
+    out = vals.copy()
+    row, bin_ = np.nonzero(~filled & filled.any(axis=1)[:, None])
     attempt = 0
-    while not done[live].all():
+    while len(row):  # the empty bins still without a donor
         attempt += 1
-        donor = (mix64(np.arange(BINS, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(attempt)) % np.uint64(BINS)).astype(int)
-        take = ~done & filled[:, donor]
-        out = np.where(take, vals[:, donor], out)
-        done |= take
+        donor = (mix64(bin_.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(attempt)) % np.uint64(BINS)).astype(int)
+        took = filled[row, donor]
+        out[row[took], bin_[took]] = vals[row[took], donor[took]]
+        row, bin_ = row[~took], bin_[~took]
     return (mix64(out) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
@@ -142,18 +143,70 @@ def _confirm(num: int, words: int):
     return run
 
 
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key, from batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(key).to_numpy()
+        cuts = np.flatnonzero(np.diff(keys)) + 1
+        if held and held[-1].column(key)[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for i, j in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+            held.append(b.slice(i, j - i))
+            if j < len(keys):
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _block_pairs(least: float):
-    def run(t):
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
-        node, comp, block = (t.column(c).to_numpy() for c in ("node", "comp", "block"))
-        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-        a, b = [], []
-        for i in left:
-            hit = right[((sig[right] == sig[i]).mean(axis=1) >= least) & (comp[right] != comp[i])]
-            hit = hit[node[hit] != node[i]]
-            a.append(np.minimum(node[hit], node[i]))
-            b.append(np.maximum(node[hit], node[i]))
-        return pa.Table.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (a, b)], names=["a", "b"])
+    """Members of block pairs, sorted by group -> one row per group with the pairs that can reach
+    the threshold: different components, met in no earlier band, signatures alike enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, "gid"):
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, BINS)
+            bands = sig.view(np.uint64).reshape(len(sig), BANDS)
+            node, comp, block = (t.column(c).to_numpy() for c in ("node", "comp", "block"))
+            band = t.column("bucket")[0].as_py() & (BANDS - 1)
+            left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+            a, b = [], []
+            for i in left:
+                hit = right[(comp[right] != comp[i]) & ((sig[right] == sig[i]).mean(axis=1) >= least)]
+                hit = hit[~(bands[hit, :band] == bands[i, :band]).any(axis=1)]
+                hit = hit[node[hit] > node[i]] if block.min() == block.max() else hit
+                a.append(np.full(len(hit), node[i]))
+                b.append(node[hit])
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+            if len(a):
+                one = [pa.array([t.column("gid")[0].as_py()], pa.int64()), pa.array([a.tolist()], pa.list_(pa.int64())), pa.array([b.tolist()], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(one, names=["gid", "a", "b"])
+
+    return run
+
+
+def _confirm_groups(num: int, words: int):
+    """Rows sorted by group, the members' texts and one row with the pairs -> confirmed links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SpanHasher()
+        for t in _groups(batches, "gid"):
+            node, text = t.column("node").to_pylist(), t.column("text").to_pylist()
+            sets = dict(zip(node, shingle_hashes(text, hasher, words), strict=True))
+            lists = [(a, b) for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True) if a is not None]
+            out = []
+            for x, y in {pair for a, b in lists for pair in zip(a, b, strict=True)}:
+                m, n = sorted((len(sets[x]), len(sets[y])))
+                if 100 * m >= num * n:  # else even a subset is too small
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * both >= num * (m + n - both):
+                        out.append((min(x, y), max(x, y)))
+            cols = list(zip(*out, strict=True)) if out else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
     return run
 
@@ -193,47 +246,38 @@ def minhash_components(docs: DataFrame, percent: int = 85, words: int = 5) -> Da
     def pairs_of(frame: DataFrame) -> DataFrame:
         return frame.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def confirmed(pairs: DataFrame, estimated: bool = False) -> DataFrame:
+    text = base.select("row_key", "text")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
         sig = classes.select("node", "sig")
-        if not estimated:
-            near = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
-            pairs = near.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimate(least), "a bigint, b bigint")
-        near = written(pairs, "minhash-near")
+        near = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
+        near = written(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimate(least), "a bigint, b bigint"), "minhash-near")
         ends = classes.select("node", "row_key")
         near = near.join(ends.withColumnsRenamed({"node": "a", "row_key": "ka"}), "a").join(ends.withColumnsRenamed({"node": "b", "row_key": "kb"}), "b")
-        text = base.select("row_key", "text")
         near = near.join(text.withColumnsRenamed({"row_key": "ka", "text": "text_a"}), "ka").join(text.withColumnsRenamed({"row_key": "kb", "text": "text_b"}), "kb")
-        return written(near.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent, words), "a bigint, b bigint"), "minhash-links")
+        return written(near.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent, words), "a bigint, b bigint").distinct(), "minhash-links")
 
-    def open_buckets(comps: DataFrame) -> DataFrame:
-        """Members of buckets that still span several components, with the component."""
-        m = buckets.where("size > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        span = m.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        return m.join(span.where("c0 < c1").select("bucket"), "bucket")
-
-    tried = written(pairs_of(buckets.select(F.col("node").alias("a"), F.col("hub").alias("b"))), "minhash-star")
-    links = confirmed(tried)
-    comps = written(connected_components(links), "minhash-comps")
-
-    # second star: around the member of the bucket with most confirmed links
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    still = written(open_buckets(comps).join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "minhash-open")
-    best = still.where("degree > 1").groupBy("bucket").agg(F.max(F.struct("degree", "node", "comp")).alias("best"))
-    second = still.join(best, "bucket").where("comp <> best.comp").select(F.col("node").alias("a"), F.col("best.node").alias("b"))
-    second = pairs_of(second).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(second))
+    links = confirmed(pairs_of(buckets.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
     comps = written(connected_components(links), "minhash-comps")
 
-    # the rest: members in different components, by signature, in blocks
-    rest = open_buckets(comps).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    # buckets that still span components: their members are compared in blocks of bounded size
+    member = buckets.where("size > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    span = member.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
+    rest = member.join(span, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    rest = rest.join(classes.select("node", "sig"), "node")
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "comp", "sig")
-    third = pairs_of(rest.groupBy("bucket", "bi", "bj").applyInArrow(_block_pairs(least), "a bigint, b bigint"))
-    third = third.join(tried, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(third, estimated=True))
-    comps = written(connected_components(links), "minhash-comps")
+    rest = rest.join(classes.select("node", "sig"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.withColumn("gid", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rest = rest.select("gid", "bucket", "block", "node", "comp", "sig").repartition(parts, "gid").sortWithinPartitions("gid")
+    tested = written(rest.mapInArrow(_block_pairs(least), "gid bigint, a array<bigint>, b array<bigint>"), "minhash-blocks")
+    nodes = tested.select("gid", F.explode(F.array_distinct(F.concat("a", "b"))).alias("node"))
+    nodes = nodes.join(classes.select("node", "row_key"), "node").join(text, "row_key").select("gid", "node", "text")
+    none = F.lit(None).cast("array<bigint>")
+    lists = tested.select("gid", F.lit(-1).cast("long").alias("node"), F.lit("").alias("text"), "a", "b")
+    both = nodes.select("gid", "node", "text", none.alias("a"), none.alias("b")).unionByName(lists)
+    both = both.repartition(parts, "gid").sortWithinPartitions("gid")
+    more = written(both.mapInArrow(_confirm_groups(percent, words), "a bigint, b bigint").distinct(), "minhash-links")
+    comps = written(connected_components(links.unionByName(more)), "minhash-comps")
 
     # smallest doc_id of each component, then back to the rows
     member = classes.select("node", "set_hash", "low_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
