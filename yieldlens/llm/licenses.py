@@ -22,6 +22,9 @@ from ..session import table
 
 MAX_KNOWN = 100_000
 
+#: lines that state a copyright (not those that only mention one, as wrapped licence texts do)
+COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:\(c\)|©|[0-9]{4}|by\b)|\(c\)|©)[^\n]*$|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
+
 # fixed values: equivalent spellings of the public licence matching guidelines
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"),
@@ -86,7 +89,7 @@ Permission is granted to anyone to use this software for any purpose, including
 def canonical(text: Column) -> Column:
     """Canonical form of a licence text."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, r"(?m)^[^a-z0-9\n]*(?:copyright\b|\(c\)|©)[^\n]*$|^[^a-z0-9\n]*all rights reserved[^\n]*$", " ")
+    t = F.regexp_replace(t, COPYRIGHT_LINE, " ")
     t = F.regexp_replace(t, r"[\x00-/:-`{-\x7f]+", " ")
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(old), F.lit(new))
@@ -116,7 +119,7 @@ def _sql() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
 
     def canon(col: str) -> str:
-        t = f"regexp_replace(lower(coalesce({col}, '')), '(?m)^[^a-z0-9\\n]*(?:copyright\\b|\\(c\\)|©)[^\\n]*$|^[^a-z0-9\\n]*all rights reserved[^\\n]*$', ' ', 'g')"
+        t = f"regexp_replace(lower(coalesce({col}, '')), {q(COPYRIGHT_LINE)}, ' ', 'g')"
         t = f"regexp_replace({t}, '[\\x00-/:-`{{-\\x7f]+', ' ', 'g')"
         for old, new in SPELLINGS:
             t = f"replace({t}, {q(old)}, {q(new)})"
