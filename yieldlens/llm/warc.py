@@ -97,7 +97,8 @@ class Member:
         head = self._fill(12)
         self.length = None
         if head[3] & 4:
-            extra = self._fill(12 + struct.unpack("<H", head[10:12])[0])[12:]
+            stop = 12 + struct.unpack("<H", head[10:12])[0]
+            extra = self._fill(stop)[12:stop]
             while len(extra) >= 4:
                 n = struct.unpack("<H", extra[2:4])[0]
                 if extra[:2] == b"sl" and n == 8:
