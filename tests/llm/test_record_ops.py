@@ -91,6 +91,14 @@ def test_warc_members_are_plain_gzip():
     assert len(list(warc.read_records(io.BytesIO(other + one + other), lambda h: h["record_type"] == "revisit", True))) == 0
 
 
+def test_warc_extra_field_ends_where_it_says():
+    """Bytes of the packed data that look like a length field are not read as one."""
+    rows = [(k, hashlib.sha1(str(k).encode()).digest() * 9 + b"sl\x08\x00") for k in range(3000)]
+    packed = b"".join(warc.pack_record(k, None, "response", None, d, len(d), hashlib.sha1(d).hexdigest(), level=0) for k, d in rows)
+    assert [(r[0], r[-1]) for r in warc.read_records(io.BytesIO(packed), lambda h: True, True)] == rows
+    assert len(list(warc.read_records(io.BytesIO(packed), lambda h: h["page_id"] == 7, False))) == 1
+
+
 def test_license_forms(spark):
     mit = licenses.KNOWN["MIT"]
     rows = [(1, "Copyright (c) 2020 Somebody\n\n" + mit.upper()), (2, mit.replace(" ", "\n  ") + "\nAll rights reserved."), (3, mit + " and more"), (4, None), (5, ""), (6, "Released under the MIT Licence!"), (6, "Released under the MIT Licence!"), (None, licenses.KNOWN["Zlib"].replace("acknowledgment", "acknowledgement"))]
