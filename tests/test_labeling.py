@@ -88,7 +88,7 @@ def test_exam_filter_paths_agree(spark):
     )
     exams = ["CT HEAD W/O CONTRAST", "CT HEAD W/ CONTRAST"]
     a = label_exam_notes(notes, details, exams, RULES_A, require_admission=True)
-    b = label_exam_notes(notes, details, exams, RULES_A, require_admission=True, max_selected=0)
+    b = label_exam_notes(notes, details, exams, RULES_A, require_admission=True)
     assert "text" not in a.columns
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert a.where("note_id = 1").count() == 2  # two matching detail rows: fan-out kept

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,13 +54,9 @@ def disagreement_list(df: DataFrame, a: str, b: str, a_val: str = "Negative", b_
 
 
 def attach_text(rows: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    """Join report text onto selected rows. A proven-small selection is broadcast
-    into a map-side join over the report table; otherwise a regular join."""
-    from .sizing import is_small
-
-    if is_small(rows.select(key)):
-        return texts.join(F.broadcast(rows), key)
-    return rows.join(texts, key)
+    """Join report text onto selected rows; AQE broadcasts the selection by its
+    measured bytes."""
+    return texts.join(rows, key)
 
 
 def triage_sheet(
@@ -139,9 +136,12 @@ def resume(state_path: str, new_rows: DataFrame, key: str) -> DataFrame:
     spark = new_rows.sparkSession
     try:
         prior = spark.read.parquet(state_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        add = new_rows  # first run: no state yet
+    else:
         add = new_rows.join(prior.select(key), key, "left_anti")
-    except Exception:  # first run: no state yet
-        add = new_rows
     add.write.mode("append").parquet(state_path)
     return spark.read.parquet(state_path)
 

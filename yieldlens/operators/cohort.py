@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .ordering import sequence_number
-from .sizing import broadcast_if_small
 
 
 def exam_notes(
@@ -69,10 +68,10 @@ def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataF
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, value: str, out: str | None = None) -> DataFrame:
-    """Dictionary lookup (value NULL when absent) as a left join; the table is
-    broadcast only when its measured size is under the threshold."""
+    """Dictionary lookup (value NULL when absent) as a left join; the planner
+    broadcasts the table by its measured bytes."""
     t = table.select(key, F.col(value).alias(out or value))
-    return df.join(broadcast_if_small(t), key, "left")
+    return df.join(t, key, "left")
 
 
 def semi(df: DataFrame, other: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -94,12 +93,14 @@ def exclude_by_codes(
     """Drop orders whose admission carries any listed code. ``codes`` has one column
     ``code_col``; with ``prefix`` a diagnosis matches when it starts with a listed
     code (string codes)."""
-    c = broadcast_if_small(codes.select(F.col(code_col).alias("_code")).distinct())
-    if prefix:
-        hit = diagnoses.join(c, F.col(code_col).cast("string").startswith(F.col("_code").cast("string")))
+    c = codes.select(F.col(code_col).cast("string").alias("_code")).distinct()
+    code = F.col(code_col).cast("string")
+    if prefix:  # every prefix of a diagnosis meets the list in an equi-join
+        cuts = F.transform(F.sequence(F.lit(0), F.length(code)), lambda n: F.substring(code, F.lit(1), n))
+        listed = diagnoses.select(*admission_key, F.explode(cuts).alias("_code"))
     else:
-        hit = diagnoses.join(c, F.col(code_col) == F.col("_code"))
-    bad = hit.select(*admission_key).distinct()
+        listed = diagnoses.select(*admission_key, code.alias("_code"))
+    bad = listed.join(c, "_code", "left_semi").select(*admission_key).distinct()
     return orders.join(bad, list(admission_key), "left_anti")
 
 

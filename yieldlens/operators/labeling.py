@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import RuleSet, ascii_fold, label_column, normalize_ws, subtype_column
 from .cohort import exam_notes
-from .sizing import is_small
 
 
 def label_text(
@@ -69,17 +68,13 @@ def label_exam_notes(
     rules: RuleSet,
     require_admission: bool = False,
     subtype_out: str | None = None,
-    max_selected: int = 5_000_000,
 ) -> DataFrame:
     """notes ⋈ exam details → labels, without moving report text through a shuffle.
 
-    When the selected note ids are few (≤ ``max_selected``, checked) they are
-    broadcast into a map-side semi join, so only matching notes are labelled;
-    otherwise every note is labelled map-side first. Either way the text is dropped
-    before the (fan-out preserving) join with the details.
+    Only notes whose exam is asked for are labelled (semi join on the note id; AQE
+    chooses a broadcast by measured bytes), and the text is dropped before the
+    (fan-out preserving) join with the details.
     """
     sel = details.where(F.col("field_value").isin(list(exams))).select("note_id").distinct()
-    if is_small(sel, max_selected):
-        notes = notes.join(F.broadcast(sel), "note_id", "left_semi")
-    labelled = label_text(notes, rules, subtype_out=subtype_out)
+    labelled = label_text(notes.join(sel, "note_id", "left_semi"), rules, subtype_out=subtype_out)
     return exam_notes(labelled, details, exams, require_admission)

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from . import ordering
 from .ordering import largest_group, running_sums, sequence_number
-from .sizing import broadcast_if_small
 from .sizing import with_scalars
 
 
@@ -323,7 +322,7 @@ def exact_quantiles(
     pos = pos.withColumn("_pos", F.col("_q") * (F.col("_cnt") - 1))
     pos = pos.withColumn("_lo", F.floor("_pos").cast("long") + 1).withColumn("_hi", F.ceil("_pos").cast("long") + 1)
     need = pos.select(*g, "_name", "_pos", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_r"))
-    picked = ranked.join(broadcast_if_small(need), [*g, "_r"])
+    picked = ranked.join(need, [*g, "_r"])
     agg = picked.groupBy(*g, "_name", "_pos").agg(
         F.min_by("_v", "_r").alias("_vlo"), F.max_by("_v", "_r").alias("_vhi"), F.min("_r").alias("_rlo")
     )

@@ -138,4 +138,4 @@ def balanced_weights(df: DataFrame, train: DataFrame, label: str, out: str = "we
     w = (cls.join(tot, list(by)) if by else with_scalars(cls, tot)).select(
         *by, label, (F.col("_nt") / (F.col("_k") * F.col("_nc"))).alias(out)
     )
-    return df.join(F.broadcast(w) if not by else w, [*by, label], "left")
+    return df.join(w, [*by, label], "left")

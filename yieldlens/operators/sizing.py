@@ -1,27 +1,11 @@
-"""Broadcast only what is proven small."""
+"""Attaching one-row aggregates."""
+
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_ROWS = 1_000_000
-
-
-def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (counts at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` when it has at most ``max_rows`` rows, else leave the join
-    strategy to the planner (sort-merge, or AQE's own size-checked broadcast).
-
-    The check counts at most ``max_rows + 1`` rows, so it stays cheap on a big
-    table. Use it for lists (codes, quotas, lookups) whose size is input-driven.
-    """
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row table (a global aggregate: totals, a

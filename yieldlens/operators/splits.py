@@ -61,7 +61,7 @@ def stratified_row_split(df: DataFrame, key: str, label: str, test_frac: float =
     h = df.select(key, label).withColumn("_h", seeded_hash(seed, key))
     ranked = sequence_number(h, [label], ["_h", key], "_r")
     n = h.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    j = ranked.join(F.broadcast(n), label)  # one row per class
+    j = ranked.join(n, label)
     return j.select(key, label, (F.col("_r") <= F.ceil(F.col("_nc") * F.lit(test_frac))).cast("int").alias("is_test"))
 
 

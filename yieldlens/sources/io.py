@@ -3,9 +3,9 @@ explicit schema, missing-input guards, result writers and the export gate."""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,9 +53,12 @@ def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
 
 def require_input(spark: SparkSession, path: str, columns: Sequence[str] = (), what: str = "input") -> DataFrame:
     """Read parquet at ``path`` or raise a named error explaining what is missing."""
-    if path.startswith("/") and not os.path.exists(path):
-        raise MissingInputError(f"{what} not found at {path}; produce it first")
-    df = read_table(spark, path)
+    try:
+        df = read_table(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
+            raise
+        raise MissingInputError(f"{what} not found at {path}; produce it first") from e
     return require_columns(df, columns, what)
 
 
