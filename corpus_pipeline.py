@@ -57,8 +57,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE ids of every document, with their digest and that of the decoded text."""
-    path = bytebpe.ranks_file()
-    return bytebpe.token_digests(bytebpe.encode_texts(docs, path), path, keep_ids=True)
+    return bytebpe.round_trip(docs, bytebpe.ranks_file(), keep_ids=True)
 
 
 STAGES = [

@@ -29,6 +29,8 @@ from .common import SpanHasher, mix64, pieces, ragged
 from .pretoken import Splitter, WordBatch, WordCache
 
 LONG = 256
+#: bytes of text (or ids) that a worker holds as arrays at a time
+PIECE = 1 << 20
 NONE = np.int32(0x7FFFFFFF)
 
 
@@ -186,7 +188,7 @@ def _encode(ranks_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, splitter, hasher = Vocabulary(read_ranks(ranks_path)), Splitter(), SpanHasher()
         cache = WordCache(vocab.encode_words)
-        for b in pieces(batches, "text", 4 << 20):
+        for b in pieces(batches, "text", PIECE):
             words = WordBatch(b.column("text").to_pylist(), splitter, hasher)
             ids, n = cache.ids_of(words)
             packed = ids.astype("<u4")
@@ -200,7 +202,7 @@ def _encode(ranks_path: str):
 def _digest(ranks_path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary(read_ranks(ranks_path), pairs=False)
-        for b in pieces(batches, "ids", 4 << 20):
+        for b in pieces(batches, "ids", PIECE):
             blobs = b.column("ids").to_pylist()
             n = np.array([len(x) // 4 for x in blobs], np.int64)
             text, size = vocab.decode(np.frombuffer(b"".join(blobs), "<u4").astype(np.int64), n)
@@ -219,18 +221,30 @@ def ranks_file(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
 def encode_texts(docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) of every text."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return base.mapInArrow(_encode(ranks_path), "doc_id bigint, ids binary")
+    return _texts(docs).mapInArrow(_encode(ranks_path), "doc_id bigint, ids binary")
 
 
 def token_digests(encoded: DataFrame, ranks_path: str, keep_ids: bool = False) -> DataFrame:
     """Decode the ids and return n_tokens and the digests of ids and decoded bytes (and the ids)."""
+    return encoded.mapInArrow(_digest(ranks_path, keep_ids), _digest_schema(keep_ids))
+
+
+def _digest_schema(keep_ids: bool) -> str:
     ids = "ids binary, " if keep_ids else ""
-    return encoded.mapInArrow(_digest(ranks_path, keep_ids), f"doc_id bigint, {ids}n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return f"doc_id bigint, {ids}n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+
+def round_trip(docs: DataFrame, ranks_path: str, keep_ids: bool = False) -> DataFrame:
+    """``token_digests`` of ``encode_texts`` with both steps in one Python worker a task."""
+    encode, digest = _encode(ranks_path), _digest(ranks_path, keep_ids)
+    return _texts(docs).mapInArrow(lambda batches: digest(encode(batches)), _digest_schema(keep_ids))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = ranks_file()
-    return token_digests(encode_texts(table(spark, sf_dir, "documents"), path), path)
+    return round_trip(table(spark, sf_dir, "documents"), ranks_file())

@@ -171,7 +171,7 @@ def _pass(block, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = block.value
         searchers, sizes, owners = make_searchers(items, words)
-        for b in pieces(batches, "text", 8 << 20):
+        for b in pieces(batches, "text", 2 << 20):
             found = find_windows(b.column("text").to_pylist(), items, searchers, sizes, owners)
             spans = [(old or []) + [x for s in f[1] for x in s] for old, f in zip(b.column("__spans").to_pylist(), found, strict=True)]
             met = [sorted({*(old or []), *f[2]}) for old, f in zip(b.column("__items").to_pylist(), found, strict=True)]
@@ -219,10 +219,15 @@ def contamination(docs: DataFrame, items: DataFrame, words: int = 10) -> DataFra
     spark = docs.sparkSession
     out = docs.withColumn("__spans", F.lit(None).cast("array<int>")).withColumn("__items", F.lit(None).cast("array<string>"))
     out = out.withColumn("text", F.coalesce("text", F.lit("")))
+    search = None
     for block in item_blocks(items):
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), words), out.schema)
+        if search:
+            out = out.mapInArrow(search, out.schema)
+        search = _pass(spark.sparkContext.broadcast(block), words)
+    # the last block's worker also writes the report
+    report = _report if search is None else lambda batches: _report(search(batches))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in _ADDED)
-    return out.mapInArrow(_report, f"{fields}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    return out.mapInArrow(report, f"{fields}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

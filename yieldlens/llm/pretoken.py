@@ -21,14 +21,14 @@ _TAILS = {2: (ord("s"), ord("t"), ord("m"), ord("d")), 3: (("r", "e"), ("v", "e"
 def class_table() -> np.ndarray:
     """Class of every code point."""
     out = np.full(0x110000, OTHER, np.uint8)
-    points = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        for m in regex.finditer(pattern, points):
-            a, b = ord(m[0][0]), ord(m[0][-1])
-            if b - a == len(m[0]) - 1:
-                out[a : b + 1] = kind
-            else:
-                out[[ord(c) for c in m[0]]] = kind
+    kinds = [(LETTER, regex.compile(r"\p{L}+")), (NUMBER, regex.compile(r"\p{N}+")), (SPACE, regex.compile(r"\s+"))]
+    for first in range(0, 0x110000, 0x800):
+        if first == 0xD800:  # surrogates are no characters
+            continue
+        points = "".join(map(chr, range(first, first + 0x800)))
+        for kind, pattern in kinds:
+            for m in pattern.finditer(points):
+                out[first + m.start() : first + m.end()] = kind
     return out
 
 
