@@ -58,7 +58,7 @@ def trigram_buckets(texts: list, bits: int = BUCKETS) -> tuple[np.ndarray, np.nd
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
-    for b in pieces(batches, "text", 4 << 20):
+    for b in pieces(batches, "text", 1 << 19):
         buckets, n = trigram_buckets(b.column("text").to_pylist())
         langs = np.array(b.column("lang").to_pylist(), dtype=object)
         per = np.repeat(langs, n)
@@ -112,7 +112,7 @@ def _lists(x: np.ndarray) -> pa.Array:
 
 def _score(logp: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 4 << 20):
+        for b in pieces(batches, "text", 1 << 19):
             ll, n = text_scores(b.column("text").to_pylist(), logp)
             rest = [c for c in b.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(n), _lists(ll), _lists(posterior(ll))], names=[*rest, "n_grams", "ll", "post"])

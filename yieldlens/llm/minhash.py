@@ -94,7 +94,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 def _sets_of(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 1 << 19):
             sets = shingle_hashes(b.column("text").to_pylist(), hasher, words)
             sig = signatures(sets)
             yield pa.RecordBatch.from_arrays(
@@ -130,7 +130,7 @@ def _estimate(least: float):
 def _confirm(num: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
-        for b in pieces(pieces(batches, "text_a"), "text_b"):
+        for b in pieces(pieces(batches, "text_a", 1 << 19), "text_b", 1 << 19):
             ta, tb = b.column("text_a").to_pylist(), b.column("text_b").to_pylist()
             sets = dict(zip(uniq := list(dict.fromkeys(ta + tb)), shingle_hashes(uniq, hasher, words), strict=True))
             keep = []

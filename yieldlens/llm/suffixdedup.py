@@ -197,7 +197,7 @@ def _key_runs(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
-        for b in pieces(batches, "text", 2 << 20):
+        for b in pieces(batches, "text", 1 << 19):
             buf, at = raw(b.column("text"))
             windows = np.maximum(np.diff(at) - length + 1, 0)
             if not windows.sum():
@@ -221,7 +221,7 @@ def _regions(length: int):
     """Batches of (id, text, runs) -> key, region, n, copies, id, lo."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 1 << 20):
+        for b in pieces(batches, "text", 1 << 19):
             buf, at = raw(b.column("text"))
             data = buf.tobytes()
             runs = b.column("runs")
@@ -268,7 +268,7 @@ def _sort_groups(length: int):
             out: list = []
             part = zip(b.column("part").to_pylist(), b.column("digest").to_pylist(), b.column("region").to_pylist(), b.column("n").to_pylist(), b.column("copies").to_pylist(), b.column("salted").to_pylist(), strict=True)
             for p, *row in part:
-                if size >= GROUP_BYTES // 4 and p != last:
+                if size >= GROUP_BYTES // 16 and p != last:
                     flush(rows, out)
                     rows, size = [], 0
                 rows.append(row)
