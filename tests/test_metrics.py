@@ -119,14 +119,27 @@ def test_fleiss_matches_formula(spark):
     assert got.kappa == pytest.approx(k)
 
 
-@pytest.mark.parametrize("limit", [0, 10**9], ids=["ranked", "percentile"])
-def test_exact_quantiles(spark, limit):
+def test_exact_quantiles(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 3.0), (1, 10.0), (2, 5.0), (2, None)], "g int, v double")
-    q = {r.g: r for r in M.exact_quantiles(df, "v", [0.5, 0.25], ["g"], names=["med", "q1"], max_group_rows=limit).collect()}
+    q = {r.g: r for r in M.exact_quantiles(df, "v", [0.5, 0.25], ["g"], names=["med", "q1"]).collect()}
     assert q[1].med == 2.5 and q[1].q1 == pytest.approx(np.percentile([1, 2, 3, 10], 25))
     assert q[2].med == 5.0
 
 
+def test_exact_quantiles_of_a_hot_value_and_a_null_group(spark):
+    rows = [(None if i % 7 == 0 else i % 2, 0.0 if i % 3 else float(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    qs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {r.g: list(r)[1:] for r in M.exact_quantiles(df, "v", qs, ["g"]).collect()}
+    want = {g: np.quantile([v for k, v in rows if k == g], qs).tolist() for g in (None, 0, 1)}
+    assert got.keys() == want.keys()
+    for g in want:
+        assert got[g] == pytest.approx(want[g])
+    whole = M.exact_quantiles(df, "v", qs).first()
+    assert list(whole) == pytest.approx(np.quantile([v for _, v in rows], qs).tolist())
+    assert M.exact_quantiles(df.where("false"), "v", [0.5]).first()[0] is None
+
+
 def test_reliability_bins_right_closed(spark):
     df = spark.createDataFrame([(1, 0.1), (0, 0.0), (1, 1.0), (0, 0.55)], "y int, p double")
     b = {r.bin: r.n for r in M.reliability_bins(df, "y", "p").collect()}

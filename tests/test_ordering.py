@@ -12,13 +12,9 @@ def _skewed(spark, n=3000):
     return spark.createDataFrame(rows, "id long, k long, t long, v double")
 
 
-import pytest
-
-
-@pytest.mark.parametrize("limit", [0, 10**9], ids=["range-path", "plain-path"])
-def test_sequence_number_matches_window(spark, limit):
+def test_sequence_number_matches_window(spark):
     df = _skewed(spark)
-    got = sequence_number(df, ["k"], ["t", "id"], "rn", max_group_rows=limit).select("id", "rn")
+    got = sequence_number(df, ["k"], ["t", "id"], "rn").select("id", "rn")
     w = Window.partitionBy("k").orderBy("t", "id")
     want = df.select("id", F.row_number().over(w).alias("rn"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
@@ -26,16 +22,15 @@ def test_sequence_number_matches_window(spark, limit):
 
 def test_global_running_sum(spark):
     df = _skewed(spark)
-    got = running_sums(df, [], [F.desc("t"), F.col("id")], {"cs": F.col("v")}, max_group_rows=0).select("id", "cs")
+    got = running_sums(df, [], [F.desc("t"), F.col("id")], {"cs": F.col("v")}).select("id", "cs")
     w = Window.orderBy(F.desc("t"), F.col("id")).rowsBetween(Window.unboundedPreceding, 0)
     want = df.select("id", F.sum("v").over(w).alias("cs"))
     assert got.exceptAll(want).count() == 0
 
 
-@pytest.mark.parametrize("limit", [100, 10**9], ids=["sliced", "plain"])
-def test_first_n_with_per_row_quota(spark, limit):
+def test_first_n_with_per_row_quota(spark):
     df = _skewed(spark).withColumn("q", F.when(F.col("k") == 0, 7).otherwise(2))
-    got = first_n(df, ["k"], ["t", "id"], "q", max_group_rows=limit).select("id")
+    got = first_n(df, ["k"], ["t", "id"], "q").select("id")
     w = Window.partitionBy("k").orderBy("t", "id")
     want = df.withColumn("r", F.row_number().over(w)).where("r <= q").select("id")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

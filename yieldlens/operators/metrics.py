@@ -12,8 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ordering
-from .ordering import largest_group, running_sums, sequence_number
+from .ordering import running_sums
 from .sizing import with_scalars
 
 
@@ -297,39 +296,38 @@ def exact_quantiles(
     qs: Sequence[float],
     by: Sequence[str] = (),
     names: Sequence[str] | None = None,
-    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group (same as SQL
     ``quantile_cont``/``percentile``), NULLs ignored.
 
-    Groups up to ``max_group_rows`` rows use Spark's exact ``percentile``
-    aggregate. Bigger groups are not held in one aggregation buffer: values are
-    numbered with the skew-safe ``sequence_number``; only the ≤ 2 rows per
-    quantile at ranks floor/ceil(q·(n−1)) are kept and interpolated.
+    Values are first collapsed to counts per (group, value), so neither a hot group nor
+    a hot value is held in one task; skew-safe running sums of the counts give each value
+    its ranks, and one partial aggregate picks the values at ranks floor/ceil(q·(n−1)).
     """
     g = _grp(by)
     names = list(names or [f"q{int(round(q * 1000)):04d}" for q in qs])
     v = df.where(F.col(col).isNotNull()).select(*g, F.col(col).cast("double").alias("_v"))
-    limit = ordering.MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-    if largest_group(v, g) <= limit:
-        # every group is small: one exact percentile aggregate per group
-        pc = F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs]))
-        return v.groupBy(*g).agg(pc.alias("_qs")).select(*g, *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)])
-    ranked = sequence_number(v, g, [F.col("_v")], "_r", max_group_rows=0)
-    n = v.groupBy(*g).agg(F.count(F.lit(1)).alias("_cnt"))
-    qarr = F.array(*[F.struct(F.lit(nm).alias("_name"), F.lit(float(q)).alias("_q")) for nm, q in zip(names, qs)])
-    pos = n.select(*g, "_cnt", F.explode(qarr).alias("_t")).select(*g, "_cnt", "_t._name", "_t._q")
-    pos = pos.withColumn("_pos", F.col("_q") * (F.col("_cnt") - 1))
-    pos = pos.withColumn("_lo", F.floor("_pos").cast("long") + 1).withColumn("_hi", F.ceil("_pos").cast("long") + 1)
-    need = pos.select(*g, "_name", "_pos", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_r"))
-    picked = ranked.join(need, [*g, "_r"])
-    agg = picked.groupBy(*g, "_name", "_pos").agg(
-        F.min_by("_v", "_r").alias("_vlo"), F.max_by("_v", "_r").alias("_vhi"), F.min("_r").alias("_rlo")
-    )
-    val = F.col("_vlo") + (F.col("_pos") - (F.col("_rlo") - 1)) * (F.col("_vhi") - F.col("_vlo"))
-    long = agg.select(*g, "_name", val.alias("_val"))
-    wide = long.groupBy(*g).pivot("_name", names).agg(F.first("_val"))
-    return wide
+    counts = v.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_k"))
+    ranked = running_sums(counts, g, [F.col("_v")], {"_upto": F.col("_k")})
+    total = ranked.groupBy(*g).agg(F.sum("_k").alias("_cnt"))
+    if g:
+        total = total.select("_cnt", *[F.col(c).alias(f"_t_{c}") for c in g])
+        same = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in g]
+        ranked = ranked.join(total, same).drop(*[f"_t_{c}" for c in g])
+    else:
+        ranked = with_scalars(ranked, total)
+
+    def at(rank: Column) -> Column:
+        """The value whose ranks (from 1) hold ``rank``."""
+        return F.max(F.when((F.col("_upto") - F.col("_k") < rank) & (rank <= F.col("_upto")), F.col("_v")))
+
+    picks, out = [], []
+    for i, (q, name) in enumerate(zip(qs, names, strict=True)):
+        pos = F.lit(float(q)) * (F.col("_cnt") - 1)
+        picks += [at(F.floor(pos) + 1).alias(f"_lo{i}"), at(F.ceil(pos) + 1).alias(f"_hi{i}")]
+        picks.append(F.max(pos - F.floor(pos)).alias(f"_part{i}"))
+        out.append((F.col(f"_lo{i}") + F.col(f"_part{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(name))
+    return ranked.groupBy(*g).agg(*picks).select(*g, *out)
 
 
 def mean_ci(df: DataFrame, value: str, by: Sequence[str] = (), lo: float = 0.025, hi: float = 0.975) -> DataFrame:

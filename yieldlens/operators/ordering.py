@@ -11,10 +11,6 @@ with two bounded steps instead:
    values; the per-slice totals (at most #keys + #partitions rows) are turned
    into offsets with a tiny window and joined back on (partition, key).
 
-When every group is proven small (largest group ≤ ``max_group_rows``, measured
-by one partial aggregation) the plain window is used instead: a bounded group
-fits one task and the extra range exchange would only cost time.
-
 The range bounds are sampled when the exchange runs, and the totals branch and
 the row branch would each run (and sample) their own exchange, so the slice ids
 could disagree. The locally numbered slices are therefore written once as a
@@ -32,23 +28,6 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, shuffle_partitions
 
 
-# Groups up to this many rows are numbered by one plain window task.
-MAX_GROUP_ROWS = 2_000_000
-
-
-def _limit(max_group_rows: int | None) -> int:
-    """Per-call override, else the module setting (read at call time)."""
-    return MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-
-
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Row count of the biggest ``by`` group (a partial aggregate, skew-safe)."""
-    if not by:
-        return df.count()
-    r = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows_in_group")).agg(F.max("_rows_in_group")).first()
-    return int(r[0] or 0)
-
-
 def _as_cols(xs: Sequence[str | Column]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
@@ -59,20 +38,13 @@ def running_sums(
     order: Sequence[str | Column],
     sums: Mapping[str, Column],
     partitions: int | None = None,
-    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums ``sum(expr) over (partition by by order by order rows
     unbounded preceding)`` for each ``name -> expr``. ``order`` must be a total order
     inside each ``by`` group (add a unique tie-break), as for any row frame.
-    ``max_group_rows=0`` always takes the skew-safe path."""
+    Starts one job, the checkpoint of the locally numbered slices."""
     n = partitions or shuffle_partitions(df.sparkSession)
     order_cols = _as_cols(order)
-    max_group_rows = _limit(max_group_rows)
-    if max_group_rows > 0 and largest_group(df, by) <= max_group_rows:
-        wp = Window.partitionBy(*[F.col(b) for b in by]).orderBy(*order_cols).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        return df.withColumns({k: F.sum(v).over(wp) for k, v in sums.items()})
     vals = {f"_v_{k}": v for k, v in sums.items()}
     group = F.struct(*[F.col(b) for b in by]) if by else F.lit(0)
     ranged = (
@@ -100,10 +72,9 @@ def sequence_number(
     order: Sequence[str | Column],
     out: str = "rn",
     partitions: int | None = None,
-    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Exact ``row_number() over (partition by by order by order)``, skew-safe."""
-    return running_sums(df, by, order, {out: F.lit(1).cast("long")}, partitions, max_group_rows)
+    return running_sums(df, by, order, {out: F.lit(1).cast("long")}, partitions)
 
 
 def first_n(
@@ -112,24 +83,16 @@ def first_n(
     order: Sequence[str | Column],
     n: int | str | Column,
     out: str = "rn",
-    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Rows whose row number inside ``by`` (by ``order``) is <= n, with the number.
 
-    ``n`` may be a per-row column (a quota joined in). Bounded groups use one plain
-    window. Otherwise each group is split into ``ceil(largest / max_group_rows)``
-    hash slices; stage one keeps the first n of every slice (bounded tasks) and the
-    exact numbering then runs on at most ``slices · n`` rows per group.
+    ``n`` may be a per-row column (a quota joined in). Each group is split into as many
+    hash slices as there are shuffle partitions; stage one keeps the first n of every
+    slice and the exact numbering then runs on at most ``slices · n`` rows per group.
     """
     order_cols = _as_cols(order)
     ncol = F.lit(n) if isinstance(n, int) else (F.col(n) if isinstance(n, str) else n)
-    max_group_rows = _limit(max_group_rows)
-    largest = largest_group(df, by)
-    if max_group_rows > 0 and largest <= max_group_rows:
-        w = Window.partitionBy(*[F.col(b) for b in by]).orderBy(*order_cols)
-        return df.withColumn("_n", ncol).withColumn(out, F.row_number().over(w)).where(F.col(out) <= F.col("_n")).drop("_n")
-    slices = max(2, -(-largest // max(1, max_group_rows)))
-    salt = F.pmod(F.xxhash64(*order_cols), F.lit(slices))
+    salt = F.pmod(F.xxhash64(*order_cols), F.lit(shuffle_partitions(df.sparkSession)))
     w = Window.partitionBy(*[F.col(b) for b in by], F.col("_salt")).orderBy(*order_cols)
     pre = (
         df.withColumn("_salt", salt)
@@ -138,5 +101,5 @@ def first_n(
         .where(F.col("_r") <= F.col("_n"))
         .drop("_r", "_salt")
     )
-    ranked = sequence_number(pre, by, order, out, max_group_rows=0)
+    ranked = sequence_number(pre, by, order, out)
     return ranked.where(F.col(out) <= F.col("_n")).drop("_n")
