@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from yieldlens.functions.text import RULES_A, RULES_B, RULES_C, STANDIN_WIDE, RuleSet
+from yieldlens.functions.text import RULES_A, RULES_B, RULES_C, STANDIN_WIDE, ClassRule, RuleSet
 from yieldlens.operators.labeling import class_distribution, label_text
 
 
@@ -43,6 +43,9 @@ REPORTS = [
     None,
     "FINDINGS: edema. IMPRESSION: without evidence of acute infarct.",
     "IMPRESSION: small bleed; no fracture",
+    "IMPRESSION" * 400 + "x" * 800 + "edema",  # many anchors; the last one is just near enough
+    "IMPRESSION" * 400 + "x" * 801 + "edema",
+    "IMPRESSION" + "x" * 900 + "FINDINGSedema",  # a term right after the second anchor's end
 ]
 
 
@@ -92,3 +95,13 @@ def test_exam_filter_paths_agree(spark):
     assert "text" not in a.columns
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert a.where("note_id = 1").count() == 2  # two matching detail rows: fan-out kept
+
+
+def test_term_inside_the_next_anchor(spark):
+    """A term may begin within an anchor: only anchors that end before it count."""
+    rules = RuleSet("t", "seen|seedema", 6, (ClassRule("Hit", "edema|dem"),), "None")
+    texts = ["seenxxseedema", "seen" + "x" * 5 + "seedema", "seen" + "x" * 3 + "seedema", "seedema", "seedemaedema", "seen" * 50 + "edema"]
+    df = spark.createDataFrame(list(enumerate(texts)), "note_id int, text string")
+    got = {r.note_id: r.label for r in label_text(df, rules, subtype_out=None).collect()}
+    assert got == {i: brute_label(t, rules) for i, t in enumerate(texts)}
+    assert set(got.values()) == {"Hit", "None"}

@@ -79,8 +79,12 @@ def rule_matches(folded: Column, rules: RuleSet, body: str) -> Column:
     """Windowed match on the folded text behind exact prefilters: some anchor and
     some body term must occur at all before the (costlier) anchored window is
     tried; ``And`` short-circuits, so most rows never reach the windowed pattern."""
-    # (?s:.) is the same "any character" as [\s\S], tested with one predicate
-    pattern = f"({rules.anchors.lower()})(?s:.){{0,{rules.window}}}({body.lower()})"
+    anchors = rules.anchors.lower()
+    # (?s:.) is the same "any character" as [\s\S], tested with one predicate. Only the
+    # nearest anchor that ends before a term can decide, so the window of one anchor stops
+    # where the next one ends: every character is then tried after one anchor only.
+    stop = f"(?<!(?:{anchors}))" if literal_terms(anchors) else ""
+    pattern = f"({anchors})(?s:.{stop}){{0,{rules.window}}}({body.lower()})"
     return occurs(folded, rules.anchors) & occurs(folded, body) & folded.rlike(pattern)
 
 

@@ -1,5 +1,5 @@
 """Models on Spark ML: per-fold preparation + fit, out-of-fold (OOF) predictions,
-a registry of estimator factories, random-Fourier-feature SVM, exact k-NN,
+a registry of estimator factories, random-Fourier-feature SVM, exact blocked k-NN,
 permutation importance and recalibration.
 
 Fits are Spark ML jobs (distributed over rows); the (rep, fold) fits of one
@@ -13,6 +13,7 @@ import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -52,13 +53,10 @@ def prepare(train: DataFrame, test: DataFrame, spec: FrameSpec) -> tuple[DataFra
     te_imp = PR.impute(te, tr, spec.numeric, spec.categorical)
     tr_z = PR.standardize(tr_imp, tr_imp, spec.numeric)
     te_z = PR.standardize(te_imp, tr_imp, spec.numeric)
-    tr_o = PR.one_hot(tr_z, tr_z, spec.categorical)
-    te_o = PR.one_hot(te_z, tr_z, spec.categorical)
-    onehot = [c for c in tr_o.columns if any(c.startswith(f"{k}_") for k in spec.categorical) and c not in flags]
+    levels = PR.one_hot_levels(tr_z, spec.categorical)
+    tr_o, onehot = PR.one_hot_encode(tr_z, levels)
+    te_o, _ = PR.one_hot_encode(te_z, levels)
     names = spec.numeric + flags + onehot
-    for c in names:
-        if c not in te_o.columns:
-            te_o = te_o.withColumn(c, F.lit(0))
     asm = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
     w = PR.balanced_weights(asm.transform(tr_o), tr_o, spec.label, "weight")
     return w, asm.transform(te_o), names
@@ -150,77 +148,78 @@ class RffSvm:
 
 
 class ExactKnn:
-    """Exact k-nearest-neighbour vote (Euclidean, uniform weights; ties in distance
-    go to the smaller training key). The training side is broadcast as one numpy
-    matrix only after its size is checked (rows × dims ≤ ``max_cells``); test rows
-    are scored in Arrow batches with vectorised distances, never as row pairs."""
+    """Exact k-nearest-neighbour vote (Euclidean, uniform weights; ties in distance go to
+    the smaller training key).
+
+    Training and query rows are dealt by key hash into blocks of a fixed expected size and
+    every query block meets every training block in a task of its own, which yields the
+    block's k best per query row; a window keeps the k best of those. Neither side goes
+    through the driver or whole into one task, and no row pair leaves a task. Keys are
+    unique. Training rows without a vector or label are no neighbours; a query row without
+    a vector, or without any training row, has p NULL.
+    """
+
+    TRAIN_BLOCK, QUERY_BLOCK = 8192, 1024
 
-    def __init__(self, k: int = 5, key: str = "key", max_cells: int = 50_000_000, vec: str = "features"):
-        self.k, self.key, self.max_cells, self.vec = k, key, max_cells, vec
+    def __init__(self, k: int = 5, key: str = "key", vec: str = "features"):
+        self.k, self.key, self.vec = k, key, vec
+
+    def _rows(self, df: DataFrame) -> DataFrame:
+        arr = vector_to_array(self.vec) if dict(df.dtypes)[self.vec] == "vector" else F.col(self.vec)
+        return df.withColumn("_x", arr).where("_x IS NOT NULL")
 
     def fit(self, train: DataFrame):
-        n = train.count()
-        d = len(train.select(self.vec).first()[0]) if n else 0
-        if n * d > self.max_cells:
-            raise ValueError(f"exact k-NN training side has {n}×{d} cells > {self.max_cells}; use an approximate index")
-        arr = vector_to_array(self.vec) if dict(train.dtypes)[self.vec] == "vector" else F.col(self.vec)
-        rows = train.select(self.key, arr.alias("_x"), F.col("label_d")).orderBy(self.key).collect()
-        keys = np.array([r[0] for r in rows])
-        X = np.array([r[1] for r in rows], dtype=np.float64)
-        y = np.array([r[2] for r in rows], dtype=np.float64)
-        bc = train.sparkSession.sparkContext.broadcast((keys, X, y))
-        k, key, vec = self.k, self.key, self.vec
+        tr = self._rows(train).where("label_d IS NOT NULL").select(F.col(self.key).alias("_tkey"), "_x", F.col("label_d").alias("_y"))
+        t_blocks = -(-tr.count() // self.TRAIN_BLOCK)
+        k, key = self.k, self.key
+
+        def nearest(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+            if q.empty or t.empty:
+                return pd.DataFrame({key: q[key][:0], "_dist": [], "_tkey": t["_tkey"][:0], "_y": []})
+            # keys are sorted, so a stable sort breaks distance ties by key
+            t = t.sort_values("_tkey", kind="stable")
+            X = np.array(t["_x"].tolist(), dtype=np.float64)
+            Q = np.array(q["_x"].tolist(), dtype=np.float64)
+            step = max(1, 4_000_000 // X.size)  # bound the (chunk × n × d) temporary
+            best, dist = [], []
+            for s0 in range(0, len(Q), step):
+                d = ((Q[s0:s0 + step, None, :] - X[None, :, :]) ** 2).sum(axis=2)
+                idx = np.argsort(d, axis=1, kind="stable")[:, :k]
+                best.append(idx)
+                dist.append(np.take_along_axis(d, idx, axis=1))
+            idx = np.concatenate(best)
+            return pd.DataFrame({
+                key: np.repeat(q[key].to_numpy(), idx.shape[1]),
+                "_dist": np.concatenate(dist).ravel(),
+                "_tkey": t["_tkey"].to_numpy()[idx.ravel()],
+                "_y": t["_y"].to_numpy()[idx.ravel()],
+            })
 
         def predict(df: DataFrame) -> DataFrame:
-            arr2 = vector_to_array(vec) if dict(df.dtypes)[vec] == "vector" else F.col(vec)
-            inp = df.select(key, arr2.alias("_x"))
-
-            def score(it):
-                _, Xt, yt = bc.value
-                for pdf in it:
-                    Q = np.array(pdf["_x"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
-                    step = max(1, 8_000_000 // max(1, Xt.size))  # bound the (chunk × n × d) block
-                    out = np.empty(len(Q))
-                    for s0 in range(0, len(Q), step):
-                        dist = ((Q[s0:s0 + step, None, :] - Xt[None, :, :]) ** 2).sum(axis=2)
-                        # keys are sorted, so a stable sort breaks distance ties by key
-                        idx = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                        out[s0:s0 + step] = yt[idx].mean(axis=1)
-                    yield pd.DataFrame({key: pdf[key], "p": out})
-
-            scored = inp.mapInPandas(score, f"{key} {dict(df.dtypes)[key]}, p double")
-            return df.join(scored, key)
+            q = self._rows(df).select(key, "_x")
+            q_blocks = -(-q.count() // self.QUERY_BLOCK)
+            schema = f"`{key}` {dict(df.dtypes)[key]}, _dist double, _tkey {dict(tr.dtypes)['_tkey']}, _y double"
+            block = lambda c, n: F.expr(f"pmod(xxhash64(`{c}`), {max(n, 1)})")
+            each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)).cast("array<bigint>"))
+            left = q.withColumn("_qb", block(key, q_blocks)).withColumn("_tb", each(t_blocks))
+            right = tr.withColumn("_tb", block("_tkey", t_blocks)).withColumn("_qb", each(q_blocks))
+            near = left.groupBy("_qb", "_tb").cogroup(right.groupBy("_qb", "_tb")).applyInPandas(nearest, schema)
+            rank = F.row_number().over(Window.partitionBy(key).orderBy("_dist", "_tkey"))
+            votes = near.withColumn("_r", rank).where(F.col("_r") <= k)
+            return df.join(votes.groupBy(key).agg(F.avg("_y").alias("p")), key, "left")
 
         return predict
 
 
-MODELS: dict[str, Callable[[], object]] = {
-    "logistic": lambda: SparkModel(_logistic),
-    "forest": lambda: SparkModel(_forest),
-    "boosting": lambda: SparkModel(_boosting),
-    "rff_svm": lambda: RffSvm(),
-    "knn": lambda: ExactKnn(5),
+MODELS: dict[str, Callable[[FrameSpec], object]] = {
+    "logistic": lambda spec: SparkModel(_logistic),
+    "forest": lambda spec: SparkModel(_forest),
+    "boosting": lambda spec: SparkModel(_boosting),
+    "rff_svm": lambda spec: RffSvm(),
+    "knn": lambda spec: ExactKnn(5, key=spec.key),
 }
 
 
-ROWS_PER_FIT_PARTITION = 500_000
-
-
-def fit_partitions(cached: DataFrame) -> DataFrame:
-    """Cached training input with about ``ROWS_PER_FIT_PARTITION`` rows per
-    partition. Iterative learners run at least one job per iteration, so a small
-    training set spread over many partitions pays task overhead on every pass
-    (≈ 35 % of a boosting fit at this size); big inputs keep their partitions."""
-    n = cached.count()
-    want = max(1, -(-n // ROWS_PER_FIT_PARTITION))
-    if want >= cached.rdd.getNumPartitions():
-        return cached
-    narrow = cached.coalesce(want).cache()
-    narrow.count()
-    cached.unpersist()
-    return narrow
-
-
 def oof_predictions(
     df: DataFrame,
     spec: FrameSpec,
@@ -251,8 +250,8 @@ def oof_predictions(
         train = train.cache()
         test = part.where(F.col("fold") == fold)
         tr, te, _ = prepare(train, test, spec)
-        tr = fit_partitions(tr.cache())
-        predict = MODELS[model]().fit(tr)
+        tr = tr.cache()
+        predict = MODELS[model](spec).fit(tr)
         out = predict(te).select("rep", "fold", spec.key, spec.label, "p", *[F.col(f"_keep_{c}").alias(c) for c in extra])
         res = cut_lineage(out)
         tr.unpersist()
@@ -316,11 +315,21 @@ def downsample_majority(train: DataFrame, label: str, key: str, seed: int = 11)
     return first_n(t, [label], [F.col("_h"), F.col(key)], "_quota", out="_r").drop("_h", "_r", "_quota")
 
 
-def calibrate(oof: DataFrame, label: str, score: str = "p", method: str = "platt") -> DataFrame:
-    """Recalibrate out-of-fold scores: 'platt' (logistic on the score) or 'isotonic'."""
+def calibrate(
+    oof: DataFrame, label: str, score: str = "p", method: str = "platt", rep: str = "rep", fold: str = "fold"
+) -> DataFrame:
+    """Recalibrate out-of-fold scores: 'platt' (logistic on the score) or 'isotonic'.
+    Cross-fitted: the rows of a (rep, fold) are mapped by a calibrator fitted on the other
+    folds of that repetition, so no row takes part in its own calibration."""
     v = VectorAssembler(inputCols=[score], outputCol="_s").transform(oof.withColumn("_y", F.col(label).cast("double")))
-    if method == "platt":
-        m = LogisticRegression(featuresCol="_s", labelCol="_y", regParam=0.0).fit(v)
-        return m.transform(v).withColumn("p_cal", vector_to_array("probability")[1]).drop("_s", "_y", "rawPrediction", "probability", "prediction")
-    m = IsotonicRegression(featuresCol="_s", labelCol="_y", predictionCol="p_cal").fit(v)
-    return m.transform(v).drop("_s", "_y")
+    parts = []
+    for r, f in [(x[0], x[1]) for x in oof.select(rep, fold).distinct().orderBy(rep, fold).collect()]:
+        here = v.where(F.col(rep) == r)
+        others, held = here.where(F.col(fold) != f), here.where(F.col(fold) == f)
+        if method == "platt":
+            m = LogisticRegression(featuresCol="_s", labelCol="_y", regParam=0.0).fit(others)
+            out = m.transform(held).withColumn("p_cal", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+        else:
+            out = IsotonicRegression(featuresCol="_s", labelCol="_y", predictionCol="p_cal").fit(others).transform(held)
+        parts.append(out.drop("_s", "_y"))
+    return reduce(DataFrame.unionByName, parts)

@@ -119,16 +119,28 @@ def standardize(df: DataFrame, train: DataFrame, cols: Sequence[str], by: Sequen
     return out.drop(*[x for c in cols for x in (f"_mu_{c}", f"_sd_{c}")])
 
 
+def one_hot_levels(train: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> dict[str, list]:
+    """Sorted non-NULL training levels of each column. They become column names, so the
+    driver must know them; a column of more than ``max_levels`` levels raises."""
+    found = {}
+    for c in cols:
+        found[c] = [r[0] for r in train.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(max_levels + 1).collect()]
+        if len(found[c]) > max_levels:
+            raise ValueError(f"{c}: more than {max_levels} levels; encode it another way")
+    return found
+
+
+def one_hot_encode(df: DataFrame, levels: dict[str, list]) -> tuple[DataFrame, list[str]]:
+    """``<c>_<level>`` 0/1 columns for the given levels, replacing each ``c``; a level
+    not listed gives all zeros. Returns the table and the new columns' names."""
+    cols = {f"{c}_{lv}": F.coalesce(F.col(c) == lv, F.lit(False)).cast("int") for c, lvs in levels.items() for lv in lvs}
+    return df.withColumns(cols).drop(*levels), list(cols)
+
+
 def one_hot(df: DataFrame, train: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> DataFrame:
     """``<c>_<level>`` 0/1 columns for every training level (sorted); a level not
     seen in training gives all zeros; no level is dropped. Replaces ``c``."""
-    out = df
-    for c in cols:
-        levels = [r[0] for r in train.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(max_levels + 1).collect()]
-        if len(levels) > max_levels:
-            raise ValueError(f"{c}: more than {max_levels} levels; encode it another way")
-        out = out.withColumns({f"{c}_{lv}": (F.coalesce(F.col(c) == lv, F.lit(False))).cast("int") for lv in levels}).drop(c)
-    return out
+    return one_hot_encode(df, one_hot_levels(train, cols, max_levels))[0]
 
 
 def balanced_weights(df: DataFrame, train: DataFrame, label: str, out: str = "weight", by: Sequence[str] = ()) -> DataFrame:

@@ -4,6 +4,8 @@ unblinding and scoring; section / reply / JSON / prompt helpers."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from ..functions.text import REPORT_PROMPT, STANDIN_REDUCED, STANDIN_WIDE, promp
 from ..operators import audit as A
 from ..operators import labeling as LB
 from ..operators import metrics as M
-from ..session import cut_lineage, table
+from ..session import cut_lineage, ensure_checkpoint_dir, table
 from ..sources import standins as S
 from .q_metrics import D, rnd
 from .registry import q, query
@@ -63,14 +65,16 @@ def external_label_stub(spark, sf):
 
 @query("resume_checkpoint", f"SELECT doc_id AS note_id, {_STUB_SQL} AS ext_label FROM documents")
 def resume_checkpoint(spark, sf):
-    """Resumable labelling: rows already labelled (the reports in `labels`, done in
-    an earlier pass) are skipped by an anti join; the rest are labelled and the
-    union is the final state, one label per report."""
+    """Resumable labelling: a first pass (the reports in `labels`) stores its labels as
+    Parquet state in the shared folder; a second pass over all reports reads that state,
+    skips its rows by an anti join, labels the rest and appends them. The result is the
+    stored state, one label per report."""
     n = S.notes(spark, sf)
+    state = f"{ensure_checkpoint_dir(spark).rstrip('/')}/label-state-{uuid.uuid4().hex[:8]}"
     first = n.join(table(spark, sf, "labels").select(F.col("doc_id").alias("note_id")), "note_id", "left_semi")
-    done = A.external_label(first, "note_id", "text", stub_labeller).select("note_id", "ext_label")
-    rest = A.external_label(n, "note_id", "text", stub_labeller, done=done).select("note_id", "ext_label")
-    return done.unionByName(rest)
+    stored = A.resume(state, A.external_label(first, "note_id", "text", stub_labeller).select("note_id", "ext_label"), "note_id")
+    rest = A.external_label(n, "note_id", "text", stub_labeller, done=stored).select("note_id", "ext_label")
+    return A.resume(state, rest, "note_id")
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import STANDIN_NARROW, STANDIN_REDUCED, STANDIN_WIDE
+from ..functions.text import RULES_A, RULES_B, RULES_C, STANDIN_NARROW, STANDIN_REDUCED, STANDIN_WIDE
 from ..operators.labeling import class_distribution, label_exam_notes, label_text
 from ..sources import standins as S
 from .registry import query
@@ -44,6 +44,18 @@ def label_reduced(spark, sf):
     return label_text(S.notes(spark, sf), STANDIN_REDUCED, subtype_out=None).select("note_id", "label")
 
 
+@query(
+    "label_published_rules",
+    f"SELECT doc_id AS note_id, {sql_label('text', RULES_A)} AS label_a, {sql_subtype('text', RULES_A)} AS subtype_a, "
+    f"{sql_label('text', RULES_B)} AS label_b, {sql_label('text', RULES_C)} AS label_c FROM documents",
+)
+def label_published_rules(spark, sf):
+    """The three published rule sets over every report in one pass."""
+    n = label_text(S.notes(spark, sf), RULES_A, out="label_a", subtype_out="subtype_a", keep_text=True)
+    n = label_text(n, RULES_B, out="label_b", subtype_out=None, keep_text=True)
+    return label_text(n, RULES_C, out="label_c", subtype_out=None).select("note_id", "label_a", "subtype_a", "label_b", "label_c")
+
+
 _DIST_SQL = f"""
 WITH lab AS (
   SELECT {sql_label('n.text', STANDIN_WIDE)} AS label

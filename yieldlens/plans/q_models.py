@@ -58,6 +58,7 @@ for _name, _model, _doc in [
     ("rf_oof", "forest", "Out-of-fold random forest (300 trees, depth 8, min leaf 15, balanced)."),
     ("gbt_oof", "boosting", "Out-of-fold gradient-boosted trees (300 × depth 4, step 0.05)."),
     ("rff_svm_oof", "rff_svm", "Out-of-fold RBF-SVM approximation (random Fourier features + linear SVM + Platt)."),
+    ("knn_oof", "knn", "Out-of-fold exact 5-nearest-neighbour vote on the prepared features."),
 ]:
     query(_name)(_oof_query(_model, _doc))
 
@@ -90,14 +91,15 @@ def permutation_importance(spark, sf):
     split = SP.group_split(f, "subject_id", 0.2, SEED)
     j = f.join(split, "subject_id")
     tr, te, names = ML.prepare(j.where("is_test = 0"), j.where("is_test = 1"), SPEC)
-    predict = ML.MODELS["logistic"]().fit(tr.cache())
+    predict = ML.MODELS["logistic"](SPEC).fit(tr.cache())
     te = cut_lineage(te)
     return rnd(ML.permutation_importance(predict, te, "y", SPEC.numeric, names, "order_id"), 6)
 
 
 @query("calibrated_scores")
 def calibrated_scores(spark, sf):
-    """Platt and isotonic recalibration of the out-of-fold logistic scores."""
+    """Platt and isotonic recalibration of the out-of-fold logistic scores, each fold
+    mapped by calibrators fitted on the other folds."""
     oof = _oof(spark, sf, "logistic").drop("unit")
     platt = ML.calibrate(oof, "y", "p", "platt").select("order_id", F.col("p_cal").alias("p_platt"))
     iso = ML.calibrate(oof, "y", "p", "isotonic").select("order_id", F.col("p_cal").alias("p_isotonic"))

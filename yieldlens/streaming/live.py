@@ -1,8 +1,7 @@
 """Structured Streaming versions of the order-time jobs.
 
-* ``lookback_stream`` — order stream ⋈ measurement stream on the stay with the
-  look-back interval, both sides watermarked (state is bounded by the window),
-  then a per-order aggregate emitted in append mode once the watermark passes.
+* ``interval_join`` — order stream ⋈ measurement stream on the stay with the
+  look-back interval, both sides watermarked (state is bounded by the window).
 * ``score_stream`` — stateless: score arriving rows and apply the threshold.
 * ``rolling_rate`` — tumbling event-time windows of counts / positive rate per
   stratum, late data bounded by a watermark.
@@ -70,10 +69,12 @@ def run_partials(stream: DataFrame, out: str, keys: list[str], partial: dict, fi
     """Append-only stream whose micro-batches are folded into mergeable partial
     aggregates (``partial``: name -> agg over the batch) written per batch; the
     result merges the partials (``final``: name -> agg over partial columns).
-    Exact for count / sum / min / max, and each batch's work is bounded."""
+    Exact for count / sum / min / max, and each batch's work is bounded. A batch that is
+    delivered again after a restart replaces its own folder, so it counts once."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.groupBy(*keys).agg(*[e.alias(n) for n, e in partial.items()]).write.mode("append").parquet(f"{out}/partials")
+        part = batch.groupBy(*keys).agg(*[e.alias(n) for n, e in partial.items()])
+        part.write.mode("overwrite").parquet(f"{out}/partials/_batch={epoch}")
 
     q = (
         stream.writeStream.foreachBatch(write)
@@ -87,11 +88,12 @@ def run_partials(stream: DataFrame, out: str, keys: list[str], partial: dict, fi
 
 
 def run_update(stream: DataFrame, out: str, keys: list[str]) -> DataFrame:
-    """Update-mode aggregate: every micro-batch appends the groups it changed with
-    its batch id; the result keeps the latest version of each group."""
+    """Update-mode aggregate: every micro-batch writes the groups it changed to the folder
+    of its batch id (replaced when the batch is delivered again); the result keeps the
+    latest version of each group."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("_batch", F.lit(epoch)).write.mode("append").parquet(f"{out}/updates")
+        batch.write.mode("overwrite").parquet(f"{out}/updates/_batch={epoch}")
 
     q = (
         stream.writeStream.foreachBatch(write)
@@ -123,27 +125,6 @@ def interval_join(
     return o.join(e, cond).select("o.*", *[F.col(f"e.{c}") for c in events.columns if c != stay])
 
 
-def lookback_stream(
-    orders: DataFrame, events: DataFrame, stay: str, t0: str, ts: str, value: str, window_hours: int, lateness: str
-) -> DataFrame:
-    """Streaming interval join + per-order count/min/max (inner: orders with ≥ 1 event).
-    Watermarks need zoned timestamps: wall-clock (NTZ) times are read as UTC and
-    returned as wall clock again."""
-    ntz = dict(orders.dtypes)[t0] == "timestamp_ntz"
-    o = _as_event_time(orders, t0).withWatermark(t0, lateness).alias("o")
-    e = _as_event_time(events, ts).withWatermark(ts, lateness).alias("e")
-    cond = (
-        (F.col(f"o.{stay}") == F.col(f"e.{stay}"))
-        & (F.col(f"e.{ts}") >= F.col(f"o.{t0}") - F.expr(f"INTERVAL {window_hours} HOURS"))
-        & (F.col(f"e.{ts}") < F.col(f"o.{t0}"))
-    )
-    j = o.join(e, cond)
-    agg = j.groupBy(F.col("o.order_id").alias("order_id"), F.col(f"o.{t0}").alias(t0)).agg(
-        F.count(F.lit(1)).alias("n_events"), F.min(f"e.{value}").alias("min_value"), F.max(f"e.{value}").alias("max_value")
-    )
-    return agg.withColumn(t0, F.col(t0).cast("timestamp_ntz")) if ntz else agg
-
-
 def _as_event_time(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")) if dict(df.dtypes)[ts] == "timestamp_ntz" else df
 
