@@ -20,6 +20,7 @@ gives no files and no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -36,11 +37,16 @@ from pyspark.sql import Window as W
 
 from ..session import table
 from .common import SpanHasher, pieces, ragged, shared_path, written
-from .pretoken import SPACE, Splitter, WordBatch, WordCache
+from .pretoken import Splitter, WordBatch, WordCache
 
 MAGIC = b"HUFIDS01"
 STEP = 256
 BLOCK_TOKENS = 1 << 18
+#: bytes of words that the library gets at a time
+JOINED = 1 << 11
+#: bytes that are white space, and bytes that a white-space character may start with
+SPACE_BYTES = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+SPACE_LEADS = SPACE_BYTES | np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 
 
 # ---------------------------------------------------------------- code
@@ -170,6 +176,7 @@ def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
         newline = tok.encode("\n", add_special_tokens=False).ids
@@ -177,23 +184,35 @@ def _tokenize(path: str, end_id: int):
         odd = regex.compile(r"\p{Cn}")
         pack = zstandard.ZstdCompressor(level=1)
 
+        def joined(buf, start, size):
+            """Ids of the words with a newline after each, some kilobytes of words at a time."""
+            ends = np.cumsum(size + 1)
+            lines = np.full(int(ends[-1]) if len(ends) else 0, ord("\n"), np.uint8)
+            lines[ragged(ends - size - 1, size)] = buf[ragged(start, size)]
+            cuts = np.unique(np.concatenate([[0], ends[np.searchsorted(ends, np.arange(JOINED, len(lines), JOINED))], ends[-1:]]).astype(np.int64)).tolist()
+            found = [np.zeros(0, np.int32)]
+            for k in range(0, len(cuts) - 1, 16):
+                groups = [lines[a:z].tobytes().decode() for a, z in zip(cuts[k : k + 16], cuts[k + 1 : k + 17], strict=False)]
+                found += [np.array(e.ids, np.int32) for e in tok.encode_batch_fast(groups, add_special_tokens=False)]
+            return np.concatenate(found)
+
         def encode(buf, start, stop):
-            data = buf.tobytes()
-            words = [data[a:z].decode() for a, z in zip(start.tolist(), stop.tolist(), strict=True)]
-            # words that are white space alone would join the separator's match
-            plain = [k for k, w in enumerate(words) if not (splitter.classes[ord(w[0])] == SPACE and splitter.classes[ord(w[-1])] == SPACE)]
-            n = np.zeros(len(words), np.int64)
-            some = np.array(tok.encode("\n".join(words[k] for k in plain), add_special_tokens=False).ids, np.int32)
-            gaps = np.flatnonzero(some == newline[0])
-            n[plain] = np.diff(np.concatenate([[-1], gaps, [len(some)]])) - 1 if plain else 0
-            flat = np.empty(0, np.int32)
-            rest = sorted(set(range(len(words))) - set(plain))
-            alone = [np.array(tok.encode(words[k], add_special_tokens=False).ids, np.int32) for k in rest]
+            # words of white space alone would join the separator's match: they go one by one.
+            # A match that ends in white space has nothing else; beyond ASCII Python decides.
+            blank = SPACE_BYTES[buf[stop - 1]]
+            for k in np.flatnonzero((buf[stop - 1] >= 0x80) & SPACE_LEADS[buf[start]]):
+                blank[k] = buf[start[k] : stop[k]].tobytes().decode().isspace()
+            plain, rest = np.flatnonzero(~blank), np.flatnonzero(blank)
+            n = np.zeros(len(start), np.int64)
+            some = joined(buf, start[plain], (stop - start)[plain])
+            line = some == newline[0]
+            n[plain] = np.diff(np.concatenate([[-1], np.flatnonzero(line)])) - 1
+            alone = [np.array(tok.encode(buf[start[k] : stop[k]].tobytes().decode(), add_special_tokens=False).ids, np.int32) for k in rest]
             n[rest] = [len(x) for x in alone]
             begin = np.cumsum(n) - n
             flat = np.empty(int(n.sum()), np.int32)
-            flat[ragged(begin[plain], n[plain])] = some[some != newline[0]]
-            if rest:
+            flat[ragged(begin[plain], n[plain])] = some[~line]
+            if len(rest):
                 flat[ragged(begin[rest], n[rest])] = np.concatenate(alone)
             return flat, n
 

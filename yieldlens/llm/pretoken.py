@@ -101,7 +101,14 @@ class WordBatch:
         self.per_text = np.diff(np.searchsorted(at, np.append(first, len(points))))
         self.bytes_per_text = np.diff(byte[np.append(first, len(points))])
         hasher.load(self.buf)
-        self.keys, sample, self.word = np.unique(hasher.spans(start, stop), return_index=True, return_inverse=True)
+        key = hasher.spans(start, stop)
+        order = np.argsort(key)  # any match of a key will do as its sample
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        self.keys, sample = key[new], order[new]
+        self.word = np.empty(len(key), np.int64)
+        self.word[order] = np.cumsum(new) - 1
         #: one span of each distinct match
         self.start, self.stop = start[sample], stop[sample]
 
