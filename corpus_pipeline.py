@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldlens.llm import bytebpe, decontam, langid, minhash, suffixdedup
+from yieldlens.llm import bytebpe, decontam, langid, minhash, passages
 from yieldlens.llm.common import shared_path, written
 from yieldlens.session import table
 
@@ -21,6 +21,8 @@ from yieldlens.session import table
 MIN_CONFIDENCE = 0.5
 #: near-duplicates: percent of shared five-word shingles
 NEAR_PERCENT = 80
+#: repeated passages: the fewest words
+PASSAGE_WORDS = 51
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -42,8 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte strings that occur more than once."""
-    rows, kept = suffixdedup.remove_repeats(docs)
+    """Documents without the passages of more than fifty words that occur more than once."""
+    rows, kept = passages.remove_passages(docs, PASSAGE_WORDS)
     kept = kept.select("id", F.col("kept_text").alias("text"))
     joined = rows.drop("text").join(kept, "id").withColumn("n_chars", F.length("text").cast("long"))
     return joined.select(*docs.columns)

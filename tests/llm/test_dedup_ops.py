@@ -4,10 +4,11 @@ import collections
 import hashlib
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
-from yieldlens.llm import fingerprint, minhash, suffixdedup
+from yieldlens.llm import fingerprint, minhash, passages, suffixdedup
 
 
 def _near_docs():
@@ -111,6 +112,52 @@ def test_removed_bytes(spark, monkeypatch, group_bytes):
     assert empty.join(none, "id").count() == 0
 
 
+def test_word_spans():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab\u00e9\u00a0\u2003\u3000\u2014 \n\x85x.,\u00df") for _ in range(rng.randint(0, 40))) for _ in range(200)] + ["", "\u4f60\u597dab \u304b(c) --"]
+    data = [t.encode() for t in texts]
+    at = np.cumsum([0] + [len(b) for b in data])
+    buf = np.frombuffer(b"".join(data), np.uint8)
+    got = [bytes(buf[a:b]).decode() for a, b in zip(*passages.word_spans(buf, at), strict=True)]
+    assert got == [w.strip(".,") or w for t in texts[:-1] for w in t.split()] + ["\u4f60", "\u597d", "ab", "\u304b", "c", "--"]
+    assert passages.word_spans(buf[:0], at[:1])[0].size == 0
+
+
+def _planted():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstu\u00e9") for _ in range(rng.randint(2, 7)))
+    own = lambda n: " ".join(word() for _ in range(n))
+    docs, want = [], {}
+    for i, n in enumerate([50, 51, 52, 60, 70, 200]):
+        passage = own(n)
+        for j, (pre, post) in enumerate([("", " "), ("(", ", ")]):
+            a, b = own(30), own(40)
+            docs.append((10 * i + j, f"{a} {pre}{passage}{post}{b}"))
+            want[10 * i + j] = f"{a} {pre}{passage if n < 51 else ''}{post}{b}"
+    twice = own(55)
+    docs += [(100, f"{twice} middle {twice}"), (101, own(300)), (102, None), (103, "short"), (104, "ha " * 60)]
+    want |= {100: " middle ", 101: docs[-4][1], 102: "", 103: "short", 104: " "}
+    return docs, want
+
+
+@pytest.mark.parametrize("group_bytes", [8 << 20, 300])  # in one sort a key, and salted
+def test_passages_by_words(spark, monkeypatch, group_bytes):
+    monkeypatch.setattr(suffixdedup, "GROUP_BYTES", group_bytes)
+    docs, want = _planted()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows, kept = passages.remove_passages(df)
+    assert {r["doc_id"]: r["kept_text"] for r in rows.join(kept, "id").collect()} == want
+    empty, none = passages.remove_passages(df.limit(0))
+    assert empty.join(none, "id").count() == 0
+
+
+def test_pipeline_stage_removes_short_passages(spark):
+    docs, want = _planted()
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.repeated_passages(spark, df, "").collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 def test_entropy_and_likeness():
     rng = np.random.default_rng(2)
     buf = rng.integers(97, 110, 600).astype(np.uint8)

@@ -22,7 +22,7 @@ through; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -312,21 +312,26 @@ def _cut(length: int):
 # ---------------------------------------------------------------- the job
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
-    """(rows, texts): ``docs`` with a column ``id`` (digest of the text), and one row per distinct
-    text with id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) and
-    kept_text (the characters that remain whole)."""
-    gram = max(1, min(GRAM, length // 2))
-    spark = docs.sparkSession
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts): ``docs`` with a column ``id`` (digest of the text), and (id, text, copies)
+    of every distinct text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumn("id", F.unhex(F.sha2(text, 256)))
-    texts = rows.groupBy("id").agg(F.first(text).alias("text"), F.count("*").alias("copies"))
+    return rows, rows.groupBy("id").agg(F.first(text).alias("text"), F.count("*").alias("copies"))
+
+
+def repeat_spans(texts: DataFrame, length: int, coded: Callable = iter) -> DataFrame:
+    """(id, spans) of the texts that hold repeats: runs lo…hi-1 of starts whose window of ``length``
+    bytes occurs again. ``coded`` maps the batches of texts to the bytes that are compared."""
+    gram = max(1, min(GRAM, length // 2))
+    spark = texts.sparkSession
+    key_runs, cut_regions = _key_runs(length, gram), _regions(length)
 
-    runs = written(texts.mapInArrow(_key_runs(length, gram), "key bigint, id binary, lo int, n int, copies bigint, again boolean"), "suffix-runs")
+    runs = written(texts.mapInArrow(lambda batches: key_runs(coded(batches)), "key bigint, id binary, lo int, n int, copies bigint, again boolean"), "suffix-runs")
     seen = runs.groupBy("key").agg(F.count("*").alias("regions"), F.max("copies").alias("most"), F.max("again").alias("again"), F.sum(F.col("n") + F.lit(length)).alias("bytes")).where("regions > 1 OR most > 1 OR again")
     wanted = runs.join(seen.select("key"), "key").groupBy("id").agg(F.collect_list(F.struct("key", "lo", "n", "copies")).alias("runs"))
     regions = texts.select("id", "text").join(wanted, "id").select("id", "text", "runs")
-    regions = regions.mapInArrow(_regions(length), "key bigint, region binary, n int, copies bigint, id binary, lo int")
+    regions = regions.mapInArrow(lambda batches: cut_regions(coded(batches)), "key bigint, region binary, n int, copies bigint, id binary, lo int")
     regions = written(regions.withColumn("digest", F.unhex(F.sha2(F.col("region"), 256))), "suffix-regions")
 
     # equal regions travel once; a key too large for one sort is salted by region
@@ -345,7 +350,15 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataF
     across = across.join(shared, "window").selectExpr("digest", "at[0] AS at", "len[0] AS len")
     found = inside.unionByName(across).groupBy("digest").agg(F.collect_set(F.struct("at", "len")).alias("found"))
     spans = regions.select("id", "lo", "digest").join(found, "digest").select("id", "lo", F.explode("found").alias("f"))
-    spans = spans.groupBy("id").agg(F.collect_list(F.struct((F.col("lo") + F.col("f.at")).alias("lo"), (F.col("lo") + F.col("f.at") + F.col("f.len")).alias("hi"))).alias("spans"))
+    return spans.groupBy("id").agg(F.collect_list(F.struct((F.col("lo") + F.col("f.at")).alias("lo"), (F.col("lo") + F.col("f.at") + F.col("f.len")).alias("hi"))).alias("spans"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts): ``docs`` with a column ``id`` (digest of the text), and one row per distinct
+    text with id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) and
+    kept_text (the characters that remain whole)."""
+    rows, texts = distinct_texts(docs)
+    spans = repeat_spans(texts, length)
     kept = texts.select("id", "text").join(spans, "id", "left").select("id", "text", "spans")
     kept = kept.mapInArrow(_cut(length), "id binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
     return rows, kept
