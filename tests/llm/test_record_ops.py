@@ -108,6 +108,30 @@ def test_license_forms(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_license_titles_texts_and_signs(spark):
+    mit, bsd = licenses.KNOWN["MIT"], (licenses.TEXTS / "BSD-3-Clause.txt").read_text()
+    text = lambda name: (licenses.TEXTS / f"{name}.txt").read_text()
+    whole = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    cases = [(text(n), n) for n in whole]
+    cases += [
+        ("MIT License\n\nCopyright (c) 2020 Somebody\n\n" + mit, "MIT"),
+        ("The MIT License (MIT)\r\n\r\nCopyright \u00a9 2020 Somebody\r\n\r\n" + mit.replace("\n", "\r\n"), "MIT"),
+        ("ISC License\n\nCopyright <year> <holder>\n\n" + licenses.KNOWN["ISC"], "ISC"),
+        ("zlib License\n\nCopyright Jane Doe 2020\n\n" + licenses.KNOWN["Zlib"], "Zlib"),
+        ("BSD Zero Clause License\n\nCopyright Jane Doe\n\n" + licenses.KNOWN["0BSD"], "0BSD"),
+        (mit.replace('"Software"', "\u201cSoftware\u201d").replace('"AS IS"', "\u201cAS\u00a0IS\u201d").replace(", and", "\u2014and"), "MIT"),
+        ("\u2022 " + licenses.KNOWN["Zlib"].replace("'as-is'", "\u2018as\u2011is\u2019"), "Zlib"),
+        ("BSD 3-Clause License\n\nCopyright [2020] [Org]\n\n" + bsd.replace("the copyright holder nor the names of its", "Example Org nor the names of its"), "BSD-3-Clause"),
+        (text("Apache-2.0").partition("END OF TERMS")[0], "Apache-2.0"),
+        (text("GPL-2.0").replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA"), "GPL-2.0"),
+        ("MIT License and more\n\n" + mit, None),
+        (text("GPL-3.0") + "\nwith an exception", None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(df).collect()}
+    assert got == {i: name for i, (_, name) in enumerate(cases)}
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, SF, "documents").limit(60).unionByName(spark.createDataFrame([(900001, "12 34 !", "en", "s", 7), (900002, None, "en", "s", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint"))
     bench = table(spark, SF, "benchmark").first()["text"]
