@@ -69,3 +69,26 @@ def test_calibration_leaves_the_own_fold_out(spark):
         assert cal.count() == 90
         high, low = (cal.where(f"fold = 0 AND p {c}").agg(F.avg("p_cal")).first()[0] for c in ("> 0.6", "< 0.3"))
         assert high > low
+
+
+def test_registered_protocols(spark, monkeypatch):
+    """Repeats, folds and models of the comparison queries, with scores in place of the fits."""
+    from yieldlens.plans import q_models as Q
+
+    calls = []
+
+    def scored(df, spec, model, folds, extra=(), **_):
+        cells = folds.select("rep", "fold").distinct().count()
+        calls.append((tuple(spec.numeric), model, folds.select("rep").distinct().count(), cells))
+        p = F.pmod(F.xxhash64(spec.key, "rep"), F.lit(1000)) / 1000
+        return df.join(folds, spec.group).select("rep", "fold", spec.key, spec.label, p.alias("p"), *extra)
+
+    monkeypatch.setattr(Q.ML, "oof_predictions", scored)
+    sf = "/root/testdata/sf0.001"
+    got = {(r.feature_set, r.model) for r in Q.ablation_summary(spark, sf).collect()}
+    assert got == {(s, m) for s in Q.SETS for m in ("logistic", "forest")}
+    assert len(calls) == 8
+    assert all(c[2:] == (20, 100) for c in calls)
+    calls.clear()
+    Q.within_unit_increment(spark, sf).collect()
+    assert [c[1:] for c in calls] == [("forest", 5, 25)] * 2

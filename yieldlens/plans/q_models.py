@@ -16,7 +16,7 @@ from ..session import cut_lineage
 from .q_metrics import rnd
 from pyspark.ml.functions import vector_to_array
 
-from .q_model_frame import _FRAME_SQL, _SPLIT_SQL, FEATURES, K, SEED, frame
+from .q_model_frame import _FRAME_SQL, _SPLIT_SQL, FEATURES, K, REPS, SEED, frame
 from .registry import query
 
 SPEC = ML.FrameSpec(
@@ -28,6 +28,10 @@ SETS = {
     "C_clinical": ([*FEATURES], []),
     "D_clinical_context": ([*FEATURES, "hour", "is_repeat"], ["unit"]),
 }
+#: the reference's models and repeats of the feature-set comparison
+COMPARATORS = ["logistic", "forest"]
+#: the reference's model and repeats of the scores inside units
+WITHIN_MODEL, WITHIN_REPS = "forest", 5
 
 
 def _frame(spark, sf):
@@ -37,12 +41,11 @@ def _frame(spark, sf):
     return cut_lineage(f.join(o, "order_id"))
 
 
-def _oof(spark, sf, model: str, spec=SPEC, where=None, reps=1):
+def _oof(spark, sf, model: str):
+    """One repeat, as the reference's out-of-fold scores have."""
     f = _frame(spark, sf)
-    if where is not None:
-        f = f.where(where)
-    folds = SP.grouped_kfold(f, spec.group, spec.label, K, reps)
-    return ML.oof_predictions(f, spec, model, folds, extra=["unit"])
+    folds = SP.grouped_kfold(f, SPEC.group, SPEC.label, K, 1)
+    return ML.oof_predictions(f, SPEC, model, folds, extra=["unit"])
 
 
 def _oof_query(model: str, doc: str):
@@ -107,28 +110,33 @@ def calibrated_scores(spark, sf):
 
 
 def _ablation(spark, sf, where=None):
+    f = _frame(spark, sf)
+    f = f if where is None else f.where(where)
+    folds = cut_lineage(SP.grouped_kfold(f, SPEC.group, SPEC.label, K, REPS))
     parts = []
     for name, (num, cat) in SETS.items():
         spec = ML.FrameSpec("order_id", "y", "subject_id", num, cat, [c for c in num if c in FEATURES])
-        oof = _oof(spark, sf, "logistic", spec, where)
-        m = M.ranking_metrics(oof, "y", "p", ["rep", "fold"]).withColumn("feature_set", F.lit(name))
-        parts.append(m)
+        for model in COMPARATORS:
+            oof = cut_lineage(ML.oof_predictions(f, spec, model, folds))
+            m = M.ranking_metrics(oof, "y", "p", ["rep", "fold"])
+            parts.append(cut_lineage(m.withColumns({"feature_set": F.lit(name), "model": F.lit(model)})))
     allm = parts[0]
     for p in parts[1:]:
         allm = allm.unionByName(p)
-    au = M.mean_ci(allm, "auroc", ["feature_set"]).select(
-        "feature_set", F.col("mean").alias("auroc_mean"), F.col("lo").alias("auroc_lo"), F.col("hi").alias("auroc_hi")
+    by = ["feature_set", "model"]
+    au = M.mean_ci(allm, "auroc", by).select(
+        *by, F.col("mean").alias("auroc_mean"), F.col("lo").alias("auroc_lo"), F.col("hi").alias("auroc_hi")
     )
-    ap = M.mean_ci(allm, "average_precision", ["feature_set"]).select(
-        "feature_set", F.col("mean").alias("auprc_mean"), F.col("lo").alias("auprc_lo"), F.col("hi").alias("auprc_hi")
+    ap = M.mean_ci(allm, "average_precision", by).select(
+        *by, F.col("mean").alias("auprc_mean"), F.col("lo").alias("auprc_lo"), F.col("hi").alias("auprc_hi")
     )
-    return rnd(au.join(ap, "feature_set"), 6)
+    return rnd(au.join(ap, by), 6)
 
 
 @query("ablation_summary")
 def ablation_summary(spark, sf):
     """Feature-set comparison (unit only / context / clinical / both) under the
-    grouped CV protocol, logistic model: AUROC and AUPRC mean and range."""
+    grouped CV protocol (20 × 5), logistic model and forest: AUROC and AUPRC mean and range."""
     return _ablation(spark, sf)
 
 
@@ -141,12 +149,15 @@ def cohort_sensitivity(spark, sf):
 @query("within_unit_increment")
 def within_unit_increment(spark, sf):
     """Within-unit AUROC of the clinical model minus the context-only model, for
-    units with enough rows (pooled predictions scored inside each unit)."""
+    units with enough rows (pooled predictions of the forest, 5 repeats, scored inside each unit)."""
+    f = _frame(spark, sf)
+    folds = cut_lineage(SP.grouped_kfold(f, SPEC.group, SPEC.label, K, WITHIN_REPS))
     res = {}
     for name in ("B_context", "C_clinical"):
         num, cat = SETS[name]
         spec = ML.FrameSpec("order_id", "y", "subject_id", num, cat, [c for c in num if c in FEATURES])
-        res[name] = CM.within_stratum(_oof(spark, sf, "logistic", spec), "unit", "y", "p", "rep", 40).select(
+        oof = cut_lineage(ML.oof_predictions(f, spec, WITHIN_MODEL, folds, extra=["unit"]))
+        res[name] = CM.within_stratum(oof, "unit", "y", "p", "rep", 40).select(
             "unit", F.col("auroc_mean").alias(f"auroc_{name}")
         )
     j = res["C_clinical"].join(res["B_context"], "unit")
