@@ -201,9 +201,9 @@ def _assign(centroids: np.ndarray, axes: np.ndarray, lead: int):
 def starting_centroids(prepared: DataFrame, k: int = K, seed: int = 2) -> np.ndarray:
     """The k vectors with the smallest sha256 of ``seed:vec_id``, in that order."""
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
-    # the order among equal ids: by components, the sign bit turned for an order of bytes
+    # rows of one id are ordered by the bytes of their vectors
     rows = prepared.where("vec_id IS NOT NULL").select(h.alias("h"), "v").orderBy("h", F.hex("v")).limit(k).collect()
-    return np.array([np.frombuffer(r["v"], "<i4") for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([np.frombuffer(r["v"], "<i4") for r in rows], np.int64)
 
 
 def cluster(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, dim: int = DIM, scale: int = SCALE, lead: int = LEAD) -> tuple[DataFrame, np.ndarray]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, decontam, fingerprint, huffman, langid, licenses, minhash, sharding, suffixdedup, warc
+from . import alignment, bytebpe, centroids, decontam, fingerprint, huffman, langid, licenses, minhash, sharding, suffixdedup, urlfilter, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_minhash": minhash.op9_minhash,
     "op10_byte_bpe": bytebpe.op10_byte_bpe,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_url_filter": urlfilter.op13_url_filter,
 }
 
-ORACLE = {"op3_warc": warc.OP3_SQL, "op8_license_scan": licenses.OP8_SQL}
+ORACLE = {"op3_warc": warc.OP3_SQL, "op8_license_scan": licenses.OP8_SQL, "op12_centroids": centroids.OP12_SQL, "op13_url_filter": urlfilter.OP13_SQL}

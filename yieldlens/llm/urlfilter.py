@@ -61,7 +61,7 @@ RULES = (
     Rule("allow", "org", "/fr/"),
 )
 
-#: adult, gambling and piracy terms: strict ones are unlikely in any other URL
+#: adult, gambling, spam and piracy terms: strict ones are unlikely in any other URL
 TERMS = Vocabulary(
     strict=(
         "porn", "porno", "pornos", "pornhub", "xxx", "hentai", "milf", "milfs", "camgirl", "camgirls", "sexcam", "sexcams",
@@ -70,7 +70,8 @@ TERMS = Vocabulary(
     soft=(
         "adult", "sex", "sexy", "nude", "nudes", "naked", "erotic", "escort", "escorts", "fetish", "webcam", "cams", "dating",
         "hookup", "lingerie", "casino", "poker", "slots", "roulette", "jackpot", "betting", "bet", "bonus", "gambling", "lottery",
-        "viagra", "cialis", "pills", "torrent", "torrents", "crack", "cracked", "serial", "nulled", "leaked", "uncensored",
+        "viagra", "cialis", "pills", "cheap", "free", "win", "winner", "bets", "prize", "spam", "ads", "track", "clickbait",
+        "torrent", "torrents", "crack", "cracked", "serial", "nulled", "leaked", "uncensored",
     ),
 )
 
