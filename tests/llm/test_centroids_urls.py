@@ -127,6 +127,6 @@ def test_urls_against_plain_and_sql(spark):
 def test_own_rules_and_terms(spark):
     df = spark.createDataFrame([(1, "http://b.a.x/y/z"), (2, "http://c.x/y/z"), (3, "http://q/w1/w2"), (4, "http://q/w1")], "page_id bigint, url string")
     rules = (urlfilter.Rule("block", "x", "/y/z"), urlfilter.Rule("allow", "a.x", "/y"))
-    out = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge_urls(df, rules, urlfilter.Vocabulary((), ("w", "w1", "w2"), 2)).collect()}
+    out = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge_urls(df, rules, urlfilter.Vocabulary((), ("ww", "w1", "w2"), 2)).collect()}
     assert out == {1: ("a.x/y", "allow"), 2: ("x/y/z", "block"), 3: (None, "block"), 4: (None, "allow")}
     assert {r["verdict"] for r in urlfilter.judge_urls(df, (), urlfilter.Vocabulary((), ())).collect()} == {"allow"}
