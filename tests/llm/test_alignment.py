@@ -5,6 +5,7 @@ import json
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -80,14 +81,25 @@ def test_empty_table(spark):
 
 
 def test_words_and_links():
-    assert alignment.words_of(" a b") == [" a", " b"]
-    assert alignment.words_of("  a\n b ") == ["  a\n b", " "]
-    assert alignment.words_of(" ") == [" "]
-    assert alignment.Pieces(B).cuts
-    groups = alignment.align([2, 2, 1, 1], [1, 3, 2])
-    assert groups == [(0, 2, 0, 2), (2, 4, 2, 3)]
-    assert alignment.links_of(groups[0], [2, 2, 1, 1], [1, 3, 2]) == [(0, 0), (0, 1), (1, 1)]
-    assert alignment.links_of(groups[1], [2, 2, 1, 1], [1, 3, 2]) == [(2, 2), (3, 2)]
+    assert alignment.words_of("a b") == ["a", "b"]
+    assert alignment.words_of(" a\n b ") == [" a\n b", ""]
+    assert alignment.words_of("") == [""]
+    b = alignment.Pieces(B)
+    assert b.cuts
+
+    class Letters(alignment.Side):
+        def __init__(self, sizes, marks):
+            self.load({i: b"x" * n for i, n in enumerate(sizes)}, marks)
+
+        def encode(self, texts):
+            return [[0] for _ in texts]
+
+    one, two = Letters([1, 2, 3], ",|"), Letters([1, 2, 3], ",;\n")
+    # words of 6 and 2 bytes: A 2+2+1+1 and 2, B 1+3+2 and 1+1
+    groups, links, text, pairs = alignment.align(np.array([1, 1, 0, 0, 1]), np.array([0, 2, 1, 0, 0]), one, two, np.array([6, 8]))
+    assert groups.tolist() == [2, 1] and links.tolist() == [5, 2]
+    assert text == ["1,1|0,2;0,0|1", "1|0,0"]
+    assert [(p >> 32, p & 0xFFFFFFFF) for p in pairs.tolist()] == [(1, 0), (1, 2), (1, 2), (0, 1), (0, 1), (1, 0), (1, 0)]
 
 
 def test_frequent_class_keeps_its_bound(spark):

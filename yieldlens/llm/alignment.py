@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,9 @@ from ..session import table
 from .common import pieces, ragged, written
 
 BLANK = "▁"
+SPACED = re.compile(r"\s ")
 #: bytes of text aligned at a time, bytes of words encoded at a time, words remembered by a task
-PIECE, JOINED, REMEMBERED = 1 << 20, 1 << 11, 100_000
+PIECE, JOINED, REMEMBERED = 1 << 20, 1 << 11, 120_000
 #: the most pairs that every task gets with their counts
 HOT = 1 << 19
 #: pairs counted in a task before they go on to the grouped sum
@@ -65,8 +67,19 @@ def bytes_of_unicode() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
-class ByteLevel:
-    """A: ids and token bytes of a tokenizers file; strings of special tokens are plain text."""
+class Side:
+    """Token bytes, their number, and the id as text before each separator."""
+
+    def load(self, tokens: dict[int, bytes], marks: str) -> None:
+        n = max(tokens) + 1
+        self.bytes = np.array([tokens.get(i, b"") for i in range(n)] + [None], object)[:-1]
+        self.size = np.array([len(t) for t in self.bytes], np.int64)
+        self.shown = np.array([[f"{i}{m}" for i in range(n)] for m in marks], object)
+        self.line = self.encode(["\n"])[0][-1]
+
+
+class ByteLevel(Side):
+    """A: a tokenizers file; strings of special tokens are plain text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -77,158 +90,171 @@ class ByteLevel:
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         byte = bytes_of_unicode()
-        self.bytes = {i: bytes(byte[c] for c in t) for t, i in vocab.items() if all(c in byte for c in t)}
+        self.load({i: bytes(byte[c] for c in t) for t, i in vocab.items() if all(c in byte for c in t)}, ",|")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, as it is."""
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word with its blank."""
+        return self.encode([" " + w for w in words])
+
 
-class Pieces:
-    """B: ids and token bytes of a sentence-piece model; texts come with the blank that it adds itself."""
+class Pieces(Side):
+    """B: a sentence-piece model, which adds the first blank itself."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bytes = {}
-        for i in range(self.model.get_piece_size()):
-            piece = self.model.id_to_piece(i)
-            self.bytes[i] = bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace(BLANK, " ").encode()
-        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size()) if not self.model.is_byte(i)]
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        is_byte = [self.model.is_byte(i) for i in range(len(names))]
         #: whether tokens end before every blank that follows another character, and at line feeds
-        self.cuts = not any(BLANK in n.lstrip(BLANK) or "\n" in n for n in names)
+        self.cuts = not any(BLANK in n.lstrip(BLANK) or "\n" in n for n, b in zip(names, is_byte, strict=True) if not b)
         self.blank = self.model.piece_to_id(BLANK)
+        self.load({i: bytes([int(n[3:5], 16)]) if b else n.replace(BLANK, " ").encode() for i, (n, b) in enumerate(zip(names, is_byte, strict=True))}, ",;\n")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        out = self.model.encode([t[1:] for t in texts], num_threads=1)
-        return [ids if t != " " else [self.blank] for t, ids in zip(texts, out, strict=True)]
+        return self.model.encode(texts, num_threads=1)
+
+    def words(self, words: list[str]) -> list[list[int]]:
+        return [ids if w else [self.blank] for w, ids in zip(words, self.encode(words), strict=True)]
 
 
 def words_of(text: str) -> list[str]:
-    """``text`` (with a blank first) cut before every blank that follows a character other than white space."""
+    """Words of a blank and ``text``, each without its first blank: cut before every blank that follows a
+    character other than white space."""
     parts = text.split(" ")
+    if not text.startswith(" ") and not SPACED.search(text):
+        return parts
     out = []
     whole = True  # whether the last word may end here
-    for part in parts[1:]:
+    for part in parts:
         if whole:
-            out.append(" " + part)
+            out.append(part)
         else:
             out[-1] += " " + part
         whole = part != "" and not part[-1].isspace()
     return out
 
 
-def encode_words(words: list[str], side, newline: int) -> list[list[int]]:
-    """Ids of every word; words without a line feed or white space at their end go many at a time."""
-    out: list[list[int] | None] = [None] * len(words)
-    alone = [k for k, w in enumerate(words) if "\n" in w or w[-1].isspace()]
-    skip = set(alone)
+def encode_words(plain: list[str], alone: list[str], side: Side) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words in turn and their number a word. ``plain`` words (no line feed, no white space
+    at their end) are encoded many at a time, a line each, ``alone`` ones each for itself."""
     groups, held, size = [], [], 0
-    for k, w in enumerate(words):
-        if k in skip:
-            continue
-        held.append(k)
+    for w in plain:
+        held.append(w)
         size += len(w)
         if size >= JOINED:
-            groups.append(held)
+            groups.append("\n ".join(held) + "\n")
             held, size = [], 0
     if held:
-        groups.append(held)
-    for some, ids in zip(groups, side.encode(["\n".join(words[k] for k in g) for g in groups]), strict=True):
-        flat = np.array(ids, np.int64)
-        ends = np.append(np.flatnonzero(flat == newline), len(flat)).tolist()
-        begin = 0
-        for k, end in zip(some, ends, strict=True):
-            out[k] = ids[begin:end]
-            begin = end + 1
-    for k, ids in zip(alone, side.encode([words[k] for k in alone]), strict=True):
-        out[k] = ids
-    return out
+        groups.append("\n ".join(held) + "\n")
+    found = [np.array(ids, np.int64) for ids in side.words(groups)]
+    flat = np.concatenate([np.zeros(0, np.int64), *found])
+    line = flat == side.line
+    n = np.diff(np.flatnonzero(line), prepend=-1) - 1
+    rest = side.words(alone)
+    ids = np.concatenate([flat[~line], *[np.array(x, np.int64) for x in rest]])
+    return ids, np.concatenate([n, [len(x) for x in rest]]).astype(np.int64)
 
 
 # ---------------------------------------------------------------- alignment
 
 
-def align(size_a: list[int], size_b: list[int]) -> list[tuple[int, int, int, int]]:
-    """Groups (first and last+1 token of A, of B) of two lists of token sizes with the same sum."""
-    at_a, at_b, end = {}, {}, 0
-    for k, n in enumerate(size_a):
-        end += n
-        at_a[end] = k + 1
-    end = 0
-    for k, n in enumerate(size_b):
-        end += n
-        at_b[end] = k + 1
-    out, a, b = [], 0, 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        out.append((a, at_a[end], b, at_b[end]))
-        a, b = at_a[end], at_b[end]
-    return out
-
-
-def links_of(group: tuple[int, int, int, int], size_a: list[int], size_b: list[int]) -> list[tuple[int, int]]:
-    """Token pairs of a group whose bytes overlap."""
-    a, last_a, b, last_b = group
-    if last_a - a == 1:
-        return [(a, k) for k in range(b, last_b)]
-    if last_b - b == 1:
-        return [(k, b) for k in range(a, last_a)]
-    out = []
-    end_a, end_b = size_a[a], size_b[b]
-    while True:
-        out.append((a, b))
-        # within a group no two ends meet before its last
-        if end_a < end_b:
-            a += 1
-            end_a += size_a[a]
-        elif end_b < end_a:
-            b += 1
-            end_b += size_b[b]
-        else:
-            return out
-
-
-class Aligner:
-    """Aligned words: ids of both sides, groups as text, links as numbers a * 2**32 + b."""
+class Words:
+    """Aligned words that a task remembers: numbers by word, and for each its tokens (A, B), groups,
+    links, the groups as text, and its links as numbers a * 2**32 + b."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
-        self.line_a = self.a.encode(["\n"])[0][0]
-        self.line_b = self.b.encode([" \n"])[0][-1]
-        self.known: dict[str, tuple | None] = {}
-
-    def words(self, text: str) -> list[str]:
-        return words_of(" " + text) if self.b.cuts else [" " + text]
-
-    def look_up(self, words: list[str]) -> list[tuple | None]:
-        """(n_a, n_b, n_groups, text of the groups, links) of every word; None: its bytes are not given back."""
-        known = self.known
-        new = [w for w in words if w not in known]
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.stats = np.zeros((0, 4), np.int64)
+        self.text: list[str | None] = []
+        self.links = np.zeros(0, np.int64)
+
+    def cut(self, text: str) -> list[str]:
+        return words_of(text) if self.b.cuts else [text]
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of every word; those not seen before are encoded and aligned."""
+        number = self.number
+        new = list(dict.fromkeys(w for w in words if w not in number))
+        if new and len(number) > REMEMBERED:
+            self.clear()
+            number, new = self.number, list(dict.fromkeys(words))
         if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = words
-            for w, a, b in zip(new, encode_words(new, self.a, self.line_a), encode_words(new, self.b, self.line_b), strict=True):
-                known[w] = self.one(w, a, b)
-        return [known[w] for w in words]
-
-    def one(self, word: str, a: list[int], b: list[int]) -> tuple | None:
-        bytes_a, bytes_b = [self.a.bytes[k] for k in a], [self.b.bytes[k] for k in b]
-        data = word.encode()
-        if b"".join(bytes_a) != data or b"".join(bytes_b) != data:
-            return None
-        if len(a) == len(b) == 1:
-            return 1, 1, 1, b"%d|%d" % (a[0], b[0]), (a[0] << 32 | b[0],)
-        size_a, size_b = list(map(len, bytes_a)), list(map(len, bytes_b))
-        groups = align(size_a, size_b)
-        links = tuple(a[i] << 32 | b[j] for g in groups for i, j in links_of(g, size_a, size_b))
-        text = ";".join(f"{','.join(map(str, a[g[0] : g[1]]))}|{','.join(map(str, b[g[2] : g[3]]))}" for g in groups)
-        return len(a), len(b), len(groups), text.encode(), links
+            alone = [w for w in new if not w or "\n" in w or w[-1].isspace()]
+            if alone:
+                skip = set(alone)
+                new = [w for w in new if w not in skip]
+            number.update(zip(new + alone, range(len(number), len(number) + len(new) + len(alone)), strict=True))
+            self._add(new, alone)
+        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+
+    def _add(self, plain: list[str], alone: list[str]) -> None:
+        words = plain + alone
+        data = [b" " + w.encode() for w in words]
+        ids, n = zip(*(encode_words(plain, alone, side) for side in (self.a, self.b)), strict=True)
+        good = self._given_back(data, ids, n)
+        if not good.all():
+            ids = [x[np.repeat(good, k)] for x, k in zip(ids, n, strict=True)]
+            n = [np.where(good, k, 0) for k in n]
+        size = np.where(good, np.array(list(map(len, data)), np.int64), 0)
+        groups, links, text, pairs = align(ids[0], ids[1], self.a, self.b, np.cumsum(size))
+        self.stats = np.concatenate([self.stats, np.stack([n[0], n[1], groups, links], axis=1)])
+        lines = iter(text)
+        self.text += [next(lines) if g else None for g in good.tolist()]
+        self.links = np.concatenate([self.links, pairs])
+
+    def _given_back(self, data: list[bytes], ids, n) -> np.ndarray:
+        """Whether the tokens of both sides are the bytes of each word."""
+        good = np.ones(len(data), bool)
+        whole = b"".join(data)
+        size = np.array(list(map(len, data)), np.int64)
+        for side, x, k in zip((self.a, self.b), ids, n, strict=True):
+            ends = np.concatenate([[0], np.cumsum(side.size[x])])[np.concatenate([[0], np.cumsum(k)])]
+            if (np.diff(ends) == size).all() and b"".join(side.bytes[x].tolist()) == whole:
+                continue
+            parts = np.split(side.bytes[x], np.cumsum(k)[:-1])
+            good &= np.array([b"".join(p.tolist()) == d for p, d in zip(parts, data, strict=True)], bool)
+        return good
+
+
+def align(ids_a: np.ndarray, ids_b: np.ndarray, a: Side, b: Side, word_ends: np.ndarray):
+    """Groups a word, links a word, the groups of each word as text, and all links.
+
+    The words lie one after another; ``word_ends`` are their ends in bytes. Ends shared by both sides,
+    found by dictionary, slice the ids into groups. Within a slice no inner ends meet, so each different
+    end of either side closes one link: the two tokens that hold the byte before it.
+    """
+    ends_a, ends_b = np.cumsum(a.size[ids_a]), np.cumsum(b.size[ids_b])
+    at_a, at_b = (dict(zip(e.tolist(), range(1, len(e) + 1), strict=True)) for e in (ends_a, ends_b))
+    shared = sorted(at_a.keys() & at_b.keys())
+    last_a, last_b = (np.fromiter(map(at.__getitem__, shared), np.int64, len(shared)) for at in (at_a, at_b))
+    shared = np.array(shared, np.int64)
+    every = np.union1d(ends_a, ends_b)
+    links = ids_a[np.searchsorted(ends_a, every)] << 32 | ids_b[np.searchsorted(ends_b, every)]
+    n_groups, n_links = (np.diff(np.searchsorted(x, word_ends, "right"), prepend=0) for x in (shared, every))
+    # text: A's ids of a group, each before "," or a last "|", then B's before ",", ";" or the end of a word
+    mark_a, mark_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+    mark_a[last_a - 1] = 1
+    mark_b[last_b - 1] = 1 + np.isin(shared, word_ends)
+    group_a = np.repeat(np.arange(len(shared)), np.diff(last_a, prepend=0))
+    group_b = np.repeat(np.arange(len(shared)), np.diff(last_b, prepend=0))
+    text = np.empty(len(ids_a) + len(ids_b), object)
+    text[np.arange(len(ids_a)) + np.concatenate([[0], last_b])[group_a]] = a.shown[mark_a, ids_a]
+    text[np.arange(len(ids_b)) + last_a[group_b]] = b.shown[mark_b, ids_b]
+    return n_groups, n_links, "".join(text.tolist()).split("\n")[:-1], links
 
 
 def _align(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(path_a, path_b)
+        known = Words(path_a, path_b)
         pack = zstandard.ZstdCompressor(level=1)
 
         def blob(x, kind):
@@ -236,21 +262,29 @@ def _align(path_a: str, path_b: str):
 
         for batch in pieces(batches, "text", PIECE):
             texts = batch.column("text").to_pylist()
-            number: dict[str, int] = {}
-            docs = [np.array([number.setdefault(w, len(number)) for w in aligner.words(t)] if t else [], np.int64) for t in texts]
-            found = aligner.look_up(list(number))
-            bad = np.array([f is None for f in found], bool)
-            stats = np.array([f[:3] + (len(f[4]),) if f else (0, 0, 0, 0) for f in found], np.int64).reshape(-1, 4)
-            shown = [f[3] if f else b"" for f in found]
-            docs = [d if not bad[d].any() else d[:0] for d in docs]
-            sums = np.array([stats[d].sum(axis=0) for d in docs], np.int64).reshape(-1, 4)
-            digests = [hashlib.sha256(b";".join([shown[k] for k in d.tolist()])).hexdigest() if len(d) else "" for d in docs]
-            links = [x for f in found if f for x in f[4]]
-            columns = [batch.column("doc_id").to_pylist(), *sums.T.tolist(), digests, [len(d) for d in docs]]
+            parts = [known.cut(t) if t else [] for t in texts]
+            every = known.numbers([w for p in parts for w in p])
+            stats, text = known.stats, known.text
+            ends = np.cumsum([len(p) for p in parts])
+            del parts
+            docs = np.split(every, ends[:-1])
+            bad = stats[:, 0] == 0
+            if bad[every].any():
+                docs = [d if not bad[d].any() else d[:0] for d in docs]
+            digests = [hashlib.sha256(";".join([text[k] for k in d.tolist()]).encode()).hexdigest() if len(d) else "" for d in docs]
+            n_words = np.array([len(d) for d in docs], np.int64)
+            every = np.concatenate([np.zeros(0, np.int64), *docs])
+            sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(stats[every], axis=0)])
+            sums = np.diff(sums[np.concatenate([[0], np.cumsum(n_words)])], axis=0)
+            used = np.zeros(len(stats), bool)
+            used[every] = True
+            begin = np.cumsum(stats[:, 3]) - stats[:, 3]
+            links = known.links[ragged(begin[used], stats[used, 3])]
+            columns = [batch.column("doc_id").to_pylist(), *sums.T.tolist(), digests, n_words.tolist()]
             types = [pa.int64()] * 5 + [pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([c], pa.list_(t)) for c, t in zip(columns, types, strict=True)]
-                + [blob(np.concatenate([np.zeros(0, np.int64), *docs]), "<i4"), blob(stats[:, 3], "<i4"), blob(links, "<i8")],
+                + [blob((np.cumsum(used) - 1)[every], "<i4"), blob(stats[used, 3], "<i4"), blob(links, "<i8")],
                 names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_words", "words", "links_per_word", "links"],
             )
 
