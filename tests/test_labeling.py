@@ -1,12 +1,13 @@
 """Rule-cascade labelling on invented reports, checked against a brute-force
 Python evaluation of the same rules (anchor end within N chars of a term start)."""
 
+import random
 import re
 
 import pytest
 
 from yieldlens.functions.text import RULES_A, RULES_B, RULES_C, STANDIN_WIDE, ClassRule, RuleSet
-from yieldlens.operators.labeling import class_distribution, label_text
+from yieldlens.operators.labeling import class_distribution, label_text, label_versions
 
 
 def brute_match(text, rules: RuleSet, body: str) -> bool:
@@ -105,3 +106,22 @@ def test_term_inside_the_next_anchor(spark):
     got = {r.note_id: r.label for r in label_text(df, rules, subtype_out=None).collect()}
     assert got == {i: brute_label(t, rules) for i, t in enumerate(texts)}
     assert set(got.values()) == {"Hit", "None"}
+
+
+def test_random_reports_match_brute_force(spark):
+    """Terms, anchors and fillers in random order with small windows: ends of windows, gaps, terms over gaps."""
+    rng = random.Random(9)
+    rules = [
+        RuleSet("r1", "seen|enda", 7, (ClassRule("One", "abc|cab"), ClassRule("Two", "bb", "(no |ab)?(cd|bb)a"), ClassRule("Three", "a.c|dd")), "None", (("s", "dab"), ("t", "c"))),
+        RuleSet("r2", "seen", 0, (ClassRule("One", "abc"), ClassRule("Two", "b")), "None"),
+        RuleSet("r3", "SEEN|enda", 7, (ClassRule("One", "b[^x]a"), ClassRule("Two", "a+d")), "None"),
+    ]
+    parts = ["seen", "enda", "SeEn", "abc", "cab", "bb", "dd", "a", "b", "c", "d", "no ", "xxxxxx", "x", "\n", "\u0000", "é", "\U0001f600", "İ"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "note_id int, text string")
+    got = label_versions(df, {"l1": (rules[0], "s1"), "l2": (rules[1], None), "l3": (rules[2], None)}).collect()
+    for r in got:
+        t = texts[r.note_id]
+        assert (r.l1, r.l2, r.l3) == tuple(brute_label(t, x) for x in rules), t
+        assert r.s1 == next((n for n, b in rules[0].subtypes if brute_match(t, rules[0], b)), None)
+    assert {r.l1 for r in got} == {"One", "Two", "Three", "None"}

@@ -5,6 +5,7 @@ from .text import (  # noqa: F401
     STANDIN_NARROW,
     STANDIN_REDUCED,
     STANDIN_WIDE,
+    AnchorIndex,
     ClassRule,
     RuleSet,
     label_column,

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,63 +58,115 @@ def ascii_fold(text: Column) -> Column:
     """Fold A–Z to a–z and nothing else: one character for one, so positions and
     lengths are unchanged (unlike a full Unicode ``lower``). The patterns' ``(?i)``
     is ASCII-only, so matching lower-case patterns on the folded text is the same
-    test, run by the regex engine without case folding."""
-    return F.translate(text, _UPPER, _UPPER.lower())
+    test, run by the regex engine without case folding. Texts of one byte a character
+    take the much faster ``lower``, which is the same for them."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
 
 
-def occurs(folded: Column, body: str) -> Column:
-    """Necessary condition for ``body`` to occur anywhere in the folded text. Plain
-    alternatives are byte searches (``instr``), other bodies a regex."""
+def any_of(text: Column, body: str) -> Column:
+    """Whether ``body`` occurs anywhere in the folded text. Plain alternatives are byte
+    searches, other bodies a regex."""
     terms = literal_terms(body)
     if terms is None:
-        return folded.rlike(f"({body.lower()})")
+        return text.rlike(f"({body.lower()})")
+    # a term that holds another one adds nothing
+    terms = [t.lower() for t in dict.fromkeys(terms)]
+    terms = [t for t in terms if not any(o != t and o in t for o in terms)]
     cond = None
     for t in terms:
-        c = F.instr(folded, t.lower()) > 0
+        c = text.contains(t)
         cond = c if cond is None else cond | c
     return cond
 
 
-def rule_matches(folded: Column, rules: RuleSet, body: str) -> Column:
-    """Windowed match on the folded text behind exact prefilters: some anchor and
-    some body term must occur at all before the (costlier) anchored window is
-    tried; ``And`` short-circuits, so most rows never reach the windowed pattern."""
-    anchors = rules.anchors.lower()
-    # (?s:.) is the same "any character" as [\s\S], tested with one predicate. Only the
-    # nearest anchor that ends before a term can decide, so the window of one anchor stops
-    # where the next one ends: every character is then tried after one anchor only.
-    stop = f"(?<!(?:{anchors}))" if literal_terms(anchors) else ""
-    pattern = f"({anchors})(?s:.{stop}){{0,{rules.window}}}({body.lower()})"
-    return occurs(folded, rules.anchors) & occurs(folded, body) & folded.rlike(pattern)
+#: stands between stretches that do not touch in the text; no term holds it
+GAP = "\n\u0000\n"
 
 
-def label_column(text: Column, rules: RuleSet) -> Column:
-    """Ordered CASE cascade of ``rules``. NULL text falls through to the default.
-    ``text`` should be ASCII-folded once (``ascii_fold``) by the caller."""
-    _check(rules)
+class AnchorIndex:
+    """Which part of a folded text the windows of a rule set cover.
+
+    The text is cut once after every end of an anchor. A piece of at most ``window`` + 1
+    characters is covered whole, of a longer one its first ``window`` + 1 characters are the
+    allowed starts. ``inside`` joins the covered pieces, so a term in it starts and ends within
+    them: a match for sure. ``reach`` has further characters after each window, so a term that
+    is not in it is no match for sure. Only where a term is in ``reach`` but not ``inside`` (it
+    crosses the end of a window) the anchored pattern itself decides.
+    """
+
+    def __init__(self, rules: RuleSet, name: str):
+        self.anchors, self.window, self.name = rules.anchors.lower(), rules.window, name
+        self.inside, self.reach = F.col(f"{name}_inside"), F.col(f"{name}_reach")
+
+    def pieces(self, folded: Column) -> Column:
+        """Pieces after each anchor; NULL without one."""
+        pieces = F.split(folded, f"(?<=(?:{self.anchors}))")
+        return F.when(any_of(folded, self.anchors), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))))
+
+    def covered(self, pieces: Column, longest: int) -> Column:
+        def keep(p: Column) -> Column:
+            return F.when(F.length(p) <= longest, p).otherwise(F.concat(F.substring(p, 1, longest), F.lit(GAP)))
+
+        return F.array_join(F.transform(pieces, keep), "")
+
+    def add(self, df: DataFrame, folded: str, longest_term: int) -> DataFrame:
+        """``df`` with the columns ``inside`` and ``reach``."""
+        df = df.withColumn(f"{self.name}_pieces", self.pieces(F.col(folded)))
+        pieces = F.col(f"{self.name}_pieces")
+        cols = {
+            f"{self.name}_inside": self.covered(pieces, self.window + 1),
+            f"{self.name}_reach": self.covered(pieces, self.window + longest_term),
+        }
+        return df.withColumns(cols).drop(f"{self.name}_pieces")
+
+    def matches(self, folded: Column, body: str) -> Column:
+        # the nearest anchor that ends before a term decides, so the window of one anchor stops
+        # where the next one ends: every character is tried after one anchor only
+        stop = f"(?<!(?:{self.anchors}))" if literal_terms(self.anchors) else ""
+        pattern = f"({self.anchors})(?s:.{stop}){{0,{self.window}}}({body.lower()})"
+        if not _stays_in_line(body):
+            return self.inside.isNotNull() & folded.rlike(pattern)
+        return self.inside.isNotNull() & (any_of(self.inside, body) | (any_of(self.reach, body) & folded.rlike(pattern)))
+
+
+def _stays_in_line(body: str) -> bool:
+    """Whether a match of ``body`` is of bounded length and cannot hold a GAP."""
+    return literal_terms(body) is not None or not re.search(r"[*+{]|\[\^|\(\?", body)
+
+
+def longest_match(body: str) -> int:
+    """A bound for the characters of a match: the length of the longest alternative as written."""
+    return max(map(len, literal_terms(body) or [body]))
+
+
+def bodies_of(rules: RuleSet) -> list[str]:
+    return [b for c in rules.classes for b in (c.include, c.exclude) if b] + [b for _, b in rules.subtypes]
+
+
+def label_column(folded: Column, index: AnchorIndex, rules: RuleSet) -> Column:
+    """Ordered CASE cascade of ``rules``. NULL text falls through to the default."""
     expr = None
     for c in rules.classes:
-        cond = rule_matches(text, rules, c.include)
+        cond = index.matches(folded, c.include)
         if c.exclude is not None:
-            cond = cond & ~F.coalesce(rule_matches(text, rules, c.exclude), F.lit(False))
+            cond = cond & ~F.coalesce(index.matches(folded, c.exclude), F.lit(False))
         expr = F.when(cond, F.lit(c.label)) if expr is None else expr.when(cond, F.lit(c.label))
     return expr.otherwise(F.lit(rules.default))
 
 
-def subtype_column(text: Column, rules: RuleSet) -> Column:
-    """Independent first-match subtype cascade on the ASCII-folded text."""
-    _check(rules)
+def subtype_column(folded: Column, index: AnchorIndex, rules: RuleSet) -> Column:
+    """Independent first-match subtype cascade."""
     expr = None
     for name, body in rules.subtypes:
-        cond = rule_matches(text, rules, body)
+        cond = index.matches(folded, body)
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     return expr if expr is not None else F.lit(None).cast("string")
 
 
-def _check(rules: RuleSet) -> None:
+def check_rules(rules: RuleSet) -> None:
     # lower-casing a pattern must not change its meaning (no escapes like \S)
-    bodies = [rules.anchors] + [b for c in rules.classes for b in (c.include, c.exclude) if b] + [b for _, b in rules.subtypes]
-    if any("\\" in b for b in bodies):
+    if any("\\" in b for b in [rules.anchors, *bodies_of(rules)]):
         raise ValueError(f"rule set {rules.name}: escapes are not supported in anchors or terms")
 
 

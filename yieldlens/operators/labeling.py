@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import RuleSet, ascii_fold, label_column, normalize_ws, subtype_column
+from ..functions.text import (
+    AnchorIndex, RuleSet, ascii_fold, bodies_of, check_rules, label_column, longest_match, normalize_ws, subtype_column,
+)
 from .cohort import exam_notes
 
 
@@ -25,19 +29,42 @@ def label_text(
     should not travel through later shuffles. ``subtype_only_for`` gates the
     subtype on one label (the published SQL subtypes every row).
     """
+    return label_versions(df, {out: (rules, subtype_out)}, text_col, normalize_whitespace, subtype_only_for, keep_text)
+
+
+def label_versions(
+    df: DataFrame,
+    versions: Mapping[str, tuple[RuleSet, str | None]],
+    text_col: str = "text",
+    normalize_whitespace: bool = False,
+    subtype_only_for: str | None = None,
+    keep_text: bool = False,
+) -> DataFrame:
+    """Several label columns in one pass: ``versions`` maps each to its rules and the name of its
+    subtype column (or None). The text is folded once, and cut after its anchors once for each
+    pair of anchors and window."""
     text = F.col(text_col)
     if normalize_whitespace:
         text = normalize_ws(text)
-    # fold once per row; every pattern of the cascade reads the folded copy
-    folded = df.withColumn("_folded", ascii_fold(text))
-    f = F.col("_folded")
-    cols = {out: label_column(f, rules)}
-    if subtype_out:
-        st = subtype_column(f, rules)
-        if subtype_only_for is not None:
-            st = F.when(cols[out] == subtype_only_for, st)
-        cols[subtype_out] = st
-    res = folded.withColumns(cols).drop("_folded")
+    res = df.withColumn("_folded", ascii_fold(text))
+    indexes: dict[tuple[str, int], AnchorIndex] = {}
+    for rules, _ in versions.values():
+        check_rules(rules)
+        at = (rules.anchors.lower(), rules.window)
+        if at not in indexes:
+            same = [r for r, _ in versions.values() if (r.anchors.lower(), r.window) == at]
+            indexes[at] = AnchorIndex(rules, f"_a{len(indexes)}")
+            res = indexes[at].add(res, "_folded", max(longest_match(b) for r in same for b in bodies_of(r)))
+    cols = {}
+    for out, (rules, subtype_out) in versions.items():
+        index = indexes[rules.anchors.lower(), rules.window]
+        cols[out] = label_column(F.col("_folded"), index, rules)
+        if subtype_out:
+            st = subtype_column(F.col("_folded"), index, rules)
+            if subtype_only_for is not None:
+                st = F.when(cols[out] == subtype_only_for, st)
+            cols[subtype_out] = st
+    res = res.withColumns(cols).select(*[c for c in df.columns if c not in cols], *cols)
     return res if keep_text else res.drop(text_col)
 
 

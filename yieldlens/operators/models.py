@@ -101,7 +101,9 @@ def _forest(train: DataFrame):
 def _boosting(train: DataFrame):
     # Spark's GBT minimises logistic loss with its own tree learner: results are
     # comparable in kind, not numerically equal to other libraries.
-    return GBTClassifier(featuresCol="features", labelCol="label_d", maxIter=300, maxDepth=4, stepSize=0.05, seed=42)
+    return GBTClassifier(
+        featuresCol="features", labelCol="label_d", maxIter=300, maxDepth=4, stepSize=0.05, seed=42, cacheNodeIds=True, maxMemoryInMB=512,
+    )
 
 
 class RffSvm:
@@ -140,6 +142,8 @@ class RffSvm:
         tm = VectorAssembler(inputCols=["margin"], outputCol="m_vec").transform(margin(tr))
         platt = LogisticRegression(featuresCol="m_vec", labelCol="label_d", regParam=0.0).fit(tm)
 
+        tr.unpersist()
+
         def predict(df: DataFrame) -> DataFrame:
             m = VectorAssembler(inputCols=["margin"], outputCol="m_vec").transform(margin(rff(df)))
             return platt.transform(m).withColumn("p", vector_to_array("probability")[1]).drop("m_vec", "rff", "margin")
@@ -303,16 +307,17 @@ def permutation_importance(
     return with_scalars(out, base).withColumn("importance", F.col("base_auroc") - F.col("permuted_auroc"))
 
 
-def downsample_majority(train: DataFrame, label: str, key: str, seed: int = 11) -> DataFrame:
-    """Balance classes by keeping, in every class, the first n_minority rows in
-    md5(seed ':' key) order (exact per-class quota, deterministic)."""
+def downsample_majority(train: DataFrame, label: str, key: str, seed: int = 11, by: Sequence[str] = ()) -> DataFrame:
+    """Balance classes (inside each ``by`` group) by keeping, in every class, the first n_minority
+    rows in md5(seed ':' key) order (exact per-class quota, deterministic)."""
+    from .metrics import join_groups
     from .ordering import first_n
     from .splits import seeded_hash
 
-    counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    m = counts.agg(F.min("_nc").alias("_quota"))
-    t = with_scalars(train, m).withColumn("_h", seeded_hash(seed, key))  # one-row minimum
-    return first_n(t, [label], [F.col("_h"), F.col(key)], "_quota", out="_r").drop("_h", "_r", "_quota")
+    counts = train.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_nc"))
+    quota = counts.groupBy(*by).agg(F.min("_nc").alias("_quota"))
+    t = join_groups(train, quota, list(by)).withColumn("_h", seeded_hash(seed, key))
+    return first_n(t, [*by, label], [F.col("_h"), F.col(key)], "_quota", out="_r").drop("_h", "_r", "_quota")
 
 
 def calibrate(

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import RULES_A, RULES_B, RULES_C, STANDIN_NARROW, STANDIN_REDUCED, STANDIN_WIDE
-from ..operators.labeling import class_distribution, label_exam_notes, label_text
+from ..operators.labeling import class_distribution, label_exam_notes, label_text, label_versions
+from ..session import cut_lineage
 from ..sources import standins as S
-from .registry import query
+from .registry import q, query
 from .sqltext import sql_label, sql_subtype
 
 EXAMS = ("en", "fr", "de")
+PUBLISHED = {"label_a": (RULES_A, "subtype_a"), "label_b": (RULES_B, None), "label_c": (RULES_C, None)}
 
 _NOTES_SQL = "(SELECT doc_id AS note_id, source AS subject_id, lang AS hadm_id, n_chars AS chart_order, text FROM documents)"
 
@@ -51,9 +53,24 @@ def label_reduced(spark, sf):
 )
 def label_published_rules(spark, sf):
     """The three published rule sets over every report in one pass."""
-    n = label_text(S.notes(spark, sf), RULES_A, out="label_a", subtype_out="subtype_a", keep_text=True)
-    n = label_text(n, RULES_B, out="label_b", subtype_out=None, keep_text=True)
-    return label_text(n, RULES_C, out="label_c", subtype_out=None).select("note_id", "label_a", "subtype_a", "label_b", "label_c")
+    return label_versions(S.notes(spark, sf), PUBLISHED).select("note_id", "label_a", "subtype_a", "label_b", "label_c")
+
+
+def _reports_sql() -> str:
+    text = "text"
+    for word, term in S.REPORT_WORDS:
+        text = f"replace({text}, {q(word)}, {q(term)})"
+    return f"(SELECT doc_id AS note_id, {text} AS text FROM documents)"
+
+
+@query(
+    "label_anchored_reports",
+    f"SELECT note_id, {sql_label('text', RULES_A)} AS label_a, {sql_subtype('text', RULES_A)} AS subtype_a, "
+    f"{sql_label('text', RULES_B)} AS label_b, {sql_label('text', RULES_C)} AS label_c FROM {_reports_sql()}",
+)
+def label_anchored_reports(spark, sf):
+    """The three published rule sets over reports that hold their anchors and terms."""
+    return label_versions(S.reports(spark, sf), PUBLISHED).select("note_id", "label_a", "subtype_a", "label_b", "label_c")
 
 
 _DIST_SQL = f"""
@@ -102,9 +119,10 @@ def label_version_disagreement(spark, sf):
     from ..operators.audit import version_drift
 
     key = ["note_id", "subject_id", "hadm_id", "chart_order"]
-    a = label_text(S.notes(spark, sf), STANDIN_WIDE, out="label_a", subtype_out=None)
-    b = label_text(S.notes(spark, sf), STANDIN_NARROW, out="label_b", subtype_out=None)
-    return version_drift(a, b, key, "label_a", "label_b")
+    # both versions from one pass over the texts; the tables that are joined are narrow
+    both = label_versions(S.notes(spark, sf), {"label_a": (STANDIN_WIDE, None), "label_b": (STANDIN_NARROW, None)})
+    both = cut_lineage(both.select(*key, "label_a", "label_b"))
+    return version_drift(both, both, key, "label_a", "label_b")
 
 
 @query(

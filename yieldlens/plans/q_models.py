@@ -1,37 +1,53 @@
-"""Model queries (Spark ML): out-of-fold predictions of the five classifiers,
-exact k-NN, permutation importance, recalibration, feature-set ablation,
-cohort-sensitivity rerun and within-unit increment. Rows-only checks except k-NN."""
+"""Model queries: out-of-fold predictions of the five classifiers, the results table and seed
+robustness, feature-set comparison, cohort sensitivity, within-unit increment, refits without a
+unit, attribution and recalibration. All cells of a protocol share their preparation and, but for
+boosting and k-NN, their fit (``operators.cells``, ``operators.forest``)."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import casemix as CM
+from ..operators import cells as CE
 from ..operators import cohort as C
+from ..operators import forest as FO
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import splits as SP
-from ..sources import standins as S
 from ..session import cut_lineage
-from .q_metrics import rnd
-from pyspark.ml.functions import vector_to_array
-
-from .q_model_frame import _FRAME_SQL, _SPLIT_SQL, FEATURES, K, REPS, SEED, frame
+from ..sources import standins as S
+from .q_cohort import _ORDERS_SQL
+from .q_metrics import D, rnd
+from .q_model_frame import _FRAME_SQL, _SPLIT_SQL, FEATURES, K, REPS, SEED, _folds_sql, frame
 from .registry import query
 
 SPEC = ML.FrameSpec(
     key="order_id", label="y", group="subject_id", numeric=[*FEATURES, "hour"], categorical=["unit"], missing_flags=FEATURES
 )
+NUMERIC = [*FEATURES, "hour", "is_repeat"]
+
+
+def _set(numeric=(), categorical=()) -> CE.FeatureSet:
+    return CE.FeatureSet(tuple(numeric), tuple(categorical), tuple(c for c in numeric if c in FEATURES))
+
+
+MAIN = _set(SPEC.numeric, SPEC.categorical)
 SETS = {
-    "A_unit_only": ([], ["unit"]),
-    "B_context": (["hour", "is_repeat"], ["unit"]),
-    "C_clinical": ([*FEATURES], []),
-    "D_clinical_context": ([*FEATURES, "hour", "is_repeat"], ["unit"]),
+    "A_unit_only": _set((), ["unit"]),
+    "B_context": _set(["hour", "is_repeat"], ["unit"]),
+    "C_clinical": _set(FEATURES),
+    "D_clinical_context": _set(NUMERIC, ["unit"]),
 }
+#: the stand-in for the predictors known from the literature
+LITERATURE = _set(["view_max", "click_max", "hour"])
 #: the reference's models and repeats of the feature-set comparison
 COMPARATORS = ["logistic", "forest"]
-#: the reference's model and repeats of the scores inside units
-WITHIN_MODEL, WITHIN_REPS = "forest", 5
+#: the reference's model, repeats and least rows of the scores inside units
+WITHIN_MODEL, WITHIN_REPS, WITHIN_ROWS = "forest", 5, 40
+#: seeded 80/20 splits of the robustness check
+SPLIT_SEEDS = 25
 
 
 def _frame(spark, sf):
@@ -41,16 +57,53 @@ def _frame(spark, sf):
     return cut_lineage(f.join(o, "order_id"))
 
 
+class Protocol:
+    """The cells of one table and its folds; their two preparations are made when first asked for."""
+
+    def __init__(self, f: DataFrame, folds: DataFrame, group: str = SPEC.group, test_folds=None):
+        self.f, self.folds, self.group, self.test_folds = f, cut_lineage(folds), group, test_folds
+        self._cells = self._binned = None
+
+    @property
+    def cells(self) -> CE.Cells:
+        if self._cells is None:
+            assigned = SP.assign_folds(self.f, self.folds, self.group)
+            self._cells = CE.prepare_cells(assigned, "order_id", "y", NUMERIC, ["unit"], FEATURES, keep=["unit"], test_folds=self.test_folds)
+        return self._cells
+
+    @property
+    def binned(self) -> FO.BinnedRows:
+        if self._binned is None:
+            self._binned = FO.bin_rows(self.f, self.folds, self.group, "order_id", "y", NUMERIC, ["unit"], FEATURES, keep=["unit"], test_folds=self.test_folds)
+        return self._binned
+
+    def scores(self, model: str, fs: CE.FeatureSet) -> DataFrame:
+        """(rep, fold, order_id, unit, y, p, class): every row once by each cell that held it out."""
+        if model == "forest":
+            out = FO.CellForests(self.binned, fs).predict()
+        elif model == "logistic":
+            out = CE.BlockLogistic(self.cells, fs).predict(self.cells.test())
+        elif model == "rff_svm":
+            out = CE.BlockSvm(self.cells, fs).predict(self.cells.test())
+        else:
+            out = CE.fit_each(self.cells, fs, lambda train: ML.MODELS[model](SPEC).fit(train))
+        if "class" not in out.columns:
+            out = out.withColumn("class", (F.col("p") >= 0.5).cast("int"))
+        return cut_lineage(out.select("rep", "fold", "order_id", "unit", F.col("label_d").cast("int").alias("y"), "p", "class"))
+
+
+def _kfold(f: DataFrame, reps: int) -> Protocol:
+    return Protocol(f, SP.grouped_kfold(f, SPEC.group, SPEC.label, K, reps))
+
+
 def _oof(spark, sf, model: str):
     """One repeat, as the reference's out-of-fold scores have."""
-    f = _frame(spark, sf)
-    folds = SP.grouped_kfold(f, SPEC.group, SPEC.label, K, 1)
-    return ML.oof_predictions(f, SPEC, model, folds, extra=["unit"])
+    return _kfold(_frame(spark, sf), 1).scores(model, MAIN)
 
 
 def _oof_query(model: str, doc: str):
     def fn(spark, sf):
-        return rnd(_oof(spark, sf, model).drop("unit"), 6)
+        return rnd(_oof(spark, sf, model).drop("unit", "class"), 6)
 
     fn.__doc__ = doc
     return fn
@@ -65,6 +118,49 @@ for _name, _model, _doc in [
 ]:
     query(_name)(_oof_query(_model, _doc))
 
+_COVER_SQL = f"""SELECT f.rep, f.fold, o.unit, count(*) AS n_scores, count(DISTINCT o.order_id) AS n_orders, CAST(sum(o.y) AS BIGINT) AS n_pos,
+  0 AS n_outside FROM {_ORDERS_SQL} o JOIN {_folds_sql(_ORDERS_SQL, "subject_id", REPS)} f USING (subject_id) GROUP BY f.rep, f.fold, o.unit"""
+
+
+def _cover(spark, sf, model: str):
+    scored = _kfold(_frame(spark, sf), REPS).scores(model, SETS["D_clinical_context"])
+    outside = F.count_if(F.col("p").isNull() | F.isnan("p") | (F.col("p") < 0) | (F.col("p") > 1))
+    return scored.groupBy("rep", "fold", "unit").agg(
+        F.count("*").alias("n_scores"), F.countDistinct("order_id").alias("n_orders"), F.sum("y").alias("n_pos"), outside.cast("int").alias("n_outside")
+    )
+
+
+@query("logistic_cover", _COVER_SQL)
+def logistic_cover(spark, sf):
+    """Cover of the 20 × 5 logistic cells: each order scored once a repeat, by the fold that held it
+    out, with a probability."""
+    return _cover(spark, sf, "logistic")
+
+
+@query("forest_cover", _COVER_SQL)
+def forest_cover(spark, sf):
+    """Cover of the 20 × 5 forest cells."""
+    return _cover(spark, sf, "forest")
+
+
+_GRADIENT_SQL = f"""WITH f AS {_FRAME_SQL}, folds AS {_folds_sql(_ORDERS_SQL, "subject_id", REPS)},
+    u AS (SELECT row_number() OVER (ORDER BY unit) - 1 AS i FROM (SELECT DISTINCT unit FROM f WHERE unit IS NOT NULL)),
+    names AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS feature" for c in [*NUMERIC, *[f"{c}_missing" for c in FEATURES], "(intercept)"]) + f"""
+      UNION ALL SELECT 'unit_' || i FROM u)
+    SELECT c.rep, c.fold, n.feature, 0.0::DOUBLE AS gradient FROM (SELECT DISTINCT rep, fold FROM folds) c, names n"""
+
+
+@query("logistic_gradients", _GRADIENT_SQL)
+def logistic_gradients(spark, sf):
+    """Gradient of every cell's own penalised objective at the coefficients of the joint fit, per
+    training row and to two decimals: zero, as each cell's fit is its own minimum."""
+    cells = _kfold(_frame(spark, sf), REPS).cells
+    at = spark.createDataFrame(cells.cells, "cell int, rep int, fold int")  # a row a cell
+    size = cells.train().groupBy("cell").agg(F.count("*").alias("n"))
+    g = CE.BlockLogistic(cells, SETS["D_clinical_context"]).gradients().join(F.broadcast(at), "cell").join(F.broadcast(size), "cell")
+    # + 0.0 turns a negative zero
+    return g.select("rep", "fold", "feature", (F.round(F.col("gradient") / F.sqrt("n"), 2) + F.lit(0.0)).alias("gradient"))
+
 
 @query(
     "knn_score",
@@ -103,78 +199,182 @@ def permutation_importance(spark, sf):
 def calibrated_scores(spark, sf):
     """Platt and isotonic recalibration of the out-of-fold logistic scores, each fold
     mapped by calibrators fitted on the other folds."""
-    oof = _oof(spark, sf, "logistic").drop("unit")
+    oof = _oof(spark, sf, "logistic").drop("unit", "class")
     platt = ML.calibrate(oof, "y", "p", "platt").select("order_id", F.col("p_cal").alias("p_platt"))
     iso = ML.calibrate(oof, "y", "p", "isotonic").select("order_id", F.col("p_cal").alias("p_isotonic"))
     return rnd(oof.join(platt, "order_id").join(iso, "order_id"), 6)
 
 
-def _ablation(spark, sf, where=None):
-    f = _frame(spark, sf)
-    f = f if where is None else f.where(where)
-    folds = cut_lineage(SP.grouped_kfold(f, SPEC.group, SPEC.label, K, REPS))
-    parts = []
-    for name, (num, cat) in SETS.items():
-        spec = ML.FrameSpec("order_id", "y", "subject_id", num, cat, [c for c in num if c in FEATURES])
-        for model in COMPARATORS:
-            oof = cut_lineage(ML.oof_predictions(f, spec, model, folds))
-            m = M.ranking_metrics(oof, "y", "p", ["rep", "fold"])
-            parts.append(cut_lineage(m.withColumns({"feature_set": F.lit(name), "model": F.lit(model)})))
-    allm = parts[0]
-    for p in parts[1:]:
-        allm = allm.unionByName(p)
-    by = ["feature_set", "model"]
-    au = M.mean_ci(allm, "auroc", by).select(
-        *by, F.col("mean").alias("auroc_mean"), F.col("lo").alias("auroc_lo"), F.col("hi").alias("auroc_hi")
-    )
-    ap = M.mean_ci(allm, "average_precision", by).select(
-        *by, F.col("mean").alias("auprc_mean"), F.col("lo").alias("auprc_lo"), F.col("hi").alias("auprc_hi")
-    )
-    return rnd(au.join(ap, by), 6)
+def _ranked(parts: dict[tuple, DataFrame], names: list[str]) -> DataFrame:
+    """AUROC and average precision of every (rep, fold) of several score tables, one curve job."""
+    tables = [df.withColumns({n: F.lit(v) for n, v in zip(names, key, strict=True)}) for key, df in parts.items()]
+    both = tables[0]
+    for t in tables[1:]:
+        both = both.unionByName(t)
+    return cut_lineage(M.ranking_metrics(both, "y", "p", [*names, "rep", "fold"]))
+
+
+def _mean_ranges(per: DataFrame, metrics: dict[str, str], by: list[str]) -> DataFrame:
+    """Mean and 2.5 / 97.5 percentiles of each metric over the cells."""
+    out = None
+    for col, name in metrics.items():
+        m = M.mean_ci(per, col, by).select(*by, F.col("mean").alias(f"{name}_mean"), F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"))
+        out = m if out is None else out.join(m, by)
+    return out
+
+
+def _compare(f: DataFrame, sets: dict[str, CE.FeatureSet], models=COMPARATORS) -> DataFrame:
+    p = _kfold(f, REPS)
+    scores = {(name, model): p.scores(model, fs) for name, fs in sets.items() for model in models}
+    per = _ranked(scores, ["feature_set", "model"])
+    return rnd(_mean_ranges(per, {"auroc": "auroc", "average_precision": "auprc"}, ["feature_set", "model"]), 6)
 
 
 @query("ablation_summary")
 def ablation_summary(spark, sf):
     """Feature-set comparison (unit only / context / clinical / both) under the
     grouped CV protocol (20 × 5), logistic model and forest: AUROC and AUPRC mean and range."""
-    return _ablation(spark, sf)
+    return _compare(_frame(spark, sf), SETS)
 
 
 @query("cohort_sensitivity")
 def cohort_sensitivity(spark, sf):
     """The feature-set comparison rerun without the listed units."""
-    return _ablation(spark, sf, ~F.col("unit").isin("unit0", "unit1", "unit2"))
+    return _compare(_frame(spark, sf).where(~F.col("unit").isin("unit0", "unit1", "unit2")), SETS)
+
+
+@query("literature_vs_full")
+def literature_vs_full(spark, sf):
+    """Literature predictors alone against the full set, 20 × 5."""
+    return _compare(_frame(spark, sf), {"literature": LITERATURE, "full": SETS["D_clinical_context"]})
 
 
 @query("within_unit_increment")
 def within_unit_increment(spark, sf):
     """Within-unit AUROC of the clinical model minus the context-only model, for
     units with enough rows (pooled predictions of the forest, 5 repeats, scored inside each unit)."""
-    f = _frame(spark, sf)
-    folds = cut_lineage(SP.grouped_kfold(f, SPEC.group, SPEC.label, K, WITHIN_REPS))
+    p = _kfold(_frame(spark, sf), WITHIN_REPS)
     res = {}
     for name in ("B_context", "C_clinical"):
-        num, cat = SETS[name]
-        spec = ML.FrameSpec("order_id", "y", "subject_id", num, cat, [c for c in num if c in FEATURES])
-        oof = cut_lineage(ML.oof_predictions(f, spec, WITHIN_MODEL, folds, extra=["unit"]))
-        res[name] = CM.within_stratum(oof, "unit", "y", "p", "rep", 40).select(
-            "unit", F.col("auroc_mean").alias(f"auroc_{name}")
+        oof = p.scores(WITHIN_MODEL, SETS[name])
+        res[name] = CM.within_stratum(oof, "unit", "y", "p", "rep", WITHIN_ROWS).select(
+            "unit", "n_rows", F.col("auroc_mean").alias(f"auroc_{name}")
         )
-    j = res["C_clinical"].join(res["B_context"], "unit")
+    j = res["C_clinical"].join(res["B_context"].drop("n_rows"), "unit")
     return rnd(j.withColumn("increment", F.col("auroc_C_clinical") - F.col("auroc_B_context")), 6)
 
 
+#: models of the results table; boosting is left to gbt_oof (README)
+TABLE_MODELS = ["logistic", "forest", "rff_svm", "knn"]
+
+
+def _all_metrics(scores: dict[str, DataFrame]) -> DataFrame:
+    """model, rep, fold, auroc, average_precision, accuracy (of the model's own class), brier."""
+    both = None
+    for name, df in scores.items():
+        t = df.withColumn("model", F.lit(name))
+        both = t if both is None else both.unionByName(t)
+    by = ["model", "rep", "fold"]
+    ranked = M.ranking_metrics(both, "y", "p", by).select(*by, "auroc", "average_precision")
+    plain = both.groupBy(*by).agg(
+        F.avg((F.col("class") == F.col("y")).cast("double")).alias("accuracy"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier")
+    )
+    return cut_lineage(ranked.join(plain, by))
+
+
+METRICS = {"auroc": "auroc", "average_precision": "auprc", "accuracy": "accuracy", "brier": "brier"}
+
+
+@query("model_results")
+def model_results(spark, sf):
+    """Results table: models × AUROC, AUPRC, accuracy at the model's own cut and Brier score, mean
+    and 95 % range over 20 × 5 grouped cells."""
+    p = _kfold(_frame(spark, sf), REPS)
+    return rnd(_mean_ranges(_all_metrics({m: p.scores(m, MAIN) for m in TABLE_MODELS}), METRICS, ["model"]), 6)
+
+
+@query("model_seed_robustness")
+def model_seed_robustness(spark, sf):
+    """25 seeded patient-grouped 80/20 splits, each refitted: AUROC mean, population deviation, least
+    and greatest, and AUPRC mean per model."""
+    f = _frame(spark, sf)
+    folds = None
+    for seed in range(SPLIT_SEEDS):
+        one = SP.group_split(f, SPEC.group, 0.2, seed).select(F.lit(seed).alias("rep"), SPEC.group, F.col("is_test").alias("fold"))
+        folds = one if folds is None else folds.unionByName(one)
+    p = Protocol(f, folds, test_folds=[1])
+    per = _all_metrics({m: p.scores(m, MAIN) for m in TABLE_MODELS})
+    return rnd(per.groupBy("model").agg(
+        F.count("auroc").alias("n_splits"), F.avg("auroc").alias("auroc_mean"), F.stddev_pop("auroc").alias("auroc_std"),
+        F.min("auroc").alias("auroc_min"), F.max("auroc").alias("auroc_max"), F.avg("average_precision").alias("auprc_mean"),
+    ), 6)
+
+
+@query("leave_one_unit_out_refit")
+def leave_one_unit_out_refit(spark, sf):
+    """Each eligible unit scored by a forest and a logistic model fitted on all other units:
+    n, positive rate, AUROC and AUPRC per held-out unit."""
+    f = _frame(spark, sf).where(F.col("unit").isNotNull())
+    place = cut_lineage(CE.level_index(f, "unit"))
+    folds = place.select(F.lit(0).alias("rep"), "unit", F.col("unit_ix").alias("fold"))
+    gate = SP.stratum_gate(f, "unit", "y", 40).where("eligible = 1").join(place, "unit")
+    held = [r["unit_ix"] for r in gate.select("unit_ix").collect()]  # units
+    p = Protocol(f, folds, "unit", test_folds=held)
+    out = None
+    for model in COMPARATORS:
+        m = CM.holdout_metrics(p.scores(model, SETS["C_clinical"]), "unit", "y", "p", 40).withColumn("model", F.lit(model))
+        out = m if out is None else out.unionByName(m)
+    return rnd(out, 6)
+
+
+@query("flag_chain")
+def flag_chain(spark, sf):
+    """The flag on real out-of-fold scores of the forest: operating point at 95 % sensitivity, and net
+    benefit of the model and of scanning all at the published thresholds, as (step, x, name, value)."""
+    oof = _oof(spark, sf, "forest")
+    point = M.operating_point(oof, "y", "p", 0.95)
+    fields = [c for c in point.columns if c != "threshold"]
+    rows = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in fields])
+    a = point.select(F.lit("operating_point").alias("step"), F.col("threshold").cast("double").alias("x"), F.explode(rows).alias("r"))
+    nb = M.net_benefit(oof, "y", "p", [0.05, 0.1, 0.15, 0.2, 0.3])
+    grid = [c for c in nb.columns if c.startswith("pt") or c == "threshold"][0]
+    values = [c for c in nb.columns if c != grid]
+    rows = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in values])
+    b = nb.select(F.lit("net_benefit").alias("step"), F.col(grid).cast("double").alias("x"), F.explode(rows).alias("r"))
+    return rnd(a.unionByName(b).select("step", "x", "r.name", "r.value"), 6)
+
+
+@query("tree_attribution")
+def tree_attribution(spark, sf):
+    """Path contributions of the out-of-fold forest: per feature the mean and mean absolute
+    contribution over all orders, its share of the Gini decrease, and the largest gap between base
+    plus contributions and the score (zero)."""
+    p = _kfold(_frame(spark, sf), 1)
+    forest = FO.CellForests(p.binned, MAIN)
+    names = F.array(*[F.lit(n) for n in forest.names])
+    rows = cut_lineage(forest.contributions())
+    gap = rows.agg(F.max(F.abs(F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x) - F.col("p"))).alias("gap"))
+    long = rows.select(F.explode(F.arrays_zip(names.alias("feature"), F.col("contributions").alias("c"))).alias("z")).select("z.feature", "z.c")
+    mean = long.groupBy("feature").agg(F.avg("c").alias("mean_contribution"), F.avg(F.abs("c")).alias("mean_absolute"))
+    share = spark.createDataFrame(forest.importances(), "cell int, feature string, share double")  # a row a cell and feature
+    share = share.groupBy("feature").agg(F.avg("share").alias("importance"))
+    return rnd(ML.with_scalars(mean.join(share, "feature"), gap), 6)
+
+
 @query("resampling_compare")
 def resampling_compare(spark, sf):
     """Class imbalance handled by balanced weights vs by down-sampling the majority
     class in each training fold (logistic model): fold AUROC / AUPRC means."""
-    f = _frame(spark, sf)
-    folds = SP.grouped_kfold(f, SPEC.group, SPEC.label, K, 1)
-    parts = []
-    for name, tt in [("weights", None), ("downsample", lambda t: ML.downsample_majority(t, "y", "order_id"))]:
-        oof = ML.oof_predictions(f, SPEC, "logistic", folds, train_transform=tt)
-        parts.append(M.ranking_metrics(oof, "y", "p", ["rep", "fold"]).withColumn("variant", F.lit(name)))
-    m = parts[0].unionByName(parts[1])
+    p = _kfold(_frame(spark, sf), 1)
+    cells = p.cells
+    parts = {}
+    for name in ("weights", "downsample"):
+        if name == "downsample":
+            train = ML.downsample_majority(cells.train().where("label_d IS NOT NULL"), "label_d", "order_id", by=["cell"])
+            cells = CE.Cells(cut_lineage(train.withColumn("weight", F.lit(1.0)).unionByName(cells.test())), cells.cells, cells.levels, cells.key, cells.keep)
+        model = CE.BlockLogistic(cells, MAIN)
+        parts[(name,)] = model.predict(cells.test()).withColumn("y", F.col("label_d").cast("int"))
+    m = _ranked(parts, ["variant"])
     return rnd(m.groupBy("variant").agg(F.avg("auroc").alias("auroc_mean"), F.avg("average_precision").alias("auprc_mean")), 6)
 
 

@@ -96,3 +96,25 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     return e.select(F.col("vec_id").alias("key"), "embedding", (F.col("label") < 3).cast("int").alias("y"))
+
+
+#: invented words of ``documents`` and what stands for them in ``reports`` (our own choice), in order
+REPORT_WORDS = (
+    ("released", "FINDINGS"),
+    (" that ", " IMPRESSION: "),
+    (" there ", " no acute hemorrhage "),
+    (" then ", " hematoma "),
+    (" have ", " Infarct "),
+    (" with ", " status post "),
+    (" this ", " unremarkable "),
+    (" from ", " edema "),
+    ("tion ", " mass effect "),
+)
+
+
+def reports(spark: SparkSession, sf: str) -> DataFrame:
+    """``notes`` whose text holds the published anchors and terms in place of common words."""
+    text = F.col("text")
+    for word, term in REPORT_WORDS:
+        text = F.replace(text, F.lit(word), F.lit(term))
+    return notes(spark, sf).withColumn("text", text)

@@ -20,7 +20,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import RuleSet, ascii_fold, label_column
+from ..functions.text import RuleSet
+from ..operators.labeling import label_text
 from ..session import ensure_checkpoint_dir
 
 
@@ -148,4 +149,4 @@ def dedupe_label_stream(reports: DataFrame, key: str, text: str, rules: RuleSet,
     """Arrival-time watermark, drop copies of a key within it, then label."""
     r = reports.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", lateness)
     d = r.dropDuplicatesWithinWatermark([key])
-    return d.select(key, label_column(ascii_fold(F.col(text)), rules).alias("label"))
+    return label_text(d.select(key, text), rules, text, subtype_out=None)
