@@ -116,27 +116,28 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def connected_components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """(node, comp) for every node of ``edges`` (a, b long): comp is the smallest node of its component.
 
     Alternating large-star / small-star rounds; every round is written to the shared
     folder, so nothing is collected and a lost executor costs one round. Hot nodes meet
-    in joins and partial aggregates only. Stops when a round changes nothing.
+    in joins and partial aggregates only. Stops when a round changes nothing; no edges
+    take no round.
     """
+
+    def state(e: DataFrame):
+        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
     e = written(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), tag)
-    before = None
-    for _ in range(max_rounds):
+    before, now = None, state(e)
+    while now[0] and now != before:
         both = e.unionByName(e.selectExpr("v AS u", "u AS v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
-        large = both.where("v > u").join(low, "u").selectExpr("v AS u", "m AS v").where("u <> v").distinct()
+        # equal rows are left in: the next aggregate and the last distinct take them
+        large = both.where("v > u").join(low, "u").selectExpr("v AS u", "m AS v").where("u <> v")
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low2, "u")
         small = joined.selectExpr("v AS u", "m AS v").unionByName(low2.selectExpr("u", "m AS v")).where("u <> v").distinct()
         e = written(small, tag)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
+        before, now = now, state(e)
     return e.selectExpr("u AS node", "v AS comp").unionByName(e.selectExpr("v AS node", "v AS comp").distinct())

@@ -211,6 +211,23 @@ def _confirm_groups(num: int, words: int):
     return run
 
 
+def merged_components(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (node, comp) after ``links`` (a, b) join some of them: only the components that a
+    new link touches are contracted, each as one node."""
+
+    def of(end: str) -> DataFrame:
+        return comps.withColumnsRenamed({"node": end, "comp": f"comp_{end}"})
+
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = ends.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).distinct()
+    over = connected_components(between, "cc-more")
+    over = written(over.select(F.col("node").alias("comp"), F.col("comp").alias("joined")), "minhash-joined")
+    moved = comps.join(over, "comp", "left").select("node", F.coalesce("joined", "comp").alias("comp"))
+    # a node without a component so far is its own
+    single = over.join(comps.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("joined").alias("comp"))
+    return written(moved.unionByName(single), "minhash-comps")
+
+
 def minhash_components(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -277,7 +294,7 @@ def minhash_components(docs: DataFrame, percent: int = 85, words: int = 5) -> Da
     both = nodes.select("gid", "node", "text", none.alias("a"), none.alias("b")).unionByName(lists)
     both = both.repartition(parts, "gid").sortWithinPartitions("gid")
     more = written(both.mapInArrow(_confirm_groups(percent, words), "a bigint, b bigint").distinct(), "minhash-links")
-    comps = written(connected_components(links.unionByName(more)), "minhash-comps")
+    comps = merged_components(comps, more)
 
     # smallest doc_id of each component, then back to the rows
     member = classes.select("node", "set_hash", "low_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
