@@ -74,13 +74,18 @@ def test_links_lost_by_stars_are_found(spark, monkeypatch):
     assert got == {i: min(g) for g in groups.values() for i in g}
 
 
-def test_two_stage_order():
+def test_two_stage_order(monkeypatch):
     rng = np.random.default_rng(0)
     for n in (1, 2, 3, 17, 200):
         for letters in (1, 2, 5):
             buf = rng.integers(97, 97 + letters, n).astype(np.uint8)
             text = buf.tobytes()
-            assert suffixdedup.two_stage_order(buf, np.arange(n), n + 1).tolist() == sorted(range(n), key=lambda i: text[i:])
+            want = sorted(range(n), key=lambda i: text[i:])
+            assert suffixdedup.two_stage_order(buf, np.arange(n), n + 1).tolist() == want
+            for at_once in (1, 2, 7):  # few at a time: runs of equal bytes are refined
+                monkeypatch.setattr(suffixdedup, "SORTED_AT_ONCE", at_once)
+                assert suffixdedup.sort_suffixes(buf, np.arange(n), n + 1).tolist() == want
+            monkeypatch.undo()
 
 
 @pytest.mark.parametrize("group_bytes", [8 << 20, 300])  # in one sort a key, and salted

@@ -33,8 +33,10 @@ from ..session import table
 from .common import SpanHasher, offsets, pieces, ragged, raw, written
 
 GRAM = 128
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 MAX_RUN = 4096
+#: suffixes whose bytes are compared as strings at a time, and windows sent on at a time
+SORTED_AT_ONCE, SENT_AT_ONCE = 1 << 15, 1 << 15
 
 
 # ---------------------------------------------------------------- suffix sorting
@@ -53,8 +55,7 @@ def two_stage_order(buf: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarr
     is_wanted = np.zeros(len(buf) + 1, bool)
     is_wanted[wanted] = True
     small = wanted[is_small[wanted]]
-    text = buf.tobytes()
-    small = np.array(sorted(small.tolist(), key=lambda i: text[i : i + depth]), np.int64)
+    small = sort_suffixes(buf, small, depth)
     cuts = np.searchsorted(buf[small], np.arange(257))
     pending: list[list[np.ndarray]] = [[] for _ in range(256)]
     order = []
@@ -91,6 +92,44 @@ def two_stage_order(buf: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarr
     return np.concatenate(order) if order else np.zeros(0, np.int64)
 
 
+def sort_suffixes(buf: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Positions ``at`` (ascending) in the order of their suffixes' first ``depth`` bytes.
+
+    Sorted by eight bytes as a number; then runs of equal numbers are put together up to
+    SORTED_AT_ONCE and sorted as strings, and a longer run goes on to its next eight bytes. So
+    the strings held at a time are bounded, whatever the suffixes share.
+    """
+    text = buf.tobytes()
+    padded = text + bytes(8)
+    words = np.ndarray((len(text) + 1,), ">u8", padded, 0, (1,))
+    out = []
+    # later positions first: of suffixes equal up to the end of the buffer, the shorter is smaller
+    todo = [(at[::-1], 0)]
+    while todo:
+        some, off = todo.pop()
+        if len(some) <= SORTED_AT_ONCE or off >= depth:
+            if off < depth:
+                some = np.array(sorted(some.tolist(), key=lambda i: text[i + off : i + depth]), np.int64)
+            out.append(some)
+            continue
+        word = words[np.minimum(some + off, len(text))].astype(np.uint64)
+        by = np.argsort(word, kind="stable")
+        some, word = some[by], word[by]
+        begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        stop = np.append(begin[1:], len(some))
+        parts, a = [], 0
+        for b, z in zip(begin.tolist(), stop.tolist(), strict=True):
+            if z - b > SORTED_AT_ONCE:
+                parts += [(some[a:b], off), (some[b:z], off + 8)]
+                a = z
+            elif z - a > SORTED_AT_ONCE:
+                parts.append((some[a:b], off))
+                a = b
+        parts.append((some[a:], off))
+        todo += [p for p in reversed(parts) if len(p[0])]
+    return np.concatenate(out) if out else at
+
+
 def smaller(buf: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than its successor (the last is not)."""
     n = len(buf)
@@ -247,38 +286,37 @@ def _sort_groups(length: int):
     """Regions sorted by (part, key) -> region digest with the runs of repeated starts, and, for
     salted keys, the digests of windows. One sort takes many small groups together."""
 
-    def flush(rows: list, out: list) -> None:
+    def batch(digest, at, size, window, known) -> pa.RecordBatch:
+        kinds = [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((digest, at, size, window, known), kinds, strict=True)], names=["digest", "at", "len", "window", "known"])
+
+    def flush(rows: list) -> Iterator[pa.RecordBatch]:
         flags, heads = repeats([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], length)
+        runs = [(r[0], *_flag_runs(f)) for r, f in zip(rows, flags, strict=True)]
+        runs = [(d, a, z) for d, a, z in runs if len(a)]
+        none = [None] * len(runs)
+        yield batch([d for d, _, _ in runs], [a for _, a, _ in runs], [z - a for _, a, z in runs], none, none)
         for (digest, text, _n, _copies, salted), flag, head in zip(rows, flags, heads, strict=True):
-            a, b = _flag_runs(flag)
-            if len(a):
-                out.append((digest, a.tolist(), (b - a).tolist(), None, None))
-            if salted:  # first of each distinct window of this part, repeated here or not
-                for p in np.flatnonzero(head | ~flag).tolist():
-                    out.append((digest, [p], [1], hashlib.blake2b(text[p : p + length], digest_size=16).digest(), bool(flag[p])))
-
-    def batch(out: list) -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) if out else [[]] * 5
-        kinds = [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["digest", "at", "len", "window", "known"])
+            # of salted keys the first of each distinct window of this part, repeated here or not
+            own = np.flatnonzero(head | ~flag) if salted else flag[:0]
+            for k in range(0, len(own), SENT_AT_ONCE):
+                p = own[k : k + SENT_AT_ONCE]
+                windows = [hashlib.blake2b(text[i : i + length], digest_size=16).digest() for i in p.tolist()]
+                yield batch([digest] * len(p), p[:, None].tolist(), [[1]] * len(p), windows, flag[p])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, last = [], 0, None
-        for b in batches:
-            out: list = []
+        for b in pieces(batches, "region", 1 << 20):
             part = zip(b.column("part").to_pylist(), b.column("digest").to_pylist(), b.column("region").to_pylist(), b.column("n").to_pylist(), b.column("copies").to_pylist(), b.column("salted").to_pylist(), strict=True)
             for p, *row in part:
-                if size >= GROUP_BYTES // 16 and p != last:
-                    flush(rows, out)
+                if size >= GROUP_BYTES // 4 and p != last:
+                    yield from flush(rows)
                     rows, size = [], 0
                 rows.append(row)
                 size += len(row[1])
                 last = p
-            yield batch(out)
         if rows:
-            out = []
-            flush(rows, out)
-            yield batch(out)
+            yield from flush(rows)
 
     return run
 
