@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import keyword_hint, parse_reply, section_or_text
@@ -146,6 +146,29 @@ def resume(state_path: str, new_rows: DataFrame, key: str) -> DataFrame:
     return spark.read.parquet(state_path)
 
 
+def store_batch(ids: DataFrame, state: str, batch: str, key: str) -> None:
+    """Store the ids of an annotation batch under its name; storing it again replaces it."""
+    ids.select(key).write.mode("overwrite").parquet(f"{state}/batch={batch}")
+
+
+def stored_ids(spark: SparkSession, state: str, key: str) -> DataFrame:
+    """Ids of all stored batches, each once (S7)."""
+    return spark.read.parquet(state).select(key).distinct()
+
+
+def unblind(sheet: DataFrame, key: DataFrame, on: str = "review_id") -> DataFrame:
+    """The answered sheet joined to its hidden key. Every sheet row must meet exactly one key row and
+    the other way round; else the join raises, before any score is made."""
+    def at_fault(a: DataFrame, b: DataFrame) -> int:
+        twice = a.groupBy(on).count().where(F.col("count") > 1).count()
+        return twice + a.join(b, on, "left_anti").count()
+
+    faults = {"sheet": at_fault(sheet, key), "key": at_fault(key, sheet)}
+    if any(faults.values()):
+        raise ValueError(f"sheet and key do not match one to one on {on}: {faults}")
+    return sheet.join(key, on)
+
+
 # --- gold-standard sampling ---------------------------------------------------
 
 

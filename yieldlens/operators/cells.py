@@ -106,10 +106,13 @@ def prepare_cells(
     keep: Sequence[str] = (),
     test_folds: Sequence | None = None,
     weight: str | None = None,
+    soft: bool = False,
 ) -> Cells:
     """Prepare all cells of ``assigned`` (rows with rep and fold) with parameters of their own
     training rows. ``keep`` columns are carried as they are; ``weight`` (a column) multiplies
-    the balanced class weights. Rows without a label are scored, but train nothing."""
+    the balanced class weights. Rows without a label are scored, but train nothing. With
+    ``soft`` the label is a share in [0, 1]: a training row becomes one row a class with that
+    share as a further weight, and counts in the class weights by it."""
     numeric, categorical = list(numeric), list(categorical)
     cells_df, cells = cell_table(assigned, test_folds)
     carried = {f"_keep_{c}": F.col(c) for c in keep}
@@ -128,9 +131,14 @@ def prepare_cells(
         index = cut_lineage(level_index(assigned, c))
         levels[c] = index.count()
         out = out.join(index, c, "left").withColumn(f"{c}_ix", F.coalesce(F.col(f"{c}_ix"), F.lit(-1)))
-    out = PR.balanced_weights(out, stack.where(training), "label_d", "weight", by)
-    if weight is not None:
-        out = out.withColumn("weight", F.col("weight") * F.col("_user"))
+    if soft:
+        parts = PR.soft_rows(out.where(training), "label_d", "_mass")
+        out = parts.unionByName(out.where(~F.coalesce(training, F.lit(False))).withColumn("_mass", F.lit(1.0)))
+    else:
+        out = out.withColumn("_mass", F.lit(1.0))
+    training = training & F.col("label_d").isin(0.0, 1.0)
+    out = PR.balanced_weights(out, out.where(training).select("cell", "label_d", "_mass"), "label_d", "weight", by, "_mass")
+    out = out.withColumn("weight", F.col("weight") * F.col("_mass") * (F.col("_user") if weight is not None else F.lit(1.0)))
     cols = ["cell", "rep", "fold", "is_test", key, "label_d", "weight", *[F.col(f"_keep_{c}").alias(c) for c in keep]]
     cols += [*numeric, *[f"{c}_missing" for c in missing_flags], *[f"{c}_ix" for c in categorical]]
     return Cells(cut_lineage(out.select(*cols)), cells, levels, key, list(keep))

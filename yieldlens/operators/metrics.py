@@ -101,27 +101,16 @@ def rates(conf: DataFrame) -> DataFrame:
 
 
 def class_report(df: DataFrame, label: str, pred: str, classes: Sequence[int] = (0, 1), by: Sequence[str] = ()) -> DataFrame:
-    """Per class: precision, recall, f1, support (zero division → 0)."""
+    """Per class: precision, recall, f1, support (zero division → 0), all classes in one scan."""
     g = _grp(by)
-    parts = []
-    for c in classes:
-        conf = confusion(df, F.col(label) == c, F.col(pred) == c, g)
-        pr = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), F.lit(0.0))
-        rc = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), F.lit(0.0))
-        parts.append(
-            conf.select(
-                *g,
-                F.lit(c).alias("class"),
-                pr.alias("precision"),
-                rc.alias("recall"),
-                F.coalesce(F.try_divide(2 * pr * rc, pr + rc), F.lit(0.0)).alias("f1"),
-                (F.col("tp") + F.col("fn")).alias("support"),
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    stacked = df.select(*g, label, pred, F.explode(F.array(*[F.lit(c) for c in classes])).alias("class"))
+    conf = confusion(stacked, F.col(label) == F.col("class"), F.col(pred) == F.col("class"), [*g, "class"])
+    pr = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), F.lit(0.0))
+    rc = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), F.lit(0.0))
+    return conf.select(
+        *g, "class", pr.alias("precision"), rc.alias("recall"),
+        F.coalesce(F.try_divide(2 * pr * rc, pr + rc), F.lit(0.0)).alias("f1"), (F.col("tp") + F.col("fn")).alias("support"),
+    )
 
 
 def reliability_bins(df: DataFrame, label: str, score: str, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
@@ -337,12 +326,3 @@ def mean_ci(df: DataFrame, value: str, by: Sequence[str] = (), lo: float = 0.025
     m = df.groupBy(*g).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
     qs = exact_quantiles(df, value, [lo, hi], g, names=["lo", "hi"])
     return join_groups(m, qs, g, "left")
-
-
-def weighted_mean_gap(per_group: DataFrame, metric: str, weight: str, pooled: float | Column | None = None) -> DataFrame:
-    """Size-weighted mean of a per-group metric, and pooled − weighted when given."""
-    out = per_group.agg((F.sum(F.col(metric) * F.col(weight)) / F.sum(weight)).alias("weighted_mean"))
-    if pooled is not None:
-        p = pooled if isinstance(pooled, Column) else F.lit(float(pooled))
-        out = out.withColumn("gap", p - F.col("weighted_mean"))
-    return out

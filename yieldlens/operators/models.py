@@ -1,5 +1,5 @@
 """Models on Spark ML: per-fold preparation + fit, out-of-fold (OOF) predictions,
-a registry of estimator factories, random-Fourier-feature SVM, exact blocked k-NN,
+a registry of estimator factories, random-Fourier-feature SVM, k-NN (operators.neighbours),
 permutation importance and recalibration.
 
 Fits are Spark ML jobs (distributed over rows); the (rep, fold) fits of one
@@ -20,13 +20,14 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import prep as PR
+from .isotonic import isotonic_apply, isotonic_fit
 from .metrics import ranking_metrics
+from .neighbours import CoarseKnn, ExactKnn
 from .sizing import with_scalars
 
 
@@ -151,76 +152,13 @@ class RffSvm:
         return predict
 
 
-class ExactKnn:
-    """Exact k-nearest-neighbour vote (Euclidean, uniform weights; ties in distance go to
-    the smaller training key).
-
-    Training and query rows are dealt by key hash into blocks of a fixed expected size and
-    every query block meets every training block in a task of its own, which yields the
-    block's k best per query row; a window keeps the k best of those. Neither side goes
-    through the driver or whole into one task, and no row pair leaves a task. Keys are
-    unique. Training rows without a vector or label are no neighbours; a query row without
-    a vector, or without any training row, has p NULL.
-    """
-
-    TRAIN_BLOCK, QUERY_BLOCK = 8192, 1024
-
-    def __init__(self, k: int = 5, key: str = "key", vec: str = "features"):
-        self.k, self.key, self.vec = k, key, vec
-
-    def _rows(self, df: DataFrame) -> DataFrame:
-        arr = vector_to_array(self.vec) if dict(df.dtypes)[self.vec] == "vector" else F.col(self.vec)
-        return df.withColumn("_x", arr).where("_x IS NOT NULL")
-
-    def fit(self, train: DataFrame):
-        tr = self._rows(train).where("label_d IS NOT NULL").select(F.col(self.key).alias("_tkey"), "_x", F.col("label_d").alias("_y"))
-        t_blocks = -(-tr.count() // self.TRAIN_BLOCK)
-        k, key = self.k, self.key
-
-        def nearest(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-            if q.empty or t.empty:
-                return pd.DataFrame({key: q[key][:0], "_dist": [], "_tkey": t["_tkey"][:0], "_y": []})
-            # keys are sorted, so a stable sort breaks distance ties by key
-            t = t.sort_values("_tkey", kind="stable")
-            X = np.array(t["_x"].tolist(), dtype=np.float64)
-            Q = np.array(q["_x"].tolist(), dtype=np.float64)
-            step = max(1, 4_000_000 // X.size)  # bound the (chunk × n × d) temporary
-            best, dist = [], []
-            for s0 in range(0, len(Q), step):
-                d = ((Q[s0:s0 + step, None, :] - X[None, :, :]) ** 2).sum(axis=2)
-                idx = np.argsort(d, axis=1, kind="stable")[:, :k]
-                best.append(idx)
-                dist.append(np.take_along_axis(d, idx, axis=1))
-            idx = np.concatenate(best)
-            return pd.DataFrame({
-                key: np.repeat(q[key].to_numpy(), idx.shape[1]),
-                "_dist": np.concatenate(dist).ravel(),
-                "_tkey": t["_tkey"].to_numpy()[idx.ravel()],
-                "_y": t["_y"].to_numpy()[idx.ravel()],
-            })
-
-        def predict(df: DataFrame) -> DataFrame:
-            q = self._rows(df).select(key, "_x")
-            q_blocks = -(-q.count() // self.QUERY_BLOCK)
-            schema = f"`{key}` {dict(df.dtypes)[key]}, _dist double, _tkey {dict(tr.dtypes)['_tkey']}, _y double"
-            block = lambda c, n: F.expr(f"pmod(xxhash64(`{c}`), {max(n, 1)})")
-            each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)).cast("array<bigint>"))
-            left = q.withColumn("_qb", block(key, q_blocks)).withColumn("_tb", each(t_blocks))
-            right = tr.withColumn("_tb", block("_tkey", t_blocks)).withColumn("_qb", each(q_blocks))
-            near = left.groupBy("_qb", "_tb").cogroup(right.groupBy("_qb", "_tb")).applyInPandas(nearest, schema)
-            rank = F.row_number().over(Window.partitionBy(key).orderBy("_dist", "_tkey"))
-            votes = near.withColumn("_r", rank).where(F.col("_r") <= k)
-            return df.join(votes.groupBy(key).agg(F.avg("_y").alias("p")), key, "left")
-
-        return predict
-
-
 MODELS: dict[str, Callable[[FrameSpec], object]] = {
     "logistic": lambda spec: SparkModel(_logistic),
     "forest": lambda spec: SparkModel(_forest),
     "boosting": lambda spec: SparkModel(_boosting),
     "rff_svm": lambda spec: RffSvm(),
     "knn": lambda spec: ExactKnn(5, key=spec.key),
+    "knn_index": lambda spec: CoarseKnn(5, key=spec.key),
 }
 
 
@@ -326,15 +264,18 @@ def calibrate(
     """Recalibrate out-of-fold scores: 'platt' (logistic on the score) or 'isotonic'.
     Cross-fitted: the rows of a (rep, fold) are mapped by a calibrator fitted on the other
     folds of that repetition, so no row takes part in its own calibration."""
+    cells = oof.select(F.col(rep).alias("_rep"), F.col(fold).alias("_held")).distinct()
+    if method == "isotonic":
+        others = oof.join(cells, (F.col(rep) == F.col("_rep")) & (F.col(fold) != F.col("_held")))
+        pools = isotonic_fit(others, score, label, ["_rep", "_held"])
+        held = oof.withColumns({"_rep": F.col(rep), "_held": F.col(fold)})
+        return isotonic_apply(held, pools, score, ["_rep", "_held"]).drop("_rep", "_held")
     v = VectorAssembler(inputCols=[score], outputCol="_s").transform(oof.withColumn("_y", F.col(label).cast("double")))
     parts = []
-    for r, f in [(x[0], x[1]) for x in oof.select(rep, fold).distinct().orderBy(rep, fold).collect()]:
+    for r, f in [(x[0], x[1]) for x in cells.orderBy("_rep", "_held").collect()]:
         here = v.where(F.col(rep) == r)
         others, held = here.where(F.col(fold) != f), here.where(F.col(fold) == f)
-        if method == "platt":
-            m = LogisticRegression(featuresCol="_s", labelCol="_y", regParam=0.0).fit(others)
-            out = m.transform(held).withColumn("p_cal", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-        else:
-            out = IsotonicRegression(featuresCol="_s", labelCol="_y", predictionCol="p_cal").fit(others).transform(held)
+        m = LogisticRegression(featuresCol="_s", labelCol="_y", regParam=0.0).fit(others)
+        out = m.transform(held).withColumn("p_cal", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
         parts.append(out.drop("_s", "_y"))
     return reduce(DataFrame.unionByName, parts)

@@ -36,6 +36,20 @@ def feature_roles(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[list[str]
     return num, cat
 
 
+def measured_roles(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
+    """(column, n_values, role) of every column, decided by its values in one pass: 'numeric' when
+    each non-NULL value reads as a number, 'empty' without values, else 'categorical'."""
+    cols = [c for c in df.columns if c not in exclude]
+    aggs = []
+    for c in cols:
+        q = f"`{c}`"
+        aggs += [F.count(F.col(q)).alias(f"n_{c}"), F.count_if(F.col(q).isNotNull() & F.expr(f"try_cast({q} AS double)").isNull()).alias(f"t_{c}")]
+    one = df.agg(*aggs)
+    role = lambda c: F.when(F.col(f"n_{c}") == 0, "empty").when(F.col(f"t_{c}") == 0, "numeric").otherwise("categorical")
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("n_values"), role(c).alias("role")) for c in cols]
+    return one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+
+
 def missing_flags(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``<c>_missing`` = 1 where c is NULL (added before imputation)."""
     return df.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in cols})
@@ -143,11 +157,26 @@ def one_hot(df: DataFrame, train: DataFrame, cols: Sequence[str], max_levels: in
     return one_hot_encode(df, one_hot_levels(train, cols, max_levels))[0]
 
 
-def balanced_weights(df: DataFrame, train: DataFrame, label: str, out: str = "weight", by: Sequence[str] = ()) -> DataFrame:
-    """Class weight n / (n_classes · n_class) from ``train``, attached to ``df``."""
-    cls = train.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = train.groupBy(*by).agg(F.count(F.lit(1)).alias("_nt"), F.countDistinct(label).alias("_k"))
+def balanced_weights(
+    df: DataFrame, train: DataFrame, label: str, out: str = "weight", by: Sequence[str] = (), mass: str | None = None
+) -> DataFrame:
+    """Class weight n / (n_classes · n_class) from ``train``, attached to ``df``. With ``mass`` a
+    row counts as much as that column says (the share of a soft label)."""
+    one = F.count(F.lit(1)) if mass is None else F.sum(mass)
+    cls = train.groupBy(*by, label).agg(one.alias("_nc"))
+    tot = train.groupBy(*by).agg(one.alias("_nt"), F.countDistinct(label).alias("_k"))
     w = (cls.join(tot, list(by)) if by else with_scalars(cls, tot)).select(
         *by, label, (F.col("_nt") / (F.col("_k") * F.col("_nc"))).alias(out)
     )
     return df.join(w, [*by, label], "left")
+
+
+def soft_rows(df: DataFrame, label: str, mass: str = "mass") -> DataFrame:
+    """Each row with a fractional label y in [0, 1] as two rows: label 1 with mass y and label 0 with
+    mass 1 − y (parts without mass are left out; a NULL label stays one row of mass 1)."""
+    y = F.col(label).cast("double")
+    parts = F.when(y.isNull(), F.array(F.struct(y.alias("y"), F.lit(1.0).alias("m")))).otherwise(
+        F.array(F.struct(F.lit(1.0).alias("y"), y.alias("m")), F.struct(F.lit(0.0).alias("y"), (1 - y).alias("m")))
+    )
+    out = df.withColumn("_part", F.explode(F.filter(parts, lambda s: s["m"] > 0)))
+    return out.withColumns({label: F.col("_part.y"), mass: F.col("_part.m")}).drop("_part")

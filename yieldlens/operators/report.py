@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import confusion, exact_quantiles, join_groups, operating_point, rates
+from .ordering import running_sums
 
 
 def class_counts(df: DataFrame, col: str) -> DataFrame:
@@ -65,25 +66,54 @@ def seed_robustness(per_rep: DataFrame, value: str, by: Sequence[str]) -> DataFr
 
 
 def published_diff(computed: DataFrame, published: DataFrame, keys: Sequence[str], match: float = 0.005, close: float = 0.02) -> DataFrame:
-    """Join computed and published values on ``keys``; delta per cell and the
-    overall verdict from the largest |delta| (MATCH < match ≤ CLOSE < close ≤ MISMATCH)."""
+    """Join computed and published values on ``keys``; delta and verdict per cell, and the overall
+    verdict from the largest |delta| (MATCH < match ≤ CLOSE < close ≤ MISMATCH)."""
     j = computed.join(published, list(keys)).withColumn("delta", F.col("computed") - F.col("published"))
     worst = j.agg(F.max(F.abs("delta")).alias("max_abs_delta"))
-    verdict = F.when(F.col("max_abs_delta") < match, "MATCH").when(F.col("max_abs_delta") < close, "CLOSE").otherwise("MISMATCH")
-    return join_groups(j, worst.withColumn("verdict", verdict), [])
+
+    def verdict(size: Column) -> Column:
+        return F.when(size < match, "MATCH").when(size < close, "CLOSE").otherwise("MISMATCH")
+
+    j = j.withColumn("cell_verdict", verdict(F.abs("delta")))
+    return join_groups(j, worst.withColumn("verdict", verdict(F.col("max_abs_delta"))), [])
+
+
+def rank_sum_auroc(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
+    """AUROC of each group by the rank sum of its positives (mid-ranks for ties), one grouped job: a
+    way of its own beside the curve of ``ranking_metrics``."""
+    g = list(by)
+    base = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    per = base.groupBy(*g, score).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("long")).alias("_pos"))
+    run = running_sums(per, g, [score], {"_upto": F.col("_n")})
+    mid = F.col("_upto") - (F.col("_n") - 1) / 2
+    s = run.groupBy(*g).agg(F.sum(F.col("_pos") * mid).alias("_rank"), F.sum("_pos").alias("_n1"), F.sum("_n").alias("_all"))
+    n1, n0 = F.col("_n1"), F.col("_all") - F.col("_n1")
+    return s.select(*g, F.try_divide(F.col("_rank") - n1 * (n1 + 1) / 2, (n1 * n0).cast("double")).alias("auroc"))
 
 
 def rule_benchmark(df: DataFrame, rules: dict[str, Column], label: str) -> DataFrame:
-    """Each 0/1 rule as a classifier of ``label``: counts, sens, spec, PPV, NPV.
+    """Each 0/1 rule as a classifier of ``label``: counts, sens, spec, PPV, NPV, all rules in one pass.
     A NULL predicate is an explicit 'not flagged' (three-valued logic made two)."""
-    parts = []
-    for name, pred in rules.items():
-        c = rates(confusion(df, F.col(label) == 1, F.coalesce(pred, F.lit(False))))
-        parts.append(c.select(F.lit(name).alias("rule"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return rates(confusion(_stacked_rules(df, rules), F.col(label) == 1, F.col("_pred"), ["rule"]))
+
+
+def _stacked_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    each = [F.struct(F.lit(n).alias("rule"), F.coalesce(p, F.lit(False)).alias("_pred")) for n, p in rules.items()]
+    return df.select("*", F.explode(F.array(*each)).alias("_rule")).select("*", "_rule.rule", "_rule._pred").drop("_rule")
+
+
+def rule_net_benefit(df: DataFrame, rules: dict[str, Column], label: str, grid: Sequence[float]) -> DataFrame:
+    """(rule, threshold, net_benefit, net_benefit_all): a rule flags the same rows at every threshold."""
+    conf = confusion(_stacked_rules(df.where(F.col(label).isNotNull()), rules), F.col(label) == 1, F.col("_pred"), ["rule"])
+    at = conf.select("*", F.explode(F.array(*[F.lit(float(t)) for t in grid])).alias("threshold"))
+    n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    odds, prev = F.col("threshold") / (1 - F.col("threshold")), (F.col("tp") + F.col("fn")) / n
+    return at.select("rule", "threshold", (F.col("tp") / n - F.col("fp") / n * odds).alias("net_benefit"), (prev - (1 - prev) * odds).alias("net_benefit_all"))
+
+
+def representable(rules: dict[str, Sequence[str]], columns: Sequence[str]) -> list[tuple[str, int, int, str]]:
+    """(rule, variables, representable, missing): how many of a rule's variables the table has."""
+    return [(n, len(v), sum(c in columns for c in v), ", ".join(c for c in v if c not in columns)) for n, v in rules.items()]
 
 
 def flag_comparison(df: DataFrame, key: str, score: str, label_a: str, label_b: str, target: float = 0.95) -> DataFrame:
@@ -100,6 +130,18 @@ def flag_comparison(df: DataFrame, key: str, score: str, label_a: str, label_b:
     )
 
 
+def flagged_by_one(a: DataFrame, b: DataFrame, key: str, label: str = "y", score: str = "p", target: float = 0.95) -> DataFrame:
+    """(key, p_a, p_b, threshold_a, threshold_b, flagged_by): rows that only one of two models flags
+    (score below its own operating point), the 'wrong patients' of the other."""
+    sides = {}
+    for name, df in (("a", a), ("b", b)):
+        thr = operating_point(df, label, score, target).select(F.col("threshold").alias(f"threshold_{name}"))
+        sides[name] = join_groups(df.select(key, F.col(score).alias(f"p_{name}")), thr, [])
+    j = sides["a"].join(sides["b"], key)
+    fa, fb = F.col("p_a") < F.col("threshold_a"), F.col("p_b") < F.col("threshold_b")
+    return j.where(fa != fb).withColumn("flagged_by", F.when(fa, "a").otherwise("b"))
+
+
 def confident_joint(df: DataFrame, label: str, score: str) -> DataFrame:
     """Binary confident learning: per-class threshold t_c = mean predicted prob of
     class c over rows labelled c; a row is confidently class c when prob_c >= t_c

@@ -91,10 +91,3 @@ def fold_balance(assigned: DataFrame, label: str, fold: str = "fold", rep: str =
     return assigned.groupBy(rep, fold).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("positive_rate")
     )
-
-
-def holdout_sides(df: DataFrame, stratum: str, value: str | Column) -> tuple[DataFrame, DataFrame]:
-    """Leave-one-stratum-out: (train = other strata, test = the stratum)."""
-    v = value if isinstance(value, Column) else F.lit(value)
-    return df.where(~F.col(stratum).eqNullSafe(v)), df.where(F.col(stratum).eqNullSafe(v))
-

@@ -22,6 +22,7 @@ from .sqltext import sql_label
 
 ANCHOR = "that"  # section anchor of the stand-in reports
 ACUTE, STABLE = "there|then", "license|erat"  # stand-in triage word lists
+# The quotas of the published sampling plan
 GOLD_PLAN = {("Negative", "Positive"): 150, ("Positive", "Negative"): 150, ("Negative", "Negative"): 100, ("Positive", "Positive"): 50}
 BATCH1_PLAN = {("Negative", "Positive"): 30, ("Positive", "Negative"): 25, ("Negative", "Negative"): 15, ("Positive", "Positive"): 10}
 SEED = 42
@@ -34,6 +35,11 @@ def stub_labeller(texts: pd.Series) -> pd.Series:
     return pd.Series(np.where(hit, "Answer: Positive", "negative"), index=texts.index)
 
 
+def stub_reply(text: str) -> str:
+    """The same for one text."""
+    return "Answer: Positive" if "there" in text.lower() else "negative"
+
+
 def audit_base(spark, sf):
     """(note_id, subject_id, regex_label, llm_label) for every report. The label
     table (no text) is written once: external labels are costly to recompute (a
@@ -279,12 +285,17 @@ def blind_sheet(spark, sf):
 
 
 def _batch2(spark, sf):
+    """Batch one is drawn and its ids stored; batch two is drawn from the reports that the stored
+    state does not hold, and stored too. Returns (key of batch two, the stored ids)."""
+    state = f"{ensure_checkpoint_dir(spark).rstrip('/')}/batch-state-{uuid.uuid4().hex[:8]}"
     base = audit_base(spark, sf)
     b1, _ = _gold(spark, sf, BATCH1_PLAN, SEED + 1, "B1-%03d", base)
-    state = b1.select("note_id")
-    rest = base.join(state, "note_id", "left_anti")
+    A.store_batch(b1, state, "B1", "note_id")
+    rest = base.join(A.stored_ids(spark, state, "note_id"), "note_id", "left_anti")
     b2, _ = _gold(spark, sf, A.scale_quota(BATCH1_PLAN, 100), SEED + 2, "B2-%03d", rest)
-    return b1, b2
+    b2 = cut_lineage(b2)
+    A.store_batch(b2, state, "B2", "note_id")
+    return b2, A.stored_ids(spark, state, "note_id")
 
 
 _B1 = _sample_sql(BATCH1_PLAN, SEED + 1, "B1-%03d")
@@ -295,15 +306,14 @@ _B2 = _sample_sql(A.scale_quota(BATCH1_PLAN, 100), SEED + 2, "B2-%03d", f"WHERE
 def batch_two(spark, sf):
     """Second annotation batch (template scaled to 100 → 38/31/19/12), disjoint
     from batch one through the sampled-id state."""
-    _, b2 = _batch2(spark, sf)
+    b2, _ = _batch2(spark, sf)
     return A.blind_key(b2, "note_id", "regex_label", "llm_label")
 
 
 @query("batch_state_union", f"SELECT note_id FROM {_B1} UNION SELECT note_id FROM {_B2}")
 def batch_state_union(spark, sf):
     """Accumulated sampled-id state after two batches (set union)."""
-    b1, b2 = _batch2(spark, sf)
-    return b1.select("note_id").union(b2.select("note_id")).distinct()
+    return _batch2(spark, sf)[1]
 
 
 _UNBLIND_SQL = f"""(SELECT k.review_id, k.note_id, k.regex_label, k.llm_label, k.stratum,
@@ -311,6 +321,15 @@ _UNBLIND_SQL = f"""(SELECT k.review_id, k.note_id, k.regex_label, k.llm_label, k
   FROM {_sample_sql(GOLD_PLAN, SEED, 'R%03d')} k JOIN labels l ON k.note_id = l.doc_id)"""
 
 
+def _unblinded(spark, sf, base=None):
+    """Sheet ⋈ hidden key on the review id (checked to be 1:1), then ⋈ gold on the report id."""
+    s, _ = _gold(spark, sf, base=base)
+    s = cut_lineage(s)
+    sheet = A.blind_sheet(with_text(spark, sf, s), "text", 600, ANCHOR)
+    key = A.blind_key(s, "note_id", "regex_label", "llm_label")
+    return A.unblind(sheet, key).join(S.gold(spark, sf).select("note_id", "gold_label"), "note_id")
+
+
 @query(
     "unblind_and_score",
     f"""WITH j AS {_UNBLIND_SQL}, c AS (SELECT count(*) FILTER (WHERE gold_label = 'Positive' AND regex_label = 'Positive') AS tp,
@@ -321,11 +340,9 @@ _UNBLIND_SQL = f"""(SELECT k.review_id, k.note_id, k.regex_label, k.llm_label, k
       round(tp / nullif(tp + fp, 0), {D}) AS ppv, round(tn / nullif(tn + fn, 0), {D}) AS npv FROM c""",
 )
 def unblind_and_score(spark, sf):
-    """Key ⋈ gold labels on the report id (1:1), then the rule labeller's
+    """Sheet ⋈ key on the review id (1:1), ⋈ gold labels on the report id, then the rule labeller's
     sensitivity / specificity / PPV / NPV on the sample."""
-    s, _ = _gold(spark, sf)
-    key = A.blind_key(s, "note_id", "regex_label", "llm_label")
-    j = key.join(S.gold(spark, sf).select("note_id", "gold_label"), "note_id")
+    j = _unblinded(spark, sf)
     return rnd(M.rates(M.confusion(j, F.col("gold_label") == "Positive", F.col("regex_label") == "Positive")))
 
 
@@ -343,11 +360,9 @@ def unblind_and_score(spark, sf):
 def weighted_rates(spark, sf):
     """Sensitivity / specificity re-weighted from the over-sampled gold cells to the
     whole labelled population (weight N_cell / n_cell)."""
-    s, _ = _gold(spark, sf)
-    key = A.blind_key(s, "note_id", "regex_label", "llm_label")
-    j = key.join(S.gold(spark, sf).select("note_id", "gold_label"), "note_id")
+    pop = audit_base(spark, sf)  # labelled once: the sample and the population read it
+    j = _unblinded(spark, sf, pop)
     j = j.withColumn("t", (F.col("gold_label") == "Positive").cast("int")).withColumn("pp", (F.col("regex_label") == "Positive").cast("int"))
-    pop = audit_base(spark, sf)
     return rnd(A.weighted_rates(j, ["regex_label", "llm_label"], pop, "t", "pp"), 6)
 
 

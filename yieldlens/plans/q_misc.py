@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import audit as A
-from ..operators.prep import feature_roles
+from ..operators.prep import measured_roles
 from ..session import ensure_checkpoint_dir, table
 from ..sources import io as IO
 from ..sources import standins as S
@@ -35,17 +35,27 @@ def filters_basic(spark, sf):
     )
 
 
+_ROLE_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
 @query(
     "columns_by_type",
-    """SELECT column_name AS "column", CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT') THEN 'numeric'
-      WHEN column_type = 'VARCHAR' THEN 'categorical' END AS role FROM (DESCRIBE SELECT * FROM documents)
-    WHERE column_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT', 'VARCHAR')""",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS n_values, CASE WHEN count({c}) = 0 THEN 'empty'
+          WHEN count(*) FILTER (WHERE {c} IS NOT NULL AND TRY_CAST({c} AS DOUBLE) IS NULL) = 0 THEN 'numeric' ELSE 'categorical' END AS role
+        FROM documents""" for c in _ROLE_COLUMNS
+    ),
 )
 def columns_by_type(spark, sf):
-    """Feature roles decided from the table schema (numeric vs categorical)."""
-    num, cat = feature_roles(table(spark, sf, "documents"))
-    rows = [(c, "numeric") for c in num] + [(c, "categorical") for c in cat]
-    return spark.createDataFrame(rows, "column string, role string")
+    """Feature roles decided from the values of every row (numbers or not), in one pass."""
+    return measured_roles(table(spark, sf, "documents").select(*_ROLE_COLUMNS))
+
+
+@query("parsed_times", "SELECT event_id, date_trunc('second', ts) AS t, CAST(hour(ts) AS INTEGER) AS hour FROM events")
+def parsed_times(spark, sf):
+    """Time strings parsed to wall-clock timestamps, and their hour."""
+    ev = table(spark, sf, "events").select("event_id", F.date_format("ts", "dd/MM/yyyy HH:mm:ss").alias("t"))
+    return IO.parse_time(ev, "t", "dd/MM/yyyy HH:mm:ss").withColumn("hour", F.hour("t"))
 
 
 @query("csv_roundtrip", "SELECT doc_id AS note_id, source AS subject_id, text FROM documents")

@@ -15,6 +15,8 @@ from ..operators import cohort as C
 from ..operators import forest as FO
 from ..operators import metrics as M
 from ..operators import models as ML
+from ..operators import prep as PR
+from ..operators import report as R
 from ..operators import splits as SP
 from ..session import cut_lineage
 from ..sources import standins as S
@@ -378,6 +380,65 @@ def resampling_compare(spark, sf):
     return rnd(m.groupBy("variant").agg(F.avg("auroc").alias("auroc_mean"), F.avg("average_precision").alias("auprc_mean")), 6)
 
 
+@query("impute_vs_drop_refit")
+def impute_vs_drop_refit(spark, sf):
+    """Inputs with too many missing values dropped at several thresholds, the rest imputed, and the
+    logistic model refitted on each: inputs kept, AUROC and AUPRC over 5 grouped folds."""
+    f = _frame(spark, sf)
+    p = _kfold(f, 1)
+    scores, at = {}, []
+    for t in (0.1, 0.3, 0.5, 0.7, 0.9):
+        left = PR.drop_sparse(f.select(*FEATURES, "hour"), t, keep=["hour"]).columns
+        at.append((t, len(left), ",".join(left)))
+        if (at[-1][2],) not in scores:
+            scores[(at[-1][2],)] = p.scores("logistic", _set(left, ["unit"]))
+    m = _ranked(scores, ["inputs"]).groupBy("inputs").agg(F.avg("auroc").alias("auroc_mean"), F.avg("average_precision").alias("auprc_mean"))
+    at = spark.createDataFrame(at, "threshold double, n_inputs int, inputs string")  # a row a threshold
+    return rnd(at.join(m, "inputs").drop("inputs"), 6)
+
+
+@query("dirty_vs_clean_refit")
+def dirty_vs_clean_refit(spark, sf):
+    """The logistic model refitted out of fold on a dirty and on a clean label version: the orders that
+    only one of the two flags, with both scores and thresholds (the stand-in's clean labels turn
+    every tenth order)."""
+    f = _frame(spark, sf)
+    clean = f.withColumn("y", F.when(F.pmod(F.xxhash64("order_id"), F.lit(10)) == 0, 1 - F.col("y")).otherwise(F.col("y")))
+    folds = SP.grouped_kfold(f, SPEC.group, SPEC.label, K, 1)
+    dirty_scores, clean_scores = (Protocol(t, folds).scores("logistic", MAIN) for t in (f, cut_lineage(clean)))
+    out = R.flagged_by_one(dirty_scores, clean_scores, "order_id")
+    who = F.when(F.col("flagged_by") == "a", "dirty").otherwise("clean")
+    out = out.withColumns({"flagged_by": who}).withColumnsRenamed({f"{c}_{x}": f"{c}_{n}" for c in ("p", "threshold") for x, n in (("a", "dirty"), ("b", "clean"))})
+    return rnd(out, 6)
+
+
+@query("soft_label_fit")
+def soft_label_fit(spark, sf):
+    """Logistic out-of-fold scores trained on soft labels (the mean of two raters, disagreement down to
+    half weight) next to those trained on the first rater alone."""
+    f = _frame(spark, sf)
+    second = F.when(F.pmod(F.xxhash64("order_id"), F.lit(10)) == 0, 1 - F.col("y")).otherwise(F.col("y"))
+    f = f.withColumns({"soft": (F.col("y") + second) / 2, "trust": F.when(F.col("y") == second, 1.0).otherwise(0.5)})
+    assigned = SP.assign_folds(f, SP.grouped_kfold(f, SPEC.group, SPEC.label, K, 1), SPEC.group)
+    cells = CE.prepare_cells(assigned, "order_id", "soft", NUMERIC, ["unit"], FEATURES, keep=["y"], weight="trust", soft=True)
+    soft = CE.BlockLogistic(cells, MAIN).predict(cells.test()).select("order_id", "y", F.col("p").alias("p_soft"))
+    hard = CE.prepare_cells(assigned, "order_id", "y", NUMERIC, ["unit"], FEATURES)
+    plain = CE.BlockLogistic(hard, MAIN).predict(hard.test()).select("order_id", F.col("p").alias("p_hard"))
+    return rnd(soft.join(plain, "order_id"), 6)
+
+
+@query("knn_index_recall")
+def knn_index_recall(spark, sf):
+    """Recall at 5 of the coarse-cell index against the exact neighbours, over all held-out vectors."""
+    v = S.vectors(spark, sf).withColumn("label_d", F.col("y").cast("double"))
+    j = cut_lineage(v.join(SP.group_split(v, "key", 0.2, SEED), "key"))
+    train, test = j.where("is_test = 0"), j.where("is_test = 1")
+    exact = ML.ExactKnn(5, key="key", vec="embedding").neighbours_of(train)(test).select("key", "_tkey")
+    index = ML.CoarseKnn(5, key="key", vec="embedding").neighbours_of(train)(test).select("key", "_tkey", F.lit(1).alias("found"))
+    met = exact.join(index, ["key", "_tkey"], "left")
+    return rnd(met.agg(F.countDistinct("key").alias("n_queries"), F.count("*").alias("n_neighbours"), (F.count("found") / F.count("*")).alias("recall")), 6)
+
+
 _NUM = [*FEATURES, "hour"]
 _ASSEMBLED_SQL = (
     f"""WITH f AS {_FRAME_SQL}, s AS {_SPLIT_SQL},

@@ -10,6 +10,7 @@ from ..operators import labeling as LB
 from ..operators import metrics as M
 from ..operators import quality as QC
 from ..operators import report as R
+from ..session import cut_lineage
 from ..sources import standins as S
 from .q_audit import _AUDIT_SQL, audit_base
 from .q_cohort import _ORDERS_SQL
@@ -117,34 +118,32 @@ def seed_robustness(spark, sf):
     return rnd(R.seed_robustness(m, "auroc", []), 6)
 
 
+# The stored reference table of the regression gate (group, value) of the stand-in
+PUBLISHED_AUROC = [("en", 0.495), ("fr", 0.5), ("de", 0.52), ("es", 0.6)]
+
+
 @query(
     "published_diff",
-    f"""WITH sd AS {SD},
+    f"""WITH sd AS {SD}, pub(model, published) AS (VALUES {", ".join(f"('{m}', {v}::DOUBLE)" for m, v in PUBLISHED_AUROC)}),
     pts AS (SELECT lang, p, sum(y) AS tp, count(*) - sum(y) AS fp FROM sd GROUP BY lang, p),
     c AS (SELECT *, sum(tp) OVER (PARTITION BY lang ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS ct,
                     sum(fp) OVER (PARTITION BY lang ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS cf FROM pts),
-    m AS (SELECT lang AS model, 'AUROC' AS metric, round(sum(fp * (ct - tp / 2.0)) / nullif(max(ct) * max(cf), 0), 6) AS computed
-          FROM c GROUP BY lang)
-    SELECT model, metric, computed, computed AS published, 0.0 AS delta, 0.0 AS max_abs_delta, 'MATCH' AS verdict FROM m""",
+    m AS (SELECT lang AS model, sum(fp * (ct - tp / 2.0)) / nullif(max(ct) * max(cf), 0) AS computed FROM c GROUP BY lang),
+    d AS (SELECT model, computed, published, computed - published AS delta, max(abs(computed - published)) OVER () AS worst FROM m JOIN pub USING (model))
+    SELECT model, 'AUROC' AS metric, round(computed, 6) AS computed, published, round(delta, 6) AS delta, round(worst, 6) AS max_abs_delta,
+      CASE WHEN abs(delta) < 0.005 THEN 'MATCH' WHEN abs(delta) < 0.02 THEN 'CLOSE' ELSE 'MISMATCH' END AS cell_verdict,
+      CASE WHEN worst < 0.005 THEN 'MATCH' WHEN worst < 0.02 THEN 'CLOSE' ELSE 'MISMATCH' END AS verdict FROM d""",
 )
 def published_diff(spark, sf):
-    """Regression gate: our grouped AUROC against an independent reference value
-    (Spark ML's evaluator, computed per group) with |delta| verdicts."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-
-    d = S.scored_docs(spark, sf)
-    ours = M.ranking_metrics(d, "y", "p", ["lang"]).select(
-        F.col("lang").alias("model"), F.lit("AUROC").alias("metric"), F.col("auroc").alias("computed")
-    )
-    ev = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="yd", metricName="areaUnderROC", numBins=0)
-    langs = [r[0] for r in d.select("lang").distinct().collect()]  # a handful of group names
-    pub_rows = [(lg, "AUROC", float(ev.evaluate(d.where(F.col("lang") == lg).withColumn("yd", F.col("y").cast("double")))))
-                for lg in langs]
-    pub = spark.createDataFrame(pub_rows, "model string, metric string, published double")
-    out = R.published_diff(ours, pub, ["model", "metric"])
+    """Regression gate: grouped AUROC (rank sum, one job) against the stored table, with a verdict per
+    cell and overall."""
+    ours = R.rank_sum_auroc(S.scored_docs(spark, sf), "y", "p", ["lang"])
+    ours = ours.select(F.col("lang").alias("model"), F.lit("AUROC").alias("metric"), F.col("auroc").alias("computed"))
+    pub = spark.createDataFrame([(m, "AUROC", v) for m, v in PUBLISHED_AUROC], "model string, metric string, published double")
+    out = R.published_diff(ours, F.broadcast(pub), ["model", "metric"])
     return out.select(
-        "model", "metric", F.round("computed", 6).alias("computed"), F.round("published", 6).alias("published"),
-        F.round("delta", 6).alias("delta"), F.round("max_abs_delta", 6).alias("max_abs_delta"), "verdict",
+        "model", "metric", F.round("computed", 6).alias("computed"), "published", F.round("delta", 6).alias("delta"),
+        F.round("max_abs_delta", 6).alias("max_abs_delta"), "cell_verdict", "verdict",
     )
 
 
@@ -171,13 +170,30 @@ _RULES_SQL = {
 def rule_predicates(spark, sf):
     """Fixed threshold rules benchmarked as classifiers; a rule whose input is
     missing does not flag (reported, never imputed)."""
-    f = frame(spark, sf)
-    rules = {
-        "view_high": F.col("view_max") >= 60,
-        "purchase_high": F.col("purchase_max") >= 100,
-        "click_low": F.col("click_max") < 5,
-    }
-    return rnd(R.rule_benchmark(f, rules, "y"))
+    return rnd(R.rule_benchmark(frame(spark, sf), _rules(), "y"))
+
+
+def _rules():
+    return {"view_high": F.col("view_max") >= 60, "purchase_high": F.col("purchase_max") >= 100, "click_low": F.col("click_max") < 5}
+
+
+_RULE_GRID = [0.05, 0.1, 0.15, 0.2, 0.3]
+
+
+@query(
+    "rule_net_benefit",
+    f"""WITH f AS {_FRAME_SQL}, t(threshold) AS (VALUES {", ".join(f"({x}::DOUBLE)" for x in _RULE_GRID)}), c AS ("""
+    + " UNION ALL ".join(
+        f"""SELECT '{name}' AS rule, count(*) AS n, sum(y) AS pos, count(*) FILTER (WHERE y = 1 AND coalesce({cond}, false)) AS tp,
+          count(*) FILTER (WHERE y <> 1 AND coalesce({cond}, false)) AS fp FROM f WHERE y IS NOT NULL"""
+        for name, cond in _RULES_SQL.items()
+    )
+    + f""") SELECT rule, threshold, round(tp / n - fp / n * (threshold / (1 - threshold)), {D}) AS net_benefit,
+      round(pos / n - (1 - pos / n) * (threshold / (1 - threshold)), {D}) AS net_benefit_all FROM c, t""",
+)
+def rule_net_benefit(spark, sf):
+    """Net benefit of each fixed rule, and of scanning all, at the published thresholds."""
+    return rnd(R.rule_net_benefit(frame(spark, sf), _rules(), "y", _RULE_GRID))
 
 
 @query(
@@ -343,26 +359,75 @@ def subtype_rates(spark, sf):
     return rnd(R.rates_rollup(j, F.col("gold_label") == "Positive", F.col("label") == "Positive", ["subtype", "lang"]))
 
 
-# Published yields of head imaging in intensive care, as cited by
-# the study's literature review (source, positive rate).
-PUBLISHED_YIELDS = [("published_1", 0.228), ("published_2", 0.121), ("published_3", 0.51)]
+# Published yields of head imaging in intensive care, as cited by the study's
+# literature review (source, signal, positive rate; NULL where the review names no number)
+PUBLISHED_YIELDS = [
+    ("Chokshi", "overall", 0.228),
+    ("Khan", "overall", 0.121),
+    ("Khan", "focal", 0.30),
+    ("Khan", "seizure", 0.162),
+    ("Khan", "altered mental status", 0.074),
+    ("Purmer", "overall", 0.51),
+    ("Balachandran", "overall", None),
+]
 
 
 @query(
     "yield_vs_published",
-    f"""WITH lit(source, published_rate) AS (VALUES ('published_1', 0.228::DOUBLE), ('published_2', 0.121::DOUBLE), ('published_3', 0.51::DOUBLE)),
-    ours AS (SELECT count(*) AS n, avg(CAST(y AS DOUBLE)) AS our_rate FROM {_ORDERS_SQL})
-    SELECT source, published_rate, n, round(our_rate, {D}) AS our_rate, round(our_rate - published_rate, {D}) AS difference
+    f"""WITH lit(source, signal, published_rate) AS (VALUES {", ".join(f"('{a}', '{b}', {'NULL' if v is None else v}::DOUBLE)" for a, b, v in PUBLISHED_YIELDS)}),
+    ours AS (SELECT coalesce(unit, '(none)') AS unit, count(*) AS n, avg(CAST(y AS DOUBLE)) AS our_rate FROM {_ORDERS_SQL} GROUP BY 1
+      UNION ALL SELECT '(all)', count(*), avg(CAST(y AS DOUBLE)) FROM {_ORDERS_SQL})
+    SELECT source, signal, published_rate, unit, n, round(our_rate, {D}) AS our_rate, round(our_rate - published_rate, {D}) AS difference
     FROM lit, ours""",
 )
 def yield_vs_published(spark, sf):
-    """Cohort positive rate next to published yields (fixed literature table)."""
-    lit = F.broadcast(spark.createDataFrame(PUBLISHED_YIELDS, "source string, published_rate double"))
-    ours = S.index_orders(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("y").cast("double")).alias("our_rate"))
-    j = M.join_groups(lit, ours, [])
+    """Positive rate of the cohort and of each unit next to every published yield."""
+    o = S.index_orders(spark, sf).select(F.explode(F.array(F.coalesce("unit", F.lit("(none)")), F.lit("(all)"))).alias("unit"), "y")
+    ours = o.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("y").cast("double")).alias("our_rate"))
+    lit = F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("signal"), F.lit(v).cast("double").alias("published_rate")) for a, b, v in PUBLISHED_YIELDS])
+    j = ours.select("*", F.explode(lit).alias("l")).select("l.*", "unit", "n", "our_rate")
     return rnd(j.withColumn("difference", F.col("our_rate") - F.col("published_rate")))
 
 
+_EXPECTED = [("view_min", 1), ("view_max", 1), ("purchase_max", -1), ("click_max", 1), ("signup_min", -1), ("hour", 1)]
+
+
+@query(
+    "direction_vs_literature",
+    f"""WITH e(feature, expected_sign) AS (VALUES {", ".join(f"('{c}', {v})" for c, v in _EXPECTED)}), d AS ("""
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, CAST(sign(avg(CASE WHEN y = 1 THEN {c} END) - avg(CASE WHEN y = 0 THEN {c} END)) AS INTEGER) AS direction
+        FROM {_FRAME_SQL}""" for c, _ in _EXPECTED
+    )
+    + ") SELECT feature, direction, expected_sign, CAST(direction = expected_sign AS INTEGER) AS agrees FROM d JOIN e USING (feature)",
+)
+def direction_vs_literature(spark, sf):
+    """Direction of each feature against the sign expected from the literature (stand-in signs)."""
+    expected = spark.createDataFrame(_EXPECTED, "feature string, expected_sign int")
+    return R.direction_table(frame(spark, sf), [c for c, _ in _EXPECTED], "y", F.broadcast(expected)).select("feature", "direction", "expected_sign", "agrees")
+
+
+_POOLS_SQL = f"""WITH sd AS (SELECT lang, CAST(p AS DOUBLE) AS score, CAST(y AS DOUBLE) AS y FROM {SD} WHERE p IS NOT NULL AND y IS NOT NULL),
+    v AS (SELECT lang, score, count(*) AS n, sum(y) AS s FROM sd GROUP BY lang, score),
+    c AS (SELECT lang, score, n, sum(n) OVER w AS cn, sum(s) OVER w AS cs, row_number() OVER w AS i FROM v WINDOW w AS (PARTITION BY lang ORDER BY score)),
+    e AS (SELECT lang, i, cn, cs FROM c UNION ALL SELECT DISTINCT lang, 0, 0, 0 FROM c),
+    g AS (SELECT a.lang, a.i AS a, b.i AS b, (b.cs - a.cs) / (b.cn - a.cn) AS mean FROM e a JOIN c b ON a.lang = b.lang AND a.i < b.i),
+    low AS (SELECT c.lang, c.i, g.a, min(g.mean) AS m FROM c JOIN g ON g.lang = c.lang AND g.b >= c.i AND g.a < c.i GROUP BY c.lang, c.i, g.a)
+    SELECT c.lang, c.score, c.n, round(max(low.m), 9) AS value FROM c JOIN low USING (lang, i) GROUP BY c.lang, c.score, c.n"""
+
+
+@query("isotonic_values", _POOLS_SQL)
+def isotonic_values(spark, sf):
+    """Isotonic fit of the label on the score, per language: the fitted value of every distinct score
+    (in SQL by the max-min formula over all intervals)."""
+    from ..operators.isotonic import isotonic_apply, isotonic_fit
+
+    d = cut_lineage(S.scored_docs(spark, sf).select("lang", "p", "y"))
+    pools = isotonic_fit(d, "p", "y", ["lang"])
+    scores = d.where("p IS NOT NULL AND y IS NOT NULL").groupBy("lang", F.col("p").cast("double").alias("score")).agg(F.count("*").alias("n"))
+    return rnd(isotonic_apply(scores, pools, "score", ["lang"], "value"), 9)
+
+
 @query(
     "likely_errors",
     f"""WITH sd AS {SD}, t AS (SELECT avg(CASE WHEN y = 1 THEN p END) AS t1, avg(CASE WHEN y = 0 THEN 1 - p END) AS t0 FROM sd)

@@ -46,11 +46,6 @@ def read_reports_csv(spark: SparkSession, path: str, schema: T.StructType = REPO
     )
 
 
-def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV with inferred types (helper for small side files only)."""
-    return spark.read.option("header", True).option("inferSchema", True).option("multiLine", True).option("escape", '"').csv(path)
-
-
 def require_input(spark: SparkSession, path: str, columns: Sequence[str] = (), what: str = "input") -> DataFrame:
     """Read parquet at ``path`` or raise a named error explaining what is missing."""
     try:

@@ -3,8 +3,10 @@
 * ``interval_join`` — order stream ⋈ measurement stream on the stay with the
   look-back interval, both sides watermarked (state is bounded by the window).
 * ``score_stream`` — stateless: score arriving rows and apply the threshold.
-* ``rolling_rate`` — tumbling event-time windows of counts / positive rate per
-  stratum, late data bounded by a watermark.
+* ``lookback_counts`` — per order, orders without events included, aggregated in state.
+* ``score_with_model`` — a saved pipeline, preparation included, applied to a stream.
+* ``rolling_rate``, ``session_rate`` — tumbling, sliding and session windows of counts /
+  positive rate per stratum, late data bounded by a watermark.
 * ``dedupe_label_stream`` — label arriving reports, dropping copies of a report
   key within the watermark.
 
@@ -17,12 +19,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import RuleSet
 from ..operators.labeling import label_text
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -30,22 +34,21 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stage_files(df: DataFrame, path: str, files: int = 4, time_col: str | None = None) -> str:
-    """Write a derived table as a folder of parquet files for a file stream. With
-    ``time_col`` the rows are cut into ``files`` consecutive time slices written one
-    after another, so the stream sees them in event-time order (as arriving data
-    would be); otherwise one write of ``files`` files."""
+    """Write a derived table as a folder of parquet files for a file stream. With ``time_col``
+    the rows are dealt by range of time once, and the ranges are written one after another, so
+    the stream sees them in order of time, as arriving data would be."""
     if time_col is None:
         df.repartition(files).write.mode("overwrite").parquet(path)
         return path
-    us = F.unix_micros(F.col(time_col).cast("timestamp"))
-    lo, hi = df.agg(F.min(us), F.max(us)).first()
-    if lo is None:
-        df.limit(0).write.mode("overwrite").parquet(path)
-        return path
-    step = (hi - lo) // files + 1
-    for i in range(files):
-        part = df.where((us >= lo + i * step) & (us < lo + (i + 1) * step))
-        part.coalesce(1).write.mode("overwrite" if i == 0 else "append").parquet(path)
+    dealt = cut_lineage(df.repartitionByRange(files, time_col))
+    for i in range(dealt.rdd.getNumPartitions()):
+        dealt.where(F.spark_partition_id() == i).write.mode("append").parquet(path)
+    return path
+
+
+def add_rows(df: DataFrame, path: str) -> str:
+    """Add late or closing rows to a staged folder as one more file."""
+    df.coalesce(1).write.mode("append").parquet(path)  # a stated handful of rows
     return path
 
 
@@ -111,11 +114,12 @@ def run_update(stream: DataFrame, out: str, keys: list[str]) -> DataFrame:
 
 
 def interval_join(
-    orders: DataFrame, events: DataFrame, stay: str, t0: str, ts: str, window_hours: int, lateness: str
+    orders: DataFrame, events: DataFrame, stay: str, t0: str, ts: str, window_hours: int, lateness: str, how: str = "inner"
 ) -> DataFrame:
-    """Stream-stream inner join of each order with its stay's events in
-    [t0 − w, t0); both sides watermarked so join state is dropped once no later
-    match is possible. Wall-clock (NTZ) times are read as UTC for watermarks."""
+    """Stream-stream join of each order with its stay's events in [t0 − w, t0); both sides
+    watermarked so join state is dropped once no later match is possible. With
+    ``how="leftOuter"`` an order without any event is emitted too, once the watermark has
+    passed it. Wall-clock (NTZ) times are read as UTC for watermarks."""
     o = _as_event_time(orders, t0).withWatermark(t0, lateness).alias("o")
     e = _as_event_time(events, ts).withWatermark(ts, lateness).alias("e")
     cond = (
@@ -123,7 +127,16 @@ def interval_join(
         & (F.col(f"e.{ts}") >= F.col(f"o.{t0}") - F.expr(f"INTERVAL {window_hours} HOURS"))
         & (F.col(f"e.{ts}") < F.col(f"o.{t0}"))
     )
-    return o.join(e, cond).select("o.*", *[F.col(f"e.{c}") for c in events.columns if c != stay])
+    return o.join(e, cond, how).select("o.*", *[F.col(f"e.{c}") for c in events.columns if c != stay])
+
+
+def lookback_counts(
+    orders: DataFrame, events: DataFrame, key: str, stay: str, t0: str, ts: str, value: str, window_hours: int, lateness: str
+) -> DataFrame:
+    """Per order, in state: number, least and greatest value of the events in its window, 0 events
+    included; a row is emitted when the watermark has passed the order."""
+    pairs = interval_join(orders, events, stay, t0, ts, window_hours, lateness, "leftOuter")
+    return pairs.groupBy(key, t0).agg(F.count(ts).alias("n_events"), F.min(value).alias("min_value"), F.max(value).alias("max_value"))
 
 
 def _as_event_time(df: DataFrame, ts: str) -> DataFrame:
@@ -135,14 +148,30 @@ def score_stream(rows: DataFrame, score: str, threshold: float) -> DataFrame:
     return rows.withColumn("flag_low_yield", (F.col(score) < threshold).cast("int"))
 
 
-def rolling_rate(rows: DataFrame, ts: str, stratum: str, label: str, width: str, lateness: str) -> DataFrame:
-    """Tumbling-window count and positive rate per stratum (append mode)."""
-    return (
-        _as_event_time(rows, ts).withWatermark(ts, lateness)
-        .groupBy(F.window(ts, width).alias("w"), stratum)
-        .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("positive_rate"))
-        .select(F.col("w.start").alias("window_start"), stratum, "n", "positive_rate")
-    )
+def score_with_model(rows: DataFrame, model_path: str, threshold: float | None = None) -> DataFrame:
+    """Rows of a stream scored by a saved ``PipelineModel`` (preparation included), with p and, if a
+    threshold is given, the low-yield flag."""
+    out = PipelineModel.load(model_path).transform(rows).withColumn("p", vector_to_array("probability")[1])
+    return out if threshold is None else score_stream(out, "p", threshold)
+
+
+def rolling_rate(rows: DataFrame, ts: str, stratum: str, label: str, width: str, lateness: str, slide: str | None = None) -> DataFrame:
+    """Count and positive rate per stratum in tumbling windows, or sliding ones with ``slide``
+    (rows later than the watermark are dropped)."""
+    window = F.window(ts, width, slide) if slide else F.window(ts, width)
+    return _rates(_as_event_time(rows, ts).withWatermark(ts, lateness), window, stratum, label)
+
+
+def session_rate(rows: DataFrame, ts: str, stratum: str, label: str, gap: str, lateness: str) -> DataFrame:
+    """Count and positive rate of each session: rows of a stratum with gaps under ``gap``. The state
+    of a session lives until the watermark has passed its end."""
+    return _rates(_as_event_time(rows, ts).withWatermark(ts, lateness), F.session_window(ts, gap), stratum, label, end=True)
+
+
+def _rates(rows: DataFrame, window, stratum: str, label: str, end: bool = False) -> DataFrame:
+    agg = rows.groupBy(window.alias("w"), stratum).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("positive_rate"))
+    bounds = [F.col("w.start").alias("window_start"), *([F.col("w.end").alias("window_end")] if end else [])]
+    return agg.select(*bounds, stratum, "n", "positive_rate")
 
 
 def dedupe_label_stream(reports: DataFrame, key: str, text: str, rules: RuleSet, lateness: str) -> DataFrame:
