@@ -72,6 +72,10 @@ def test_warc_round_trip(spark):
         revisit = html == big and page != 9
         assert (r["record_type"], r["refers_to"]) == (("revisit", 9) if revisit else ("response", None))
         assert r["payload"] == (None if revisit else data)
+    # the files are members of gzip themselves, which other tools read
+    store, root = warc._store(path)
+    files = [f.path for f in store.get_file_info(warc.fs.FileSelector(root)) if f.path.endswith(".warc.gz")]
+    assert files and all(gzip.decompress(store.open_input_stream(f, compression=None).read()).startswith(b"WARC/1.1\r\n") for f in files)
     pushed = warc.read_warc(spark, path, payload="false").where("record_type = 'response' AND target_uri LIKE 'http://b%'")
     assert sorted(r["page_id"] for r in pushed.collect()) == [3, 4, 5]
     assert all(r["payload"] is None for r in pushed.collect())
@@ -143,3 +147,62 @@ def test_pipeline_stages(spark):
     assert clean.columns == docs.columns and 900003 not in {r["doc_id"] for r in clean.collect()}
     assert corpus_pipeline.repeated_passages(spark, clean.limit(20), SF).columns == docs.columns
     assert corpus_pipeline.token_ids(spark, clean.limit(5), SF).count() == 5
+
+
+def test_warc_archives_of_other_tools(spark, tmp_path):
+    """No manifest, foreign ids, no HTTP length, no or other digests, records without HTTP."""
+    body = b"<html>x</html>"
+
+    def record(*head, block=b""):
+        lines = b"\r\n".join([b"WARC/1.0", *head, b"Content-Length: %d" % len(block)])
+        return gzip.compress(lines + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    uuid = b"<urn:uuid:6f2d0a3c-0b6a-4c5e-9d0b-1c2d3e4f5a6b>"
+    parts = [
+        record(b"WARC-Type: warcinfo", b"WARC-Record-ID: " + uuid, block=b"software: other\r\n"),
+        record(b"WARC-Type: response", b"WARC-Record-ID: " + uuid, b"WARC-Target-URI: http://a/", b"Content-Type: application/http; msgtype=response", block=http),
+        record(b"WARC-Type: revisit", b"WARC-Record-ID: <urn:page:x>", b"WARC-Refers-To: " + uuid, b"WARC-Payload-Digest: md5:00", b"Content-Type: application/http", block=b"HTTP/1.1 200 OK\r\n\r\n"),
+        record(b"WARC-Type: response", b"WARC-Record-ID: <urn:page:7>", b"WARC-Payload-Digest: sha1:" + hashlib.sha1(b"dns").hexdigest().upper().encode(), b"Content-Type: text/dns", block=b"dns"),
+        record(b"WARC-Type: revisit", b"WARC-Record-ID: <urn:page:8>", b"WARC-Payload-Digest: sha1:!!"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts))
+    got = [tuple(r) for r in warc.read_warc(spark, str(tmp_path)).select("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload").collect()]
+    assert got == [
+        (None, "warcinfo", None, None, None, None),
+        (None, "response", None, len(body), hashlib.sha1(body).hexdigest(), body),
+        (None, "revisit", None, None, None, None),
+        (7, "response", None, 3, hashlib.sha1(b"dns").hexdigest(), b"dns"),
+        (8, "revisit", None, None, None, None),
+    ]
+    (tmp_path / "a.warc.gz").unlink()
+    assert warc.read_warc(spark, str(tmp_path)).count() == 0
+
+
+def test_language_sample_is_strict_and_leaves_no_language_out(spark):
+    """Thousands of copies of the only French text: it is drawn once, and English keeps its bound."""
+    fr, en = "le la les une des est et dans pour avec " * 3, "the of and to in is that it was for with "
+    rows = [(fr, "fr")] * 3000 + [(f"{en} {i}", "en") for i in range(300)]
+    labelled = spark.createDataFrame(rows, "text string, lang string")
+    for bound in (1, 10, 1000):
+        langs, logp = langid.fit_trigrams(labelled, bound)
+        assert langs == ["en", "fr"]
+        # a language without a sample would be flat
+        assert all(row.max() - row.min() > 1 for row in logp)
+    found = langid.identify(langid.document_evidence(labelled.limit(1).selectExpr("1 AS doc_id", "text", "lang", "'s' AS source")), labelled, 10)
+    assert found.first()["text_language"] == "fr"
+
+
+def test_pipeline_judges_rows(spark):
+    """Rows that share a doc_id or have none stay or go each for itself."""
+    fr = " ".join(f"le mot{i} est dans la maison" for i in range(20))
+    en = " ".join(f"the word{i} is in that house" for i in range(20))
+    rows = [(5, en, "en", "s", 1), (5, "", "en", "s", 0), (None, fr, "fr", "s", 2), (None, fr, "fr", "s", 2), (None, "123", "fr", "s", 3), (9, en, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.language_id(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"][:3]) if r["doc_id"] else (0, r["text"][:3]) for r in kept.collect()) == [(0, "le "), (0, "le "), (5, "the"), (9, "the")]
+    one = corpus_pipeline.near_duplicates(spark, kept, SF)
+    assert sorted((r["doc_id"] or 0) for r in one.collect()) == [0, 5]
+    for stage in (corpus_pipeline.language_id, corpus_pipeline.near_duplicates, corpus_pipeline.repeated_passages, corpus_pipeline.benchmark_free):
+        assert stage(spark, docs.limit(0), SF).count() == 0

@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
@@ -45,8 +47,6 @@ PUSHABLE = ("record_type", "target_uri", "record_id", "page_id")
 
 
 def _store(path: str):
-    from pyarrow import fs
-
     return fs.FileSystem.from_uri(path)
 
 
@@ -55,8 +55,23 @@ def record_id(page_id: int | None) -> str:
 
 
 def page_of(rid: str | None) -> int | None:
-    tail = (rid or "").strip("<>").rpartition(":")[2]
-    return int(tail) if tail else None
+    """The page of a record id written here; None for ids of other tools."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", rid or "")
+    return int(found[1]) if found else None
+
+
+def digest_of(value: str | None) -> str | None:
+    """Hex SHA-1 of a digest header in base 32 or hex; None for other or broken ones."""
+    algo, _, text = (value or "").partition(":")
+    text = text.strip()
+    if algo.strip().lower() != "sha1":
+        return None
+    if re.fullmatch(r"[0-9a-fA-F]{40}", text):
+        return text.lower()
+    try:
+        return base64.b32decode(text.upper()).hex()
+    except ValueError:
+        return None
 
 
 # ---------------------------------------------------------------- records
@@ -160,17 +175,22 @@ def read_records(stream, passes, want_payload: bool) -> Iterator[tuple]:
         end = m.upto(b"\r\n\r\n")
         h = _headers(m.out[: end - 4])
         rid, kind, uri = h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri")
-        page = page_of(rid) if (rid or "").startswith("<urn:page:") else None
+        page = page_of(rid)
         if passes({"record_type": kind, "target_uri": uri, "record_id": rid, "page_id": page}):
-            size, payload = None, None
+            size, payload, digest = None, None, digest_of(h.get("warc-payload-digest"))
             if kind in ("response", "revisit"):
-                begin = m.upto(b"\r\n\r\n", end)
-                size = int(_headers(m.out[end : begin - 4]).get("content-length", 0))
-                if want_payload and kind == "response":
-                    stop = end + int(h["content-length"])
-                    payload = m.first(stop)[begin:stop]
-            algo, _, text = h.get("warc-payload-digest", "").partition(":")
-            digest = base64.b32decode(text).hex() if algo == "sha1" else None
+                stop = end + int(h.get("content-length") or 0)
+                begin, http = end, {}
+                if h.get("content-type", "application/http").startswith("application/http") and stop > end:
+                    begin = m.upto(b"\r\n\r\n", end)
+                    http = _headers(m.out[end : begin - 4])
+                if kind == "response":  # its bytes are there, whatever the HTTP headers say
+                    size = max(stop - begin, 0)
+                    if want_payload:
+                        payload = m.first(stop)[begin:stop]
+                        digest = digest or hashlib.sha1(payload).hexdigest()
+                elif (http.get("content-length") or "").isdigit():
+                    size = int(http["content-length"])
             yield page, rid, kind, uri, page_of(h.get("warc-refers-to")), size, digest, payload
         held = m.rest()
 
@@ -203,8 +223,13 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         limit = int(self.options.get("partitionbytes", 32 << 20))
         store, root = _store(self.options["path"])
-        with store.open_input_stream(f"{root}/_manifest.json") as f:
-            files = json.loads(f.read())
+        if store.get_file_info(f"{root}/_manifest.json").type == fs.FileType.NotFound:
+            # a folder of another tool's archives
+            found = store.get_file_info(fs.FileSelector(root))
+            files = sorted((f.base_name, f.size) for f in found if f.base_name.endswith(".warc.gz"))
+        else:
+            with store.open_input_stream(f"{root}/_manifest.json") as f:
+                files = json.loads(f.read())
         parts, now, size = [], [], 0
         for name, n in files:
             if now and size + n > limit:
@@ -228,7 +253,7 @@ class WarcReader(DataSourceReader):
         want = self.options.get("payload", "true") != "false"
         schema = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
         for name in partition.paths:
-            with store.open_input_stream(f"{root}/{name}", buffer_size=1 << 20) as stream:
+            with store.open_input_stream(f"{root}/{name}", compression=None, buffer_size=1 << 20) as stream:
                 rows, size = [], 0
                 for row in read_records(stream, passes, want):
                     rows.append(row)
@@ -255,7 +280,7 @@ class WarcWriter(DataSourceArrowWriter):
             for page, url, kind, refers, payload, size, digest in zip(*cols.values(), strict=True):
                 if out is None:
                     name = f"part-{uuid.uuid4().hex}.warc.gz"
-                    out, raw, packed = store.open_output_stream(f"{root}/{name}"), 0, 0
+                    out, raw, packed = store.open_output_stream(f"{root}/{name}", compression=None), 0, 0
                 record = pack_record(page, url, kind, refers, payload or b"", size, digest, level)
                 out.write(record)
                 raw, packed = raw + len(payload or b""), packed + len(record)
@@ -306,7 +331,10 @@ def records_of(pages: DataFrame, least: int = 1000) -> DataFrame:
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8").alias("payload"))
     base = base.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     many = base.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1").select("payload_digest", "last")
-    base = base.join(many, "payload_digest", "left")
+    # smaller payloads have no partner: a key of their own keeps a million empty pages from one task
+    alone = F.concat(F.lit("page:"), F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit("")))
+    base = base.withColumn("partner", F.when(F.col("payload_bytes") >= least, F.col("payload_digest")).otherwise(alone))
+    base = base.join(many.withColumnRenamed("payload_digest", "partner"), "partner", "left")
     again = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")) & (F.col("payload_bytes") >= least)
     return base.select(
         "page_id",
