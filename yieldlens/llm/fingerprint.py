@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -238,19 +238,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     ranks = rarity_ranks(base)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    borders = sorted({int(x) for x in base.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (8 * parts))})
-    bound = F.array(*[F.lit(x) for x in borders]) if borders else F.array().cast("array<bigint>")
-    number = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(bound, lambda x: x < F.col("doc_id"))))
-    ranged = base.withColumn("range_no", number)
-    firsts = [tuple(r) for r in ranged.groupBy("range_no").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")).alias("f")).select("range_no", "f.doc_id", "f.tie").sort("range_no").collect()]  # one per range
+    # ranges of (doc_id, tie): a null or repeated doc_id is split by the texts' hashes
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tie")
+    keys = base.select(place.alias("place")).repartitionByRange(parts, "place")
+    firsts = sorted(tuple(r["first"]) for r in keys.groupBy(F.spark_partition_id()).agg(F.min("place").alias("first")).collect())  # one a range
     if not firsts:
         return spark.createDataFrame([], _SCHEMA)
+
+    def literal(f) -> Column:
+        return F.struct(F.lit(f[0]).alias("known"), F.lit(f[1]).cast("bigint").alias("doc_id"), F.lit(f[2]).cast("bigint").alias("tie"))
+
+    bound = F.array(*[literal(f) for f in firsts])
+    number = F.greatest(F.size(F.filter(bound, lambda x: x <= F.col("place"))) - 1, F.lit(0))
+    ranged = base.withColumn("place", place).withColumn("range_no", number)
     # the first document of each range is also sent to the range before it, that of the first range to the last
-    ahead = [(firsts[i - 1][0], d, t) for i, (_, d, t) in enumerate(firsts)]
-    extra = spark.createDataFrame(ahead, "to_range int, doc_id bigint, tie bigint")
-    copies = base.alias("b").join(F.broadcast(extra.alias("e")), F.col("b.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("b.tie") == F.col("e.tie"))).select(F.col("to_range").alias("range_no"), F.col("b.doc_id").alias("doc_id"), F.col("b.tie").alias("tie"), "text", F.lit(True).alias("ahead"))
+    ahead = [((i - 1) % len(firsts), *f) for i, f in enumerate(firsts)]
+    extra = spark.createDataFrame(ahead, "to_range int, known boolean, id bigint, t bigint")
+    same = (F.col("place.known") == F.col("known")) & (F.col("place.doc_id") == F.col("id")) & (F.col("place.tie") == F.col("t"))
+    copies = ranged.join(F.broadcast(extra), same).select(F.col("to_range").alias("range_no"), "doc_id", "tie", "text", F.lit(True).alias("ahead"))
     rows = ranged.select("range_no", "doc_id", "tie", "text", F.lit(False).alias("ahead")).unionByName(copies)
-    rows = rows.repartition(parts, "range_no").sortWithinPartitions("range_no", "ahead", "doc_id", "tie").select("range_no", "doc_id", "text", "ahead")
+    # range k goes to partition k
+    rows = rows.repartitionById(len(firsts), F.col("range_no")).sortWithinPartitions("range_no", "ahead", "doc_id", "tie").select("range_no", "doc_id", "text", "ahead")
     return rows.mapInArrow(_fingerprint(ranks), _SCHEMA)
 
 
