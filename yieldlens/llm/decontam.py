@@ -9,7 +9,8 @@ last block selects a bucket of test patterns, and direct comparison confirms. Pa
 are searched by classes of length, as short ones limit the shifts of a class.
 
 The benchmark is not assumed small: items are taken in blocks of at most ``BLOCK_BYTES``
-of text, each block is broadcast and searched in a pass of its own (Arrow batches, no
+of text that Spark writes to the shared folder; tasks open them by number, and each is searched
+in a pass of its own (Arrow batches, no
 shuffle), and the passes hand their findings on in the row.
 
 Edge cases: null or empty texts have no words; null item texts and items without words are
@@ -27,9 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from ..operators.ordering import running_sums
 from ..session import table
-from .common import pieces, ragged
+from .common import pieces, ragged, shared_path, written
 
 BLOCK_BYTES = 8 << 20
 SEGMENT = 4096
@@ -167,9 +170,9 @@ def make_searchers(items: list[tuple[str, str]], words: int):
     return searchers, sizes, owners
 
 
-def _pass(block, words: int):
+def _pass(path: str, number: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = block.value
+        items = read_block(path, number)
         searchers, sizes, owners = make_searchers(items, words)
         for b in pieces(batches, "text", 2 << 20):
             found = find_windows(b.column("text").to_pylist(), items, searchers, sizes, owners)
@@ -200,30 +203,41 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(n) for n in keep] + cols, names=[*keep, *_ADDED])
 
 
-def item_blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """Distinct (item_id as string, text) in blocks of at most ``limit`` characters (one item at least)."""
-    rows = items.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct().sort("item_id", "text")
-    block, size = [], 0
-    for r in rows.toLocalIterator():
-        if block and size + len(r["text"]) > limit:
-            yield block
-            block, size = [], 0
-        block.append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    if block:
-        yield block
+def item_blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> tuple[str, int]:
+    """Write the distinct (item_id as string, text) to the shared folder in blocks of about ``limit``
+    characters (folders ``block=0``, ``block=1``, …); return the path and the number of blocks."""
+    rows = items.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
+    sized = running_sums(rows, [], ["item_id", "text"], {"upto": F.length("text")})
+    block = F.floor((F.col("upto") - F.length("text")) / F.lit(limit)).cast("int")
+    # a block may be left out where one long item covers it
+    sized = written(sized.select("item_id", "text", block.alias("start")), "item-sizes")
+    numbers = sized.select("start").distinct().sort("start").withColumn("block", F.row_number().over(W.orderBy("start")) - 1)  # one row a block
+    path = shared_path(items.sparkSession, "item-blocks")
+    sized.join(F.broadcast(numbers), "start").select("item_id", "text", "block").write.partitionBy("block").parquet(path)
+    return path, numbers.count()
+
+
+def read_block(path: str, number: int) -> list[tuple[str, str]]:
+    """The items of a block, read inside a task."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(f"{path}/block={number}")
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(name)) if f.base_name.endswith(".parquet"))
+    rows = [pq.read_table(f, filesystem=store, columns=["item_id", "text"], partitioning=None) for f in files]
+    return [r for t in rows for r in zip(t.column("item_id").to_pylist(), t.column("text").to_pylist(), strict=True)]
 
 
 def contamination(docs: DataFrame, items: DataFrame, words: int = 10) -> DataFrame:
     """``docs`` (with a column text) plus n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
     out = docs.withColumn("__spans", F.lit(None).cast("array<int>")).withColumn("__items", F.lit(None).cast("array<string>"))
     out = out.withColumn("text", F.coalesce("text", F.lit("")))
     search = None
-    for block in item_blocks(items):
+    path, blocks = item_blocks(items)
+    for number in range(blocks):
         if search:
             out = out.mapInArrow(search, out.schema)
-        search = _pass(spark.sparkContext.broadcast(block), words)
+        search = _pass(path, number, words)
     # the last block's worker also writes the report
     report = _report if search is None else lambda batches: _report(search(batches))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in _ADDED)
