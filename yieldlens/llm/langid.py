@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import first_n
 from ..session import table
 from .common import mix64, pieces, written
 
@@ -78,8 +79,11 @@ def fit_trigrams(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) ->
     if not sizes:
         return [], np.zeros((0, BUCKETS))
     langs = sorted(sizes)
-    part = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_per_lang / sizes[k]))])
-    picked = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < part[F.col("lang")] * (1 << 30))
+    # the smallest hashes of distinct texts: copies count once, and every language has its share
+    h = F.xxhash64("text").alias("h")
+    chosen = first_n(known.select("lang", h).distinct(), ["lang"], ["h"], sample_per_lang).select("lang", "h")
+    hashed = known.withColumn("h", h).join(F.broadcast(chosen), ["lang", "h"], "left_semi")  # sample_per_lang rows a language
+    picked = hashed.groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
     counts = np.zeros((len(langs), BUCKETS))
     for r in picked.mapInArrow(_train, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():  # ≤ languages × BUCKETS
         counts[langs.index(r["lang"]), r["bucket"]] = r["n"]
