@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from yieldlens.llm import alignment
+from yieldlens.llm import alignment, words
 
 A, B = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 ODD = ["a", "b", "the", "ing", " ", "  ", "\n", "\t", "\r", "\x1c", "\u00a0", "\u3000", "\x85", "é", "漢", "字", "\U0001f600", "9", "12", "'s", "'", "%", "\u0301", "\u200b", "\x00", "<s>"]
@@ -26,7 +26,7 @@ def brute(rows):
     tok = Tokenizer.from_file(A)
     tok.encode_special_tokens = True
     names = {i: t for t, i in json.load(open(A, encoding="utf-8"))["model"]["vocab"].items()}
-    byte = alignment.bytes_of_unicode()
+    byte = words.bytes_of_unicode()
     sp = sentencepiece.SentencePieceProcessor(model_file=B)
     docs, count = [], Counter()
     for doc_id, text in rows:
@@ -81,13 +81,13 @@ def test_empty_table(spark):
 
 
 def test_words_and_links():
-    assert alignment.words_of("a b") == ["a", "b"]
-    assert alignment.words_of(" a\n b ") == [" a\n b", ""]
-    assert alignment.words_of("") == [""]
+    assert words.words_of("a b") == ["a", "b"]
+    assert words.words_of(" a\n b ") == [" a\n b", ""]
+    assert words.words_of("") == [""]
     b = alignment.Pieces(B)
     assert b.cuts
 
-    class Letters(alignment.Side):
+    class Letters(words.Side):
         def __init__(self, sizes, marks):
             self.load({i: b"x" * n for i, n in enumerate(sizes)}, marks)
 

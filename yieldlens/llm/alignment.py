@@ -27,8 +27,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,11 +37,11 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .common import pieces, ragged, written
+from .words import ByteLevel, Remembered, Side, bytes_of_unicode, encode_words, words_of
 
 BLANK = "▁"
-SPACED = re.compile(r"\s ")
-#: bytes of text aligned at a time, bytes of words encoded at a time, words remembered by a task
-PIECE, JOINED, REMEMBERED = 1 << 20, 1 << 11, 120_000
+#: bytes of text aligned at a time
+PIECE = 1 << 20
 #: the most pairs that every task gets with their counts
 HOT = 1 << 19
 #: pairs counted in a task before they go on to the grouped sum
@@ -60,45 +58,27 @@ SCORED = """doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigi
 # ---------------------------------------------------------------- tokenizers
 
 
-def bytes_of_unicode() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
-
-
-class Side:
-    """Token bytes, their number, and the id as text before each separator."""
-
-    def load(self, tokens: dict[int, bytes], marks: str) -> None:
-        n = max(tokens) + 1
-        self.bytes = np.array([tokens.get(i, b"") for i in range(n)] + [None], object)[:-1]
-        self.size = np.array([len(t) for t in self.bytes], np.int64)
-        self.shown = np.array([[f"{i}{m}" for i in range(n)] for m in marks], object)
-        self.line = self.encode(["\n"])[0][-1]
-
-
-class ByteLevel(Side):
-    """A: a tokenizers file; strings of special tokens are plain text."""
+class Ranked(ByteLevel):
+    """The same ids from the ranks of the vocabulary, much faster, where its ids rise in the order of its
+    merges (else every call goes to the file's own library)."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import public_tokenizers
+        import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        byte = bytes_of_unicode()
-        self.load({i: bytes(byte[c] for c in t) for t, i in vocab.items() if all(c in byte for c in t)}, ",|")
+            model = json.load(f)["model"]
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        self.ranked = None
+        if all(x < y for x, y in zip(merged, merged[1:], strict=False)):
+            byte = bytes_of_unicode()
+            ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if all(c in byte for c in t)}
+            if all(bytes([b]) in ranks for b in range(256)) and len(ranks) == 256 + len(merged):
+                self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        super().__init__(path)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, as it is."""
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word with its blank."""
-        return self.encode([" " + w for w in words])
+        return super().encode(texts) if self.ranked is None else [self.ranked.encode_ordinary(t) for t in texts]
 
 
 class Pieces(Side):
@@ -122,57 +102,19 @@ class Pieces(Side):
         return [ids if w else [self.blank] for w, ids in zip(words, self.encode(words), strict=True)]
 
 
-def words_of(text: str) -> list[str]:
-    """Words of a blank and ``text``, each without its first blank: cut before every blank that follows a
-    character other than white space."""
-    parts = text.split(" ")
-    if not text.startswith(" ") and not SPACED.search(text):
-        return parts
-    out = []
-    whole = True  # whether the last word may end here
-    for part in parts:
-        if whole:
-            out.append(part)
-        else:
-            out[-1] += " " + part
-        whole = part != "" and not part[-1].isspace()
-    return out
-
-
-def encode_words(plain: list[str], alone: list[str], side: Side) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words in turn and their number a word. ``plain`` words (no line feed, no white space
-    at their end) are encoded many at a time, a line each, ``alone`` ones each for itself."""
-    groups, held, size = [], [], 0
-    for w in plain:
-        held.append(w)
-        size += len(w)
-        if size >= JOINED:
-            groups.append("\n ".join(held) + "\n")
-            held, size = [], 0
-    if held:
-        groups.append("\n ".join(held) + "\n")
-    found = [np.array(ids, np.int64) for ids in side.words(groups)]
-    flat = np.concatenate([np.zeros(0, np.int64), *found])
-    line = flat == side.line
-    n = np.diff(np.flatnonzero(line), prepend=-1) - 1
-    rest = side.words(alone)
-    ids = np.concatenate([flat[~line], *[np.array(x, np.int64) for x in rest]])
-    return ids, np.concatenate([n, [len(x) for x in rest]]).astype(np.int64)
-
-
 # ---------------------------------------------------------------- alignment
 
 
-class Words:
-    """Aligned words that a task remembers: numbers by word, and for each its tokens (A, B), groups,
-    links, the groups as text, and its links as numbers a * 2**32 + b."""
+class Words(Remembered):
+    """Aligned words that a task remembers: for each its tokens (A, B), groups, links, the groups
+    as text, and its links as numbers a * 2**32 + b."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = ByteLevel(path_a), Pieces(path_b)
-        self.clear()
+        self.a, self.b = Ranked(path_a), Pieces(path_b)
+        super().__init__()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        super().clear()
         self.stats = np.zeros((0, 4), np.int64)
         self.text: list[str | None] = []
         self.links = np.zeros(0, np.int64)
@@ -180,23 +122,7 @@ class Words:
     def cut(self, text: str) -> list[str]:
         return words_of(text) if self.b.cuts else [text]
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """The number of every word; those not seen before are encoded and aligned."""
-        number = self.number
-        new = list(dict.fromkeys(w for w in words if w not in number))
-        if new and len(number) > REMEMBERED:
-            self.clear()
-            number, new = self.number, list(dict.fromkeys(words))
-        if new:
-            alone = [w for w in new if not w or "\n" in w or w[-1].isspace()]
-            if alone:
-                skip = set(alone)
-                new = [w for w in new if w not in skip]
-            number.update(zip(new + alone, range(len(number), len(number) + len(new) + len(alone)), strict=True))
-            self._add(new, alone)
-        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-
-    def _add(self, plain: list[str], alone: list[str]) -> None:
+    def add(self, plain: list[str], alone: list[str]) -> None:
         words = plain + alone
         data = [b" " + w.encode() for w in words]
         ids, n = zip(*(encode_words(plain, alone, side) for side in (self.a, self.b)), strict=True)
@@ -237,7 +163,8 @@ def align(ids_a: np.ndarray, ids_b: np.ndarray, a: Side, b: Side, word_ends: np.
     shared = sorted(at_a.keys() & at_b.keys())
     last_a, last_b = (np.fromiter(map(at.__getitem__, shared), np.int64, len(shared)) for at in (at_a, at_b))
     shared = np.array(shared, np.int64)
-    every = np.union1d(ends_a, ends_b)
+    every = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+    every = every[np.concatenate([np.ones(min(len(every), 1), bool), every[1:] != every[:-1]])]
     links = ids_a[np.searchsorted(ends_a, every)] << 32 | ids_b[np.searchsorted(ends_b, every)]
     n_groups, n_links = (np.diff(np.searchsorted(x, word_ends, "right"), prepend=0) for x in (shared, every))
     # text: A's ids of a group, each before "," or a last "|", then B's before ",", ";" or the end of a word
