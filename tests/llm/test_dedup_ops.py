@@ -177,6 +177,76 @@ def test_entropy_and_likeness():
     assert fingerprint.likeness(da, dc) > 0.6 > 0.2 > fingerprint.likeness(da, db)
 
 
+def plain_digest(data: bytes, ranks) -> list[set]:
+    """Chained filters (sets of bits) by loops over windows and neighbourhoods."""
+    steps = fingerprint._entropy_steps().tolist()
+    n = max(len(data) - 63, 0)
+
+    def entropy_class(i: int) -> int:
+        total = sum(sum(steps[1 : c + 1]) for c in collections.Counter(data[i : i + 64]).values())
+        return int(np.clip(np.rint((6 - total / (2.0**32 * 64)) / 6 * 1023), 0, 1023))
+
+    rank = [int(ranks[entropy_class(i)]) for i in range(n)]
+    points = collections.Counter()
+    span = min(64, n)
+    for i in range(n - span + 1 if n else 0):
+        best = min(range(i, i + span), key=lambda j: (rank[j], j))
+        points[best] += 1
+    need = min(16, max(1, (n - 64) // 8))
+    chosen = [j for j in sorted(points) if rank[j] < 1024 and points[j] >= need]
+
+    def mix(x: int) -> int:
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x ^= x >> 33
+            x = x * m % 2**64
+        return x ^ x >> 33
+
+    features = []
+    for j in chosen:
+        h = 0
+        for k in range(0, 64, 8):
+            h = mix((h * 0x9E3779B97F4A7C15 + int.from_bytes(data[j + k : j + k + 8], "little")) % 2**64)
+        features.append([h >> 11 * k & 2047 for k in range(5)])
+    if not features and data:
+        d = hashlib.sha1(data).digest()
+        features = [[int.from_bytes(d[2 * k : 2 * k + 2], "little") & 2047 for k in range(5)]]
+    return [{b for f in features[k : k + 160] for b in f} for k in range(0, len(features), 160)]
+
+
+def plain_likeness(a: list[set], b: list[set]) -> float:
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    if len(a) > len(b):
+        a, b = b, a
+
+    def score(x: set, y: set) -> float:
+        chance, most = len(x) * len(y) / 2048, min(len(x), len(y))
+        return min(max((len(x & y) - chance) / (most - chance), 0), 1) if most > chance else 0.0
+
+    return sum(max(score(x, y) for y in b) for x in a) / len(a)
+
+
+def test_fingerprints_against_loops():
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abcdefghij klmnopé", k=rng.choice((0, 3, 63, 64, 65, 100, 130, 200, 500)))).encode() for _ in range(40)]
+    texts += [texts[-1][: len(texts[-1]) * 3 // 4] + texts[0][:40], b"a" * 300, bytes(range(256)), texts[5], b"ab" * 40, "".join(rng.choices("abcdefghijklmnop", k=6000)).encode()]
+    counts = np.bincount(np.concatenate([fingerprint.entropy_classes(np.frombuffer(t, np.uint8)) for t in texts]), minlength=1024)
+    ranks = np.empty(1024, np.int32)
+    ranks[np.lexsort((np.arange(1024), counts))] = np.arange(1024)
+    ranks[:100] = ranks[990:] = 1024
+    got = fingerprint.digests(texts, ranks)
+    want = [plain_digest(t, ranks) for t in texts]
+    assert max(map(len, want)) > 1
+    for g, w in zip(got, want, strict=True):
+        assert [set(np.flatnonzero(f).tolist()) for f in g] == w
+    for i in range(len(texts)):
+        j = rng.randrange(len(texts))
+        assert abs(fingerprint.likeness(got[i], got[j]) - plain_likeness(want[i], want[j])) < 1e-6
+    assert abs(fingerprint.likeness(got[39], got[40]) - plain_likeness(want[39], want[40])) < 1e-6
+
+
 def test_fingerprint_rows(spark):
     rng = random.Random(1)
     texts = [None, "", "short", "short"] + ["".join(rng.choice("abcdé fgh") for _ in range(rng.randint(1, 900))) for _ in range(60)]
@@ -193,3 +263,41 @@ def test_fingerprint_rows(spark):
     assert got[6]["fingerprint"] == got[9]["fingerprint"]
     assert fingerprint.fingerprints(df.limit(0)).count() == 0
     assert fingerprint.fingerprints(df.where("doc_id = 6")).first()["near_next"] == 1.0
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Shared and null doc_ids: rows are told apart by their key, one of each group stays."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(0, 5, a), (1, 5, b), (2, 3, b), (3, 9, a + " end"), (4, None, a), (5, None, "x y z"), (6, None, "x y z"), (7, None, "x y z"), (8, 1, ""), (9, None, None), (10, 7, "alone here"), (11, 5, b)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "row bigint, doc_id bigint, text string, component string").drop("component")
+    marks = minhash.near_duplicate_rows(df, "row", 80).collect()
+    assert {r["row"] for r in marks if not r["stays"]} == {3, 4, 1, 11, 6, 7}
+    assert {r["row"] for r in marks if r["stays"]} == {0, 2, 5} and {r["copies"] for r in marks} == {1}
+    equal = df.where("row IN (1, 11)").selectExpr("doc_id AS row", "doc_id", "text")
+    assert [(r["copies"], r["stays"]) for r in minhash.near_duplicate_rows(equal, "row", 80).collect()] == [(2, True)]
+    assert minhash.near_duplicate_rows(df.limit(0), "row", 80).count() == 0
+
+
+def test_merged_components(spark):
+    comps = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node bigint, comp bigint")
+    links = spark.createDataFrame([(2, 6), (9, 20), (30, 31), (1, 2)], "a bigint, b bigint")
+    got = {r["node"]: r["comp"] for r in minhash.merged_components(comps, links).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8, 20: 8, 30: 30, 31: 30}
+    none = minhash.merged_components(comps, links.limit(0)).collect()
+    assert {r["node"]: r["comp"] for r in none} == {1: 1, 2: 1, 5: 5, 6: 5, 8: 8, 9: 8}
+
+
+def test_fingerprints_of_many_rows_without_or_with_one_id(spark):
+    """Null and repeated doc_ids are split over ranges; every row meets the next one in (doc_id, text hash) order."""
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(rng.randint(1, 40)))
+    rows = [(None, text()) for _ in range(30)] + [(7, text()) for _ in range(40)] + [(k, text()) for k in range(20)] + [(3, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    tie = {r["text"]: r["h"] for r in df.selectExpr("coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS h").collect()}
+    order = sorted(((d is not None, d or 0, tie[t or ""], t or "") for d, t in rows))
+    want = []
+    for (known, d, _, t), (*_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        n = len(t) // 4
+        want.append((d if known else None, len(t), hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest()))
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprint.fingerprints(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

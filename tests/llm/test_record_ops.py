@@ -47,6 +47,24 @@ def test_shard_table():
     assert moved < 0.15 * 701
 
 
+def test_fill_against_turns_written_out():
+    """Each shard's whole preference list, turn after turn."""
+    for shards, slots in (([f"s{i}" for i in range(5)], 53), (["only"], 7), ([f"x{i}" for i in range(11)], 11), (sharding.SHARDS, sharding.SLOTS)):
+        lists = []
+        for s in shards:
+            d = hashlib.md5(s.encode()).hexdigest()
+            offset, skip = int(d[:8], 16) % slots, int(d[8:16], 16) % (slots - 1) + 1
+            order = [(offset + j * skip) % slots for j in range(slots)]
+            assert len(set(order)) == slots  # a permutation, as the size is prime
+            lists.append(iter(order))
+        taken = {}
+        while len(taken) < slots:
+            for k, prefers in enumerate(lists):
+                if len(taken) < slots:
+                    taken[next(x for x in prefers if x not in taken)] = k
+        assert sharding.fill_table(shards, slots) == [taken[i] for i in range(slots)]
+
+
 def test_placement(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (7, None)], "k bigint, shard string")
     rows = {(r["k"], r["slot"], r["shard"]) for r in sharding.place(df, "k", sharding.SHARDS, sharding.SLOTS).collect()}

@@ -18,8 +18,10 @@ hub is hot.
 Edge cases: null or empty texts have an empty set, link with nothing and form their own
 component; fewer words than a shingle make one shingle of the whole sequence; rows that
 repeat a doc_id keep one row each and share its component when their texts agree; a null
-doc_id takes part in links but never becomes a component's id unless all are null, and is
-kept only if it is alone; columns other than doc_id and text are ignored.
+doc_id takes part in links but never becomes a component's id unless all are null. ``kept``
+is doc_id = component_id (null equal to null), so rows that share the smallest doc_id, and all
+rows of a group without any id, are kept; ``near_duplicate_rows`` lets one row of each group stay.
+Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -91,7 +93,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return (mix64(out) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
-def _sets_of(words: int):
+def _sets_of(words: int, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
         for b in pieces(batches, "text", 1 << 19):
@@ -99,13 +101,14 @@ def _sets_of(words: int):
             sig = signatures(sets)
             yield pa.RecordBatch.from_arrays(
                 [
+                    *[b.column(c) for c in carried],
                     b.column("doc_id"),
                     b.column("row_key"),
                     pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([r.tobytes() for r in sig], pa.binary()),
                 ],
-                names=["doc_id", "row_key", "set_hash", "n_shingles", "sig"],
+                names=[*carried, "doc_id", "row_key", "set_hash", "n_shingles", "sig"],
             )
 
     return run
@@ -228,15 +231,31 @@ def merged_components(comps: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(single), "minhash-comps")
 
 
-def minhash_components(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+def near_duplicate_rows(docs: DataFrame, row: str, percent: int = 85, words: int = 5) -> DataFrame:
+    """``row`` (a key of the rows of ``docs``, equal for equal rows only), ``copies`` (rows of that key) and
+    ``stays`` for the rows of all groups of more than one row. One key of each group stays, and one row
+    of it: that with the smallest doc_id, rows without one last, then that with the smallest key."""
+    found = minhash_components(docs, percent, words, (row,)).where("component IS NOT NULL")
+    found = written(found.groupBy("component", row).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "minhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col(row).alias("r")))
+    groups = found.groupBy("component").agg(first.alias("first"), F.sum("copies").alias("rows")).where("rows > 1")
+    marked = found.join(groups.select("component", F.col("first.r").alias("r")), "component")
+    return marked.select(row, "copies", (F.col(row) == F.col("r")).alias("stays"))
+
+
+def minhash_components(docs: DataFrame, percent: int = 85, words: int = 5, carried: tuple = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text); with ``carried``
+    columns also those and ``component``, an arbitrary number of the component, null for empty sets.
 
     Links are sets with 100 · |∩| ≥ percent · |∪|.
     """
     least = least_estimate(percent / 100)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    carried = list(carried)
+    base = docs.select(*carried, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     base = base.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    sets = written(base.mapInArrow(_sets_of(words), _SETS), "minhash-sets")
+    types = dict(base.dtypes)
+    fields = "".join(f"`{c}` {types[c]}, " for c in carried) + _SETS
+    sets = written(base.mapInArrow(_sets_of(words, carried), fields), "minhash-sets")
     classes = (
         sets.where("n_shingles > 0")
         .groupBy("set_hash")
@@ -299,10 +318,10 @@ def minhash_components(docs: DataFrame, percent: int = 85, words: int = 5) -> Da
     # smallest doc_id of each component, then back to the rows
     member = classes.select("node", "set_hash", "low_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     low = member.groupBy("comp").agg(F.min("low_id").alias("component_id"))
-    found = member.join(low, "comp").select("set_hash", "component_id")
-    rows = sets.select("doc_id", "n_shingles", "set_hash").join(found, "set_hash", "left")
+    found = member.join(low, "comp").select("set_hash", "component_id", F.col("comp").alias("component"))
+    rows = sets.select(*carried, "doc_id", "n_shingles", "set_hash").join(found, "set_hash", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return rows.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), *(["component", *carried] if carried else []))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

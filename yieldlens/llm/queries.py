@@ -20,4 +20,4 @@ QUERIES = {
     "op13_url_filter": urlfilter.op13_url_filter,
 }
 
-ORACLE = {"op3_warc": warc.OP3_SQL, "op8_license_scan": licenses.OP8_SQL, "op12_centroids": centroids.OP12_SQL, "op13_url_filter": urlfilter.OP13_SQL}
+ORACLE = {"op2_sharding": sharding.OP2_SQL, "op3_warc": warc.OP3_SQL, "op8_license_scan": licenses.OP8_SQL, "op12_centroids": centroids.OP12_SQL, "op13_url_filter": urlfilter.OP13_SQL}

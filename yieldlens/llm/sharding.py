@@ -66,3 +66,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's slot and shard: 64 shards, 6,421 slots (the first prime over 100 a shard)."""
     return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS, SLOTS).select("doc_id", "slot", "shard")
 
+
+def op2_sql() -> str:
+    """The same for DuckDB, with the filled table as a list."""
+    filled = ", ".join(map(str, fill_table(SHARDS, SLOTS)))
+    names = ", ".join(f"'{s}'" for s in SHARDS)
+    slot = f"(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT % {SLOTS})::INTEGER"
+    return f"SELECT doc_id, slot, ([{names}])[([{filled}])[slot + 1] + 1] AS shard FROM (SELECT doc_id, {slot} AS slot FROM documents)"
+
+
+OP2_SQL = op2_sql()
