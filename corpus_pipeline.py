@@ -4,8 +4,9 @@ Every stage takes (spark, docs, sf_dir) and works on all documents that the one
 kept; ``run`` writes each result as Parquet in the shared folder and reads it again. All but
 the last return the columns of ``docs``.
 
-Edge cases: each operator's docstring states its own. doc_id is the documents' key: rows of
-one doc_id stay or go together, rows without one share a decision.
+Edge cases: each operator's docstring states its own. Documents are judged row by row: rows that
+share a doc_id, or have none, stay or go each for itself, and one row of each group of
+near-duplicates stays.
 """
 
 from __future__ import annotations
@@ -25,22 +26,39 @@ NEAR_PERCENT = 80
 PASSAGE_WORDS = 51
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the doc_ids of ``gone`` (written first, so that its size is known to the planner)."""
-    gone = written(gone.select(F.col("doc_id").alias("gone_id")).distinct(), "pipeline-gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+#: name of the row key that a stage uses inside
+ROW = "pipeline_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of 128 bits that is equal for equal rows only; nothing is written for it."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    halves = [F.hex(F.xxhash64(F.lit(k), *[c.isNull() for c in cols], *cols)) for k in (1, 2)]
+    return docs.withColumn(ROW, F.concat(*[F.lpad(h, 16, "0") for h in halves]))
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` without those of ``gone`` (row keys, written first, so that their size is known to the planner)."""
+    return rows.join(written(gone.select(ROW).distinct(), "pipeline-gone"), ROW, "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: declared language, source and text are fused."""
-    found = langid.identify(langid.document_evidence(docs), docs.select("text", "lang"))
+    rows = _keyed(docs)
+    found = langid.identify(langid.document_evidence(rows.withColumn("doc_id", F.col(ROW))), docs.select("text", "lang"))
     rejected = F.col("language").isNull() | (F.col("n_grams") == 0) | (F.col("confidence") < MIN_CONFIDENCE)
-    return _without(docs, found.where(rejected).select(F.col("key").alias("doc_id")))
+    return _without(rows, found.where(rejected).select(F.col("key").alias(ROW))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near-duplicates."""
-    return _without(docs, minhash.minhash_components(docs, NEAR_PERCENT).where("NOT kept"))
+    rows = _keyed(docs)
+    marks = written(minhash.near_duplicate_rows(rows, ROW, NEAR_PERCENT), "pipeline-marks")
+    left = _without(rows, marks.where("NOT stays"))
+    # of equal rows that stay one is taken; only those are grouped, with one row a task after the map side
+    twice = marks.where("stays AND copies > 1").select(ROW)
+    one = left.join(twice, ROW, "left_semi").groupBy(ROW).agg(F.first(F.struct(*docs.columns)).alias("one")).select("one.*")
+    return left.join(twice, ROW, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
