@@ -11,11 +11,11 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from yieldlens.llm import bytebpe, decontam, huffman, pretoken
+from yieldlens.llm import bytebpe, decontam, huffman, pretoken, words
 from yieldlens.llm.common import SpanHasher
 
 ODD = " \t\n  '''strevlmdSAé9½%# 　漢\U0001f600"
-TEXTS = [None, "", " ", "\n\n  x", "I'll we've 'tis don't's", "é" * 700, "x" * 3000, "abab" * 500, "日本語 text 123\t\r\n end ", "<|endoftext|> a", "same", "same", "͸ unassigned ՘x"]
+TEXTS = [None, "", " ", "\n\n  x", "I'll we've 'tis don't's", "é" * 700, "x" * 3000, "abab" * 500, "日本語 text 123\t\r\n end ", "<|endoftext|> a", "a <|endoftext|>b<|endoftext|>", "same", "same", "͸ unassigned ՘x"]
 
 
 @pytest.fixture(scope="module")
@@ -66,8 +66,8 @@ def test_huffman_lengths_are_optimal_and_limited():
 
 def test_token_files_round_trip(spark, docs):
     got = [tuple(r) for r in huffman.read_token_files(huffman.write_token_files(docs, huffman.tokenizer_file())).orderBy("start").collect()]
-    tok = Tokenizer.from_file(huffman.tokenizer_file())
-    tok.encode_special_tokens = True
+    tok = Tokenizer.from_file(huffman.tokenizer_file())  # as it comes: an added token in a text is one token
+    assert 50256 in tok.encode("a <|endoftext|> b", add_special_tokens=False).ids
     want = {}
     for r in docs.collect():
         ids = np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
@@ -80,6 +80,55 @@ def test_token_files_round_trip(spark, docs):
     assert huffman.read_token_files(huffman.write_token_files(docs.limit(0), huffman.tokenizer_file())).count() == 0
 
 
+def test_splitter_by_the_librarys_classes():
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    random.seed(6)
+    splitter, cut = pretoken.Splitter(pretoken.library_classes()), ByteLevel(add_prefix_space=False)
+    some = [chr(c) for c in (0x558, 0x88F, 0x378, 0x11DE0, 0x1E4F0, 0x323B0, 0x180E, 0x200B, 0xA0, 0x2028)]
+    for _ in range(400):
+        t = "".join(random.choice([*ODD, *some]) for _ in range(random.randint(1, 20)))
+        points, _ = pretoken.code_points([t])
+        at = [*splitter.split(points, np.array([0])).tolist(), len(points)]
+        assert list(zip(at, at[1:], strict=False)) == [span for _, span in cut.pre_tokenize_str(t)]
+
+
+def test_key_slots_and_distinct():
+    rng = np.random.default_rng(7)
+    few = pretoken.KeySlots(50)
+    held = np.zeros(0, np.uint64)
+    for _ in range(9):
+        # keys that share their first bits want the same slots
+        keys = np.unique(rng.integers(0, 6, 12).astype(np.uint64) << np.uint64(58) | rng.integers(0, 9, 12).astype(np.uint64))
+        want = [int(np.flatnonzero(held == k)[0]) if (held == k).any() else -1 for k in keys]
+        assert few.find(keys).tolist() == want
+        new = keys[few.find(keys) < 0]
+        few.add(new)
+        held = np.concatenate([held, new])
+    for n in (0, 1, 5, 4000):
+        key = rng.integers(0, 50, n).astype(np.uint64) << np.uint64(57) | rng.integers(0, 4, n).astype(np.uint64)
+        sample, number = pretoken.distinct(key)
+        assert (key[sample][number] == key).all() and len(sample) == len(np.unique(key))
+
+
+def test_word_ids_are_the_librarys():
+    random.seed(4)
+    side = words.ByteLevel(huffman.tokenizer_file())
+    known = words.WordIds(side)
+    texts = ["".join(random.choice(ODD + "\x1c\x85\u180e\u200b") for _ in range(random.randint(0, 25))) for _ in range(3000)] + [t or "" for t in TEXTS]
+    got = known.of_texts(texts[:1500]) + known.of_texts(texts[1500:])
+    assert [g.tolist() for g in got] == [e.ids for e in side.tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_forgotten_and_met_again(monkeypatch):
+    monkeypatch.setattr(words, "REMEMBERED", 5)
+    side = words.ByteLevel(huffman.tokenizer_file())
+    known = words.WordIds(side)
+    for k in range(6):
+        texts = [f"some words {k} {i} again" for i in range(4)]
+        assert [g.tolist() for g in known.of_texts(texts)] == side.encode(texts)
+
+
 def test_wu_manber_finds_all():
     rng = random.Random(5)
     for shortest in (3, 5, 9, 20):
@@ -91,10 +140,10 @@ def test_wu_manber_finds_all():
 
 
 def test_contamination_against_brute_force(spark, monkeypatch):
-    words = [f"w{i}" for i in range(40)]
+    vocab = [f"w{i}" for i in range(40)]
     rng = random.Random(2)
-    items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate((14, 10, 3, 1, 25))] + [(None, "null id item"), (7, None), (8, "?!"), (0, "other text of item zero")]
-    docs = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(20)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(n))) for i, n in enumerate((14, 10, 3, 1, 25))] + [(None, "null id item"), (7, None), (8, "?!"), (0, "other text of item zero")]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(60))) for i in range(20)]
     docs += [(30, "X, " + items[0][1].upper().replace(" ", "--") + " y"), (31, items[4][1] * 2), (32, None), (33, ""), (34, "null id item"), (34, "null id item"), (None, items[1][1])]
     d = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "'x' AS spans", "1 AS n_words")
     frame = spark.createDataFrame(items, "item_id bigint, text string")

@@ -1,9 +1,8 @@
 """Token-id files: canonical length-limited Huffman codes in independent blocks.
 
 Texts are encoded once with the tokenizers library. The library gets each distinct match of
-its splitting pattern once per task (whole texts only where a code point is unassigned, as
-Unicode versions may differ there); ids are the same as those of the whole text, which tests
-check. Global counts of ids come from a grouped sum and give one canonical code of at most
+its splitting pattern once per task, by its own classes of code points; a text that holds the
+content of an added token goes to it whole, as that is one token there. Global counts of ids come from a grouped sum and give one canonical code of at most
 ``limit`` bits (package-merge). Files hold blocks of whole documents in ascending doc_id
 order: doc_ids, token counts, a bit-offset checkpoint for every 256th token, and the bits.
 A block decodes without any other: all its checkpoints advance in step, one table lookup
@@ -28,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +35,13 @@ from pyspark.sql import Window as W
 
 from ..session import table
 from .common import SpanHasher, pieces, ragged, shared_path, written
-from .pretoken import Splitter, WordBatch, WordCache
+from .pretoken import Splitter, WordBatch, WordCache, library_classes
 
 MAGIC = b"HUFIDS01"
 STEP = 256
 BLOCK_TOKENS = 1 << 18
-#: bytes of words that the library gets at a time
-JOINED = 1 << 11
+#: bytes of words that the library gets at a time, bytes of text split at a time
+JOINED, PIECE = 1 << 11, 1 << 19
 #: bytes that are white space, and bytes that a white-space character may start with
 SPACE_BYTES = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
 SPACE_LEADS = SPACE_BYTES | np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
@@ -173,15 +171,21 @@ def _open(path: str, write: bool = False):
 
 
 def _tokenize(path: str, end_id: int):
+    classes = zlib.compress(library_classes().tobytes())  # the same for every task, some kilobytes
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
+        tok, plain_tok = Tokenizer.from_file(path), None
+        added = [t.content for t in tok.get_added_tokens_decoder().values()]
+        tok.encode_special_tokens = True  # no word that it gets holds one, so it need not look for them
+        model = tok.model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # each word comes once
+            tok.model = model
         newline = tok.encode("\n", add_special_tokens=False).ids
-        splitter, hasher = Splitter(), SpanHasher()
-        odd = regex.compile(r"\p{Cn}")
+        splitter, hasher = Splitter(np.frombuffer(zlib.decompress(classes), np.uint8)), SpanHasher()
         pack = zstandard.ZstdCompressor(level=1)
 
         def joined(buf, start, size):
@@ -217,9 +221,12 @@ def _tokenize(path: str, end_id: int):
             return flat, n
 
         cache = WordCache(encode)
-        for b in pieces(batches, "text", 4 << 20):
+        for b in pieces(batches, "text", PIECE):
             texts = b.column("text").to_pylist()
-            whole = {k: tok.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts) if not t.isascii() and odd.search(t)}
+            odd = [k for k, t in enumerate(texts) if any(a in t for a in added)]
+            if odd and plain_tok is None:
+                plain_tok = Tokenizer.from_file(path)
+            whole = {k: plain_tok.encode(texts[k], add_special_tokens=False).ids for k in odd}
             ids, n = cache.ids_of(WordBatch([("" if k in whole else t) for k, t in enumerate(texts)], splitter, hasher))
             parts = np.split(ids, np.cumsum(n)[:-1])
             blobs = [pack.compress(np.append(whole.get(k, p), end_id).astype("<u4").tobytes()) for k, p in enumerate(parts)]
@@ -237,8 +244,8 @@ def _count(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            for ids in _unpack(b.column("ids").to_pylist()):
-                total += np.bincount(ids, minlength=size)
+            for k in range(0, b.num_rows, 256):
+                total += np.bincount(np.concatenate(_unpack(b.column("ids").slice(k, 256).to_pylist())), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
