@@ -77,18 +77,21 @@ def test_registered_protocols(spark, monkeypatch):
 
     calls = []
 
-    def scored(df, spec, model, folds, extra=(), **_):
-        cells = folds.select("rep", "fold").distinct().count()
-        calls.append((tuple(spec.numeric), model, folds.select("rep").distinct().count(), cells))
-        p = F.pmod(F.xxhash64(spec.key, "rep"), F.lit(1000)) / 1000
-        return df.join(folds, spec.group).select("rep", "fold", spec.key, spec.label, p.alias("p"), *extra)
+    def scores(self, model, fs):
+        cells = self.folds.select("rep", "fold").distinct().count()
+        calls.append((model, self.folds.select("rep").distinct().count(), cells))
+        p = F.pmod(F.xxhash64("order_id", "rep"), F.lit(1000)) / 1000
+        return self.f.join(self.folds, self.group).select("rep", "fold", "order_id", "unit", "y", p.alias("p"), F.lit(1).alias("class"))
 
-    monkeypatch.setattr(Q.ML, "oof_predictions", scored)
+    monkeypatch.setattr(Q.Protocol, "scores", scores)
     sf = "/root/testdata/sf0.001"
     got = {(r.feature_set, r.model) for r in Q.ablation_summary(spark, sf).collect()}
     assert got == {(s, m) for s in Q.SETS for m in ("logistic", "forest")}
     assert len(calls) == 8
-    assert all(c[2:] == (20, 100) for c in calls)
+    assert all(c[1:] == (20, 100) for c in calls)
     calls.clear()
     Q.within_unit_increment(spark, sf).collect()
-    assert [c[1:] for c in calls] == [("forest", 5, 25)] * 2
+    assert calls == [("forest", 5, 25)] * 2
+    calls.clear()
+    Q.model_seed_robustness(spark, sf).collect()
+    assert [c[1] for c in calls] == [25] * len(Q.TABLE_MODELS)

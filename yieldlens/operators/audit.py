@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keyword_hint, parse_reply, section_or_text
@@ -193,7 +193,7 @@ def quota_sample(
     qschema = ", ".join(f"{c} string" for c in cells) + ", _quota int"
     qdf = F.broadcast(spark.createDataFrame(qrows, qschema))
     cand = df.join(qdf, list(cells)).withColumn("_h", seeded_hash(seed, key))
-    picked = first_n(cand, cells, [F.col("_h"), F.col(key)], "_quota", out="_cell_rank")
+    picked = first_n(cand, cells, [F.col("_h"), F.col(key)], "_quota", out="_cell_rank", small=True)
     avail = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("available"))
     taken = picked.groupBy(*cells).agg(F.count(F.lit(1)).alias("taken"))
     report = (
@@ -205,13 +205,17 @@ def quota_sample(
     return picked.drop("_quota", "_h", "_cell_rank"), report
 
 
-def review_ids(sample: DataFrame, key: str, seed: int, fmt: str = "R%03d") -> DataFrame:
-    """Seeded shuffle of the (bounded) sample, then sequential review ids."""
+def review_ids(sample: DataFrame, key: str, seed: int, fmt: str = "R%03d", small: bool = False) -> DataFrame:
+    """Seeded shuffle of the sample, then sequential review ids; ``small`` states that it is bounded by
+    its quotas and may be numbered by a plain window."""
     from .ordering import sequence_number
     from .splits import seeded_hash
 
     s = sample.withColumn("_h", seeded_hash(seed, key))
-    r = sequence_number(s, [], ["_h", key], "_seq")
+    if small:
+        r = s.withColumn("_seq", F.row_number().over(Window.orderBy("_h", key)).cast("long"))
+    else:
+        r = sequence_number(s, [], ["_h", key], "_seq")
     return r.withColumn("review_id", F.format_string(fmt, F.col("_seq"))).drop("_h")
 
 

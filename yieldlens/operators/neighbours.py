@@ -105,7 +105,7 @@ class ExactKnn:
 class CoarseKnn(ExactKnn):
     """Approximate vote through coarse cells: k-means centres of a sample of the training vectors
     (at most ``SAMPLE``, those with the smallest hashes of their keys) cut the space into one list
-    for every ``LIST`` training rows; every training row goes to the list of its nearest centre, a
+    for every ``rows`` training rows (``LIST`` by default); every training row goes to the list of its nearest centre, a
     query row to its ``probes`` nearest lists only. A list of more than ``BLOCK`` rows is dealt over
     blocks, so no task grows with it.
 
@@ -116,14 +116,14 @@ class CoarseKnn(ExactKnn):
 
     SAMPLE, LIST, BLOCK = 100_000, 256, 16384
 
-    def __init__(self, k: int = 5, key: str = "key", vec: str = "features", probes: int = 8, seed: int = 42):
+    def __init__(self, k: int = 5, key: str = "key", vec: str = "features", probes: int = 8, rows: int | None = None, seed: int = 42):
         super().__init__(k, key, vec)
-        self.probes, self.seed = probes, seed
+        self.probes, self.rows, self.seed = probes, rows or self.LIST, seed
 
     def neighbours_of(self, train: DataFrame):
         tr = cut_lineage(self._training(train))
         n = tr.count()
-        lists = max(1, -(-n // self.LIST))
+        lists = max(1, -(-n // self.rows))
         share = min(1.0, self.SAMPLE / max(n, 1))
         sample = tr.where(F.pmod(F.xxhash64("_tkey", F.lit(self.seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
         if lists > 1:

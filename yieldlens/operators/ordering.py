@@ -83,12 +83,15 @@ def first_n(
     order: Sequence[str | Column],
     n: int | str | Column,
     out: str = "rn",
+    small: bool = False,
 ) -> DataFrame:
     """Rows whose row number inside ``by`` (by ``order``) is <= n, with the number.
 
     ``n`` may be a per-row column (a quota joined in). Each group is split into as many
     hash slices as there are shuffle partitions; stage one keeps the first n of every
-    slice and the exact numbering then runs on at most ``slices · n`` rows per group.
+    slice and the exact numbering then runs on at most ``slices · n`` rows per group:
+    skew-safe for any n, or, where the caller states that n is ``small`` (a sampling quota, not
+    a share of the data), by a plain window without a job of its own.
     """
     order_cols = _as_cols(order)
     ncol = F.lit(n) if isinstance(n, int) else (F.col(n) if isinstance(n, str) else n)
@@ -101,5 +104,8 @@ def first_n(
         .where(F.col("_r") <= F.col("_n"))
         .drop("_r", "_salt")
     )
-    ranked = sequence_number(pre, by, order, out)
+    if small:
+        ranked = pre.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order_cols)).cast("long"))
+    else:
+        ranked = sequence_number(pre, by, order, out)
     return ranked.where(F.col(out) <= F.col("_n")).drop("_n")

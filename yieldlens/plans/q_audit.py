@@ -251,7 +251,7 @@ def _sample_sql(plan: dict, seed: int, fmt: str, exclude: str = "") -> str:
 def _gold(spark, sf, plan=GOLD_PLAN, seed=SEED, fmt="R%03d", base=None):
     base = base if base is not None else audit_base(spark, sf)
     smp, report = A.quota_sample(base, ["regex_label", "llm_label"], plan, "note_id", seed)
-    return A.review_ids(smp, "note_id", seed, fmt), report
+    return A.review_ids(smp, "note_id", seed, fmt, small=True), report
 
 
 @query("gold_sample", f"SELECT review_id, note_id, regex_label, llm_label, stratum FROM {_sample_sql(GOLD_PLAN, SEED, 'R%03d')}")
