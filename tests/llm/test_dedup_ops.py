@@ -301,3 +301,22 @@ def test_fingerprints_of_many_rows_without_or_with_one_id(spark):
         want.append((d if known else None, len(t), hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest()))
     got = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprint.fingerprints(df).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_planted_passages_of_400_bytes_are_all_caught(spark):
+    """Recall 1.00 on passages of 400 bytes or more planted in two documents each; shorter ones and
+    clean documents are left alone."""
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=n))
+    docs, planted = [], {}
+    for k in range(30):
+        passage = text(rng.randint(400, 900) if k < 20 else rng.randint(200, 399))
+        for copy in range(2):
+            before = text(rng.randint(0, 500)) + "#" * (k % 3 + copy)
+            docs.append((2 * k + copy, before + passage + "!" + text(rng.randint(0, 500))))
+            planted[2 * k + copy] = len(passage) if k < 20 else 0
+    docs += [(100 + k, text(2000)) for k in range(20)]
+    rows, kept = suffixdedup.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    got = {r["doc_id"]: r["n_removed"] for r in rows.join(kept, "id").collect()}
+    assert all(got[d] >= n for d, n in planted.items() if n)  # the bytes next to a passage may agree by chance
+    assert all(got[d] <= n + 4 for d, n in planted.items()) and all(got[100 + k] == 0 for k in range(20))
