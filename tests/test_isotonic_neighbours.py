@@ -1,6 +1,7 @@
 """Isotonic fit by hulls against pooling by hand; neighbours through the index against the exact ones."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,41 @@ def test_soft_labels_are_two_weighted_rows(spark):
     p = {r["key"]: 1 / (1 + np.exp(-(r["x"] * b + b0))) for r in cell}
     total = sum(r["weight"] * (p[r["key"]] - r["label_d"]) * r["x"] for r in cell) + b
     assert abs(total) < 1e-2
+
+
+def test_nearest_kernel_keeps_no_full_order():
+    """The k best of a pair of blocks own their memory (a slice of the full order, 8 bytes a pair of
+    rows, stayed alive before), and are those of brute force."""
+    import tracemalloc
+
+    from yieldlens.operators.neighbours import _best
+
+    rng = np.random.default_rng(3)
+    q = pd.DataFrame({"key": np.arange(2000), "_x": list(rng.normal(size=(2000, 4)))})
+    t = pd.DataFrame({"_tkey": rng.permutation(8000), "_x": list(rng.integers(0, 4, size=(8000, 4)) + rng.integers(0, 2, size=(8000, 1)) * 1e6), "_y": 1.0})
+    tracemalloc.start()
+    got = _best(5, "key")(q, t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # 128 MB of places before
+    x = np.array(t["_x"].tolist())
+    for i in range(0, 2000, 97):
+        d = ((q["_x"][i] - x) ** 2).sum(axis=1)
+        assert got["_tkey"][got["key"] == i].tolist() == t["_tkey"].to_numpy()[np.lexsort((t["_tkey"], d))[:5]].tolist()
+
+
+def test_exact_neighbours_store_no_copies(spark, monkeypatch):
+    """Blocks meet without a shuffle of vectors: only the k best of each query row are exchanged."""
+    monkeypatch.setattr(NB.ExactKnn, "TRAIN_BLOCK", 16)
+    monkeypatch.setattr(NB.ExactKnn, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(NB.ExactKnn, "MEET", 2)
+    rows = spark.range(300).selectExpr("id AS key", "array(cast(id % 7 AS double), cast(id % 5 AS double)) AS embedding", "cast(id % 2 AS double) AS label_d")
+    near = NB.ExactKnn(5, key="key", vec="embedding").neighbours_of(rows.where("key < 200"))(rows.where("key >= 200"))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    got = {}
+    for r in near.collect():
+        got.setdefault(r["key"], []).append((r["_dist"], r["_tkey"]))
+    for k in range(200, 300):
+        want = sorted(((k % 7 - t % 7) ** 2 + (k % 5 - t % 5) ** 2, t) for t in range(200))[:5]
+        assert sorted(got[k]) == want
