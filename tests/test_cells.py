@@ -250,3 +250,18 @@ def test_forest_without_features_or_splits(frame, folds, binned):
     assert {r["p"] for r in none.predict().collect()} == {0.5}
     stump = FO.CellForests(binned, CE.FeatureSet(["z"]), FO.ForestSpec(trees=3, depth=3, min_leaf=10_000))
     assert max(abs(r["p"] - 0.5) for r in stump.predict().collect()) < 0.2
+
+
+def test_tasks_send_one_count_a_chunk(frame, folds, monkeypatch):
+    """A task adds up the counts of its blocks: as many messages as groups, in narrow integers
+    (before, one of every block, in four bytes)."""
+    monkeypatch.setattr(FO, "BLOCK", 32)
+    many = FO.bin_rows(frame.repartition(5), folds, "grp", "key", "y", NUM, CAT, FLAGS)
+    assert many.blocks.where("part = 0").count() > 3
+    forest = FO.CellForests(many, CE.FeatureSet(["z"], CAT), FO.ForestSpec(trees=3, depth=1, min_leaf=5))
+    spark = many.blocks.sparkSession
+    model = spark.sparkContext.broadcast(([], None, many.cells, many.medians, many.modes, forest._chunks(), forest.weights))
+    sent = many.blocks.mapInArrow(forest._count(model, 0), "chunk int, counts binary")
+    rows = sent.groupBy("chunk").agg(F.count("*").alias("n"), F.max(F.octet_length("counts")).alias("bytes")).collect()
+    assert len(rows) == len(forest._chunks()) and {r["n"] for r in rows} == {1}
+    assert max(r["bytes"] for r in rows) <= 3 * forest.tried * forest.spec.bins * 2 * 2
