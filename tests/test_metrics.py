@@ -144,3 +144,17 @@ def test_reliability_bins_right_closed(spark):
     df = spark.createDataFrame([(1, 0.1), (0, 0.0), (1, 1.0), (0, 0.55)], "y int, p double")
     b = {r.bin: r.n for r in M.reliability_bins(df, "y", "p").collect()}
     assert b == {0: 2, 5: 1, 9: 1}
+
+
+def test_fleiss_reads_its_ratings_once(spark):
+    """A costly rater runs once a row, however many counts read the ratings."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def rate(i):
+        seen.add(1)
+        return str(i % 2)
+
+    long = spark.range(30).select(F.col("id").alias("item"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("rater")).withColumn("label", rate("item"))
+    assert M.fleiss_kappa(long, "item", "rater", "label").first()["kappa"] == pytest.approx(1.0)
+    assert seen.value <= 120  # filter and column may each call it; several times that before
