@@ -108,3 +108,11 @@ def test_version_drift_and_keep_first(spark):
     dup = spark.createDataFrame([("k", 3, "c"), ("k", 1, "a"), ("k", 2, "b"), ("j", 5, "z")], "key string, ord int, v string")
     got = {r.key: (r.ord, r.v) for r in keep_first(dup, ["key"], ["ord"]).collect()}
     assert got == {"k": (1, "a"), "j": (5, "z")}
+
+
+def test_external_labeller_gets_bounded_slices(spark):
+    """One Arrow batch of 3,000 texts reaches the labeller in slices (in one piece before)."""
+    df = spark.range(3000).selectExpr("id AS note_id", "if(id % 7 = 0, null, concat('t', id)) AS text").coalesce(1)
+    out = A.external_label(df, "note_id", "text", lambda t: pd.Series([f"{len(t)}:{x}" for x in t], index=t.index)).collect()
+    assert {r.note_id: r.reply.split(":")[1] for r in out} == {i: "" if i % 7 == 0 else f"t{i}" for i in range(3000)}
+    assert max(int(r.reply.split(":")[0]) for r in out) <= 512
