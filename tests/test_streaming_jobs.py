@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
 from yieldlens.operators import audit as A
 from yieldlens.streaming import labelling as DL
@@ -118,3 +119,14 @@ def test_stored_model_in_a_stream_equals_batch(spark, tmp_path):
     got = {r["order_id"]: (r["p"], r["flag_low_yield"]) for r in out.collect()}
     assert len(got) == 120
     assert all(got[k][0] == pytest.approx(want[k], abs=1e-12) and got[k][1] == int(want[k] < 0.5) for k in want)
+
+
+def test_files_follow_the_rows(spark, tmp_path):
+    """Request files grow with the table (of 50 rows before, so commits grew with it); staged files
+    grow in number (four before)."""
+    assert DL.commit_rows(spark.range(1000), 50) == 50
+    assert DL.commit_rows(spark.range(1_000_000), 50) == 3907
+    assert (LV.files_for(spark.range(10)), LV.files_for(spark.range(105_000))) == (4, 11)
+    path = LV.stage_files(spark.range(105_000), str(tmp_path / "in"), LV.files_for(spark.range(105_000)))
+    per = spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()
+    assert len(per) == 11 and max(r["count"] for r in per) <= 10_000

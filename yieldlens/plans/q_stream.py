@@ -25,6 +25,10 @@ from .registry import query
 from .sqltext import sql_label
 
 
+#: micro-batches that a staged table is cut into at most, about
+BATCHES = 16
+
+
 def _closing(df, ts: str, days: int):
     """A row ``days`` after the last one of ``df`` that moves the watermark past the rest: of a stay
     that no other row has (a NULL would be dropped before the watermark sees it), all else NULL."""
@@ -118,7 +122,8 @@ def stream_dedupe(spark, sf):
     rest labelled as they arrive."""
     n = S.notes(spark, sf).select(F.md5("text").alias("text_key"), "text")
     base = LV.scratch(spark, "dedupe")
-    src = LV.file_stream(spark, LV.stage_files(n, f"{base}/in"), n, 2)
+    files = LV.files_for(n)
+    src = LV.file_stream(spark, LV.stage_files(n, f"{base}/in", files), n, max(2, files // BATCHES))
     return LV.run_available_now(LV.dedupe_label_stream(src, "text_key", "text", STANDIN_WIDE, "1 hour"), f"{base}/out")
 
 
@@ -190,7 +195,7 @@ def durable_labelling(spark, sf):
     one label per report, each report sent once by a committed batch."""
     n = S.notes(spark, sf).select("note_id", "text")
     base = LV.scratch(spark, "labelling")
-    requests = DL.stage_requests(n, f"{base}/requests", 50)
+    requests = DL.stage_requests(n, f"{base}/requests", DL.commit_rows(n, 50))
 
     def stop(number: int) -> None:
         if number == 3:

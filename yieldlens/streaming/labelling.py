@@ -24,6 +24,12 @@ from pyspark.sql import functions as F
 from ..functions.text import parse_reply
 
 
+def commit_rows(requests: DataFrame, least: int, files: int = 256) -> int:
+    """Rows of a request file: ``least``, or as many as leave about ``files`` files, as each commit
+    costs a batch's start however few its rows are."""
+    return max(least, -(-requests.count() // files))
+
+
 def stage_requests(requests: DataFrame, path: str, commit_rows: int = 200) -> str:
     """Write (or add) request files of at most ``commit_rows`` rows, sized by Spark before."""
     requests.hint("rebalance").write.option("maxRecordsPerFile", commit_rows).mode("append").parquet(path)

@@ -33,6 +33,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
 
 
+def files_for(df: DataFrame, least: int = 4, rows: int = 10_000) -> int:
+    """Files to stage ``df`` in: a file, which one task writes and reads, does not grow with the table."""
+    return max(least, -(-df.count() // rows))
+
+
 def stage_files(df: DataFrame, path: str, files: int = 4, time_col: str | None = None) -> str:
     """Write a derived table as a folder of parquet files for a file stream. With ``time_col``
     the rows are dealt by range of time once, and the ranges are written one after another, so
