@@ -277,7 +277,8 @@ def minhash_components(docs: DataFrame, percent: int = 85, words: int = 5, carri
         .where("size > 1")
         .select("bucket", F.col("h").bitwiseXOR(salt).alias("hub"), "size")
     )
-    buckets = written(slots.join(hubs, "bucket"), "minhash-buckets")
+    # rows that an explode makes are not in the planner's sizes: without the hint they may be broadcast
+    buckets = written(slots.hint("merge").join(hubs, "bucket"), "minhash-buckets")
 
     def pairs_of(frame: DataFrame) -> DataFrame:
         return frame.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -307,7 +308,7 @@ def minhash_components(docs: DataFrame, percent: int = 85, words: int = 5, carri
     rest = rest.select("gid", "bucket", "block", "node", "comp", "sig").repartition(parts, "gid").sortWithinPartitions("gid")
     tested = written(rest.mapInArrow(_block_pairs(least), "gid bigint, a array<bigint>, b array<bigint>"), "minhash-blocks")
     nodes = tested.select("gid", F.explode(F.array_distinct(F.concat("a", "b"))).alias("node"))
-    nodes = nodes.join(classes.select("node", "row_key"), "node").join(text, "row_key").select("gid", "node", "text")
+    nodes = nodes.hint("merge").join(classes.select("node", "row_key"), "node").join(text, "row_key").select("gid", "node", "text")
     none = F.lit(None).cast("array<bigint>")
     lists = tested.select("gid", F.lit(-1).cast("long").alias("node"), F.lit("").alias("text"), "a", "b")
     both = nodes.select("gid", "node", "text", none.alias("a"), none.alias("b")).unionByName(lists)
